@@ -88,16 +88,22 @@ def numbered(rows: DataFrame, key: str, tie: str, ranges: int | None = None) ->
     sub = F.when(F.col(key).isin(heavy), F.shiftright(F.col(tie), 58) + F.lit(32)).otherwise(F.lit(0).cast("long")) if heavy else F.lit(0).cast("long")
     cut = rows.withColumn("_part", _bucket(F.col(key), cuts)).withColumn("_sub", sub)
     counts = cut.groupBy("_part", "_sub").count().collect()  # at most ranges + 64 rows for each heavy value
-    total, offsets = 0, []
-    for r in sorted(counts, key=lambda r: (r["_part"], r["_sub"])):
-        offsets.append((r["_part"], r["_sub"], total))
-        total += r["count"]
+    total, flat, first = 0, [], {}
+    sizes = {(r["_part"], r["_sub"]): r["count"] for r in counts}
+    for part in range(len(cuts) + 1):
+        first[part] = len(flat)
+        for k in range(64 if part and cuts[part - 1] in heavy else 1):
+            flat.append(total)
+            total += sizes.get((part, k), 0)
     if not total:
         return cut.drop("_part", "_sub").withColumn("number", F.lit(0).cast("long")), 0
-    starts = spark.createDataFrame(offsets, "_part int, _sub bigint, _offset bigint")
+    # literal arrays bounded by the number of ranges
+    starts = F.array(*[F.lit(x).cast("long") for x in flat])
+    where = F.array(*[F.lit(first[p]) for p in range(len(cuts) + 1)])
     w = Window.partitionBy("_part", "_sub").orderBy(key, tie)
-    ranked = cut.join(F.broadcast(starts), ["_part", "_sub"]).withColumn("number", F.col("_offset") + F.row_number().over(w) - 1)
-    return ranked.drop("_part", "_sub", "_offset"), total
+    offset = F.get(starts, F.get(where, F.col("_part")) + F.col("_sub"))
+    ranked = cut.withColumn("_rank", F.row_number().over(w)).withColumn("number", offset + F.col("_rank") - 1)
+    return ranked.drop("_part", "_sub", "_rank"), total
 
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
