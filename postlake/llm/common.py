@@ -126,15 +126,15 @@ FOLDED[65:91] = _LETTERS[97:123]
 
 
 class Words:
-    """Words (runs of bytes other than the six ASCII spaces) of a run of documents.
+    """Words (runs of bytes other than the six ASCII spaces, or of the ``member`` bytes) of a run of documents.
 
     ``hash`` is a 64-bit hash of each word with A-Z folded; word i of document d
     lies in first[d] <= i < first[d + 1].
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = FOLDED):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = FOLDED, member: np.ndarray | None = None):
         n = len(data)
-        word = ~SPACE[data]
+        word = ~SPACE[data] if member is None else member[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)
