@@ -152,6 +152,16 @@ class Words:
             h = (total[self.ends] - total[self.starts]) * down[self.starts]
             self.hash = mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.first = np.searchsorted(self.starts, offsets)
+        self._total, self._down = total, down
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hash of each word's first ``size`` bytes; 0 where it has no more than these."""
+        long = self.ends - self.starts > size
+        at = self.starts[long]
+        out = np.zeros(len(self.starts), np.uint64)
+        with np.errstate(over="ignore"):
+            out[long] = mix((self._total[at + size] - self._total[at]) * self._down[at] + np.uint64(size) * np.uint64(0xA24BAED4963EE407))
+        return out
 
 
 _PLACE = keys(2, 5)

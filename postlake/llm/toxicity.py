@@ -1,8 +1,8 @@
 """Operator 8: toxicity by gradient-boosted trees over dense features.
 
 Features of a whole text: counts and densities of two lexicons (a fixed seed
-list of abusive words, and words that the training rows show to be far more
-common under label 1), distance of their hits to second-person words, hits that
+list of abusive words, and words and word beginnings that the training rows show
+to be far more common under label 1), distance of their hits to second-person words, hits that
 appear only after undoing letter substitutions, and rates of capitals,
 exclamation and other punctuation, digits, mixed letter-and-symbol words and
 long character runs. Trees are fitted with logistic loss on binned features in
@@ -31,7 +31,9 @@ from .quality import remainder, training_rows
 
 MAX_ROWS = 6000
 THRESHOLD = 0.3
-LEARNED = 64
+LEARNED = 192
+#: Lengths in bytes of the word beginnings that may enter the learned lexicon.
+STEMS = (4, 5, 6, 7, 8, 10)
 
 #: Seed lexicon (fixed values).
 SEED = """idiot moron stupid dumb loser trash garbage scum worthless disgusting pathetic clown fool imbecile
@@ -80,6 +82,11 @@ def _isin(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
+def _forms(w: common.Words) -> list[np.ndarray]:
+    """The hashes under which a word may stand in the learned lexicon: its own and its beginnings'."""
+    return [w.hash, *(w.prefix(k) for k in STEMS)]
+
+
 def dense(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Feature matrix of a run of documents."""
     n = len(offsets) - 1
@@ -92,8 +99,11 @@ def dense(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights: n
     w = _words(data, offsets, _LETTER, _PLAIN_LUT)
     words = np.maximum(np.diff(w.first), 1).astype(np.float64)
     seed, second = _isin(w.hash, _SEED), _isin(w.hash, _SECOND)
-    at = np.minimum(np.searchsorted(learned, w.hash), max(len(learned) - 1, 0)) if len(learned) else np.zeros(len(w.hash), int)
-    known = learned[at] == w.hash if len(learned) else np.zeros(len(w.hash), bool)
+    weight = np.zeros(len(w.hash))
+    for h in _forms(w):
+        found = np.flatnonzero(_isin(h, learned))
+        weight[found] = np.maximum(weight[found], weights[np.searchsorted(learned, h[found])])
+    known = weight > 0
     bad = seed | known
     you = np.flatnonzero(second)
     hit = np.flatnonzero(bad)
@@ -111,9 +121,6 @@ def dense(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights: n
     run = np.zeros(len(data), bool)
     if len(data) > 2:
         run[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
-    weight = np.zeros(len(w.hash))
-    if len(learned):
-        weight[known] = weights[at[known]]
     seed_n, learned_n, hidden_n = by_doc(seed, w.first), by_doc(known, w.first), by_doc(hidden, leet.first)
     cols = [
         seed_n, seed_n / words, learned_n, learned_n / words, by_doc(weight, w.first), by_doc(close, w.first), by_doc(second, w.first) / words,
@@ -125,11 +132,12 @@ def dense(data: np.ndarray, offsets: np.ndarray, learned: np.ndarray, weights: n
 
 
 def learn_words(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and weights of the words whose share of documents is far larger under label 1."""
+    """Hashes and weights of the words and beginnings whose share of documents is far larger under label 1."""
     found = []
     for i, t in enumerate(texts):
         raw = np.frombuffer(t.encode(), np.uint8)
-        h = np.unique(_words(raw, np.array([0, len(raw)]), _LETTER, _PLAIN_LUT).hash)
+        h = np.unique(np.concatenate(_forms(_words(raw, np.array([0, len(raw)]), _LETTER, _PLAIN_LUT))))
+        h = h[h != 0]
         found.append((h, np.full(len(h), y[i])))
     h, lab = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     uniq, inv = np.unique(h, return_inverse=True)
@@ -139,7 +147,7 @@ def learn_words(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     odds = np.log(((pos + 0.5) / (np_ + 1)) / ((neg + 0.5) / (nn + 1)))
     expected = (pos + neg) * np_ / (np_ + nn)
     z = (pos - expected) / np.sqrt(expected + 1e-9)
-    keep = np.flatnonzero((z > 5) & (odds > 1.0) & (pos >= 4))
+    keep = np.flatnonzero((z > 5) & (odds > 1.5) & (pos >= 4))
     keep = keep[np.argsort(-z[keep])][:LEARNED]
     keep = keep[np.argsort(uniq[keep])]
     return uniq[keep], odds[keep]
