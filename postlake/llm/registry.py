@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import bpe, chat, fingerprint, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
-    return {"op5_chat": chat.op5_chat, "op9_sharding": sharding.op9_sharding}
+    return {
+        "op2_bpe": bpe.op2_bpe,
+        "op4_quality": quality.op4_quality,
+        "op5_chat": chat.op5_chat,
+        "op6_fingerprints": fingerprint.op6_fingerprints,
+        "op7_pii": pii.op7_pii,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_sharding": sharding.op9_sharding,
+    }
 
 
 def oracle_sql() -> dict:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .quality import remainder, training_rows
@@ -285,7 +286,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             p = m.score(np.concatenate(x)) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
