@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, pii, quality, sharding, toxicity
+from . import bpe, chat, fingerprint, neardup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_bpe": bpe.op2_bpe,
+        "op3_neardup": neardup.op3_neardup,
         "op4_quality": quality.op4_quality,
         "op5_chat": chat.op5_chat,
         "op6_fingerprints": fingerprint.op6_fingerprints,
