@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, neardup, pii, quality, sharding, toxicity
+from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_bpe": bpe.op2_bpe,
         "op3_neardup": neardup.op3_neardup,
         "op4_quality": quality.op4_quality,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_chat": chat.ORACLE, "op9_sharding": sharding._sql()}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op9_sharding": sharding._sql()}
