@@ -21,6 +21,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -105,8 +106,6 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("struct<fingerprint:string,canon:binary>")
     def digest(text):
-        import pandas as pd
-
         canon = [canonical(t) for t in text]
         return pd.DataFrame({"fingerprint": [xxhash.xxh3_128_hexdigest(c) for c in canon], "canon": canon})
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,7 +195,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def masked(text, spans):
-        return [_mask(t, s) for t, s in zip(text, spans, strict=True)]
+        return pd.Series([_mask(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
     hit = keyed.join(spans, "_key", "left")
     return hit.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked("text", "_spans"))).select(*docs.columns)
