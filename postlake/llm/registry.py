@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, sharding, toxicity
+from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, repeats, sharding, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_sharding": sharding.op9_sharding,
+        "op10_repeats": repeats.op10_repeats,
     }
 
 
