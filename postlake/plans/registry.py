@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from postlake.operators import cleaning
+
+MODULES: list = [cleaning]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
