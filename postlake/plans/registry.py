@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.operators import cleaning, model, relational, scoring
+from postlake.operators import cleaning, media, model, relational, scoring
 
-MODULES: list = [cleaning, relational, scoring, model]
+MODULES: list = [cleaning, relational, scoring, model, media]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
