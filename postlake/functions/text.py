@@ -171,11 +171,16 @@ def indic_detect(text: Column) -> Column:
     return text.rlike("[ऀ-ॿ]")
 
 
-def normalise(text: Column, table: dict | None = None) -> Column:
-    """The whole chain on already unescaped text; empty for null or blank."""
-    t = let(F.coalesce(text, F.lit("")), clean)
-    t = let(emoji_meaning(t), lambda x: slang_replace(x, table))
-    return squash(F.lower(let(let(t, expand_contractions), negation_scope)))
+def normalised(df, text: str, out: str = "normalised", table: dict | None = None):
+    """``df`` with the whole chain over an already unescaped text column; empty for null or blank.
+
+    Each step is a projection of its own: the optimizer keeps a step apart that is
+    used more than once, where one nested Column would repeat it."""
+    t = F.col("_step")
+    x = df.withColumn("_step", F.coalesce(F.col(text), F.lit("")))
+    for step in (clean, emoji_meaning, lambda c: slang_replace(c, table), expand_contractions, negation_scope):
+        x = x.withColumn("_step", step(t))
+    return x.withColumn(out, squash(F.lower(t))).drop("_step")
 
 
 def model_tokens(text: Column) -> Column:

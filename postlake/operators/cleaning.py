@@ -128,7 +128,7 @@ done AS (SELECT t.tpl_id, CASE WHEN len(list_filter(t.toks, lambda x: list_conta
   FROM st s JOIN t ON t.tpl_id = s.tpl_id AND s.i = len(t.toks))
 SELECT CAST(e.event_id AS BIGINT) AS post_id, d.text FROM events e JOIN done d ON e.event_id % {N} = d.tpl_id""",
 )
-add("normalize_text", lambda s, d: posts(s, d).select("post_id", X.normalise(X.nfkd_unescape(F.col("text"))).alias("text")))
+add("normalize_text", lambda s, d: X.normalised(posts(s, d).select("post_id", X.nfkd_unescape(F.col("text")).alias("raw")), "raw", "text").select("post_id", "text"))
 add(
     "composite_polarity",
     lambda s, d: posts(s, d).select("post_id", F.round(X.emoji_polarity(F.col("text")) + X.slang_polarity(F.col("text"), _SINGLE), 6).alias("polarity")),
