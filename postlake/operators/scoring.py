@@ -131,7 +131,7 @@ _FB_POS, _FB_NEG = ["fire", "goated", "love", "amazing", "w", "huge w", "banger"
 add(
     "fallback_heuristic",
     lambda s, d: posts(s, d).select("post_id", F.when(F.lower("text").rlike("|".join(_FB_POS)), "positive").when(F.lower("text").rlike("|".join(_FB_NEG)), "negative").otherwise("neutral").alias("label")).withColumn("confidence", F.when(F.col("label") == "neutral", 0.70).otherwise(0.85)),
-    f"WITH {CTE}, l AS (SELECT post_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in _FB_POS) + " THEN 'positive' WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in _FB_NEG) + " THEN 'negative' ELSE 'neutral' END AS label FROM posts) SELECT post_id, label, CASE WHEN label = 'neutral' THEN 0.7 ELSE 0.85 END AS confidence FROM l",
+    f"WITH {CTE}, l AS (SELECT post_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in _FB_POS) + " THEN 'positive' WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in _FB_NEG) + " THEN 'negative' ELSE 'neutral' END AS label FROM posts) SELECT post_id, label, CAST(CASE WHEN label = 'neutral' THEN 0.7 ELSE 0.85 END AS DOUBLE) AS confidence FROM l",
 )
 # aspects
 _latin = {a: [k for k in ks if k.isascii()] for a, ks in AS.A.ASPECTS.items()}

@@ -377,3 +377,12 @@ def test_intervals_are_the_tree():
     for g, k in groups:
         assert sum(s.startswith(g, i) for i in range(n)) == k
     assert {g for g, _ in groups} >= {b"an", b"ana", b"ban"}
+
+
+def test_intersections_count_common_values():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 60, k)) for k in r.integers(0, 50, 40)]
+    got = neardup.intersections(np.repeat(np.arange(40), [len(s) for s in sets]), np.concatenate(sets).astype(np.uint64), 40)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)

@@ -166,7 +166,7 @@ def test_stream_equals_batch(spark, tmp_path):
     q = windows.counts_by_window(stream).writeStream.outputMode("complete").format("memory").queryName("w").start()
     q.processAllAvailable()
     q.stop()
-    batch = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
+    batch = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select("w.start", "event_type", "n")
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, batch.collect()))
     p = posts(spark, "/root/testdata/sf0.001").select("post_id", "text", "context")
     p.repartition(1).write.mode("overwrite").parquet(str(tmp_path / "posts"))
