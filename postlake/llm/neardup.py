@@ -14,11 +14,13 @@ the similarity is then estimated jointly with the known set sizes by maximum
 likelihood over the counts of greater, smaller and equal registers, and pairs
 within six standard deviations of the threshold are confirmed on full sets.
 After linking, buckets whose members are still in different components are
-worked off exactly: members outside a bucket's largest component become pivots
-against the others (8, then 128, then 2048, ... of each component) until all
-have been, so no pair that shares a bucket and could join two components goes
-untested, and none within a component is made. Components come from a
-contraction that runs wholly in Spark.
+worked off exactly: their members form clusters, a cluster is cut into blocks of
+bounded size, and each pair of blocks that can hold a link between components
+(by component and by set size) is one task, which counts all intersections of
+its full sets at once and returns a spanning forest of the links it finds. So no
+pair that shares a bucket and could join two components goes untested, a task's
+size is bounded, and no more links than members leave a task. Components come
+from a contraction that runs wholly in Spark.
 
 Null and empty texts have an empty set and stand alone. Rows that share a
 doc_id count as one node; null doc_ids share a node of their own, whose
@@ -45,6 +47,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 _SEEDS = common.keys(31, M)
 _BAND_KEYS = common.keys(32, BANDS)
 NONE = -(1 << 63)
+#: Shingles in a block of a cluster, and the set count up to which a value is counted by pairs.
+BLOCK, LIGHT = 1_200_000, 16
 
 
 def registers(minima: np.ndarray) -> np.ndarray:
@@ -166,18 +170,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets meet the threshold."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    need = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text").join(ids, "id", "left_semi")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = common.buffers(batch.column(1))
-            sets: list[bytes] = []
-            for i, j in common.chunks(offsets):
-                h, begin = doc_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sets += [np.unique(h[begin[d] : begin[d + 1]]).tobytes() for d in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
-
-    sets = common.durable(need.mapInArrow(full, "id bigint, set binary"))
+    sets = common.durable(_full_sets(docs, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,36 +221,115 @@ def components(links: DataFrame) -> DataFrame:
     return result if result is not None else links.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
 
 
+def intersections(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """n x n matrix of the numbers of common values of n sets, given as (row, value) pairs."""
+    order = np.argsort(values, kind="stable")
+    r, v = rows[order], values[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(v)))
+    out = np.zeros((n, n), np.float32)
+    # values of few sets: all their pairs at once; of many: matrix products over columns
+    for size in range(2, LIGHT + 1):
+        at = first[length == size]
+        step = max(1, 2_000_000 // (size * size))
+        for i in range(0, len(at), step):
+            member = r[at[i : i + step, None] + np.arange(size)]
+            flat, times = np.unique(member[:, :, None] * n + member[:, None, :], return_counts=True)
+            out.reshape(-1)[flat] += times
+    heavy = np.flatnonzero(length > LIGHT)
+    for i in range(0, len(heavy), 2048):
+        own = heavy[i : i + 2048]
+        a = np.zeros((n, len(own)), np.float32)
+        for k, h in enumerate(own):
+            a[r[first[h] : first[h] + length[h]], k] = 1
+        for j in range(0, n, 512):
+            out[j : j + 512] += a[j : j + 512] @ a.T
+    return out
+
+
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest over components of the links between the members of one task."""
+    ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+    size = np.array([len(x) for x in sets], np.int64)
+    n = len(ids)
+    common_n = intersections(np.repeat(np.arange(n), size), np.concatenate(sets), n)
+    parent = {int(x): int(x) for x in roots}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a, b = [], []
+    for i in range(n - 1):
+        m = common_n[i, i + 1 :].astype(np.int64)
+        for j in np.flatnonzero((100 * m >= percent * (size[i] + size[i + 1 :] - m)) & (roots[i + 1 :] != roots[i])):
+            p, q = find(int(roots[i])), find(int(roots[i + 1 + j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                a.append(int(ids[i]))
+                b.append(int(ids[i + 1 + j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the rows whose id is in ``ids``; the sorted full set as bytes."""
+    need = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text").join(ids, "id", "left_semi")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = common.buffers(batch.column(1))
+            sets: list[bytes] = []
+            for i, j in common.chunks(offsets):
+                h, begin = doc_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                sets += [np.unique(h[begin[d] : begin[d + 1]]).tobytes() for d in range(j - i)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    return need.mapInArrow(full, "id bigint, set binary")
+
+
+def _cluster_links(shared: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """Links between components inside buckets that the pivots left open."""
+    placed = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    whole = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min("id").alias("a"))
+    open_keys = common.durable(whole.where("lo < hi and n > 2").select("key", "a"))
+    if open_keys.isEmpty():
+        return None
+    inside = common.durable(shared.join(open_keys, "key").select("id", "a").distinct())
+    cluster = components(inside.where("id <> a").select("a", F.col("id").alias("b"))).select("id", F.col("root").alias("cluster"))
+    member = cluster.join(roots, "id", "left").select("id", "cluster", F.coalesce("root", "id").alias("root")).join(reps.select("id", "n_shingles"), "id")
+    run = Window.partitionBy("cluster").orderBy("root", "n_shingles", "id").rowsBetween(Window.unboundedPreceding, 0)
+    member = common.durable(member.withColumn("block", F.floor(F.sum(F.col("n_shingles") + BLOCK // 2500).over(run) / BLOCK)))
+    block = member.groupBy("cluster", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    other = block.select("cluster", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least", "most")])
+    pairs = common.durable(
+        block.join(other, "cluster")
+        .where("block <= block2")
+        .where("not (lo = hi and lo2 = hi2 and lo = lo2)")
+        .where((F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent))
+        .select("cluster", "block", "block2")
+    )
+    ends = pairs.select("cluster", F.col("block").alias("at"), "block", "block2").union(pairs.where("block <> block2").select("cluster", F.col("block2").alias("at"), "block", "block2"))
+    sets = common.durable(_full_sets(docs, member.select("id")))
+    dealt = member.withColumnRenamed("block", "at").join(ends, ["cluster", "at"]).join(sets, "id").select("cluster", "block", "block2", "id", "root", "set")
+    found = dealt.groupBy("cluster", "block", "block2").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
+    return common.durable(found)
+
+
 def linked_classes(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(id, root) of the classes that are linked with another. reps: durable (id, n_shingles, sketch)."""
     members = banded(reps)
     pivots = common.durable(members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"))
     shared = common.durable(members.join(pivots, "key").select("key", "id", "a"))
-    pairs = common.durable(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    tested, links = pairs, _confirmed(common.durable(_estimated(pairs, reps, percent)), docs, percent)
-    shared = shared.select("key", "id")
-    most = 8
-    while True:
-        roots = components(links)
-        placed = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-        whole = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("all")).where("roots > 1 and all > 2")
-        open_keys = common.durable(whole.select("key", F.col("top.root").alias("main")))
-        if open_keys.isEmpty():
-            return roots
-        rest = common.durable(placed.join(open_keys, "key"))
-        ranked = rest.where("root <> main").withColumn("rank", F.row_number().over(Window.partitionBy("key", "root").orderBy("id")))
-        chosen = common.durable(ranked.where(F.col("rank") <= most).select("key", F.col("id").alias("p"), F.col("root").alias("pr")))
-        cross = chosen.join(rest.select("key", "id", "root"), "key").where("pr <> root").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        new = common.durable(cross.join(tested, ["a", "b"], "left_anti"))
-        more = not ranked.where(F.col("rank") > most).isEmpty()
-        if new.isEmpty() and not more:
-            return roots
-        if not new.isEmpty():
-            tested = common.durable(tested.unionByName(new))
-            found = _confirmed(common.durable(_estimated(new, reps, percent)), docs, percent)
-            links = common.durable(links.unionByName(found))
-        most *= 16
+    pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    links = _confirmed(common.durable(_estimated(pairs, reps, percent)), docs, percent)
+    roots = components(links)
+    more = _cluster_links(shared.select("key", "id"), roots, reps, docs, percent)
+    return roots if more is None else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
