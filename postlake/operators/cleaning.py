@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake.functions import indic as I
 from postlake.functions import lexicon as L
 from postlake.functions import text as X
 from postlake.plans.posts import CTE, TPL_CTE, N, posts, q, templates
@@ -211,3 +212,7 @@ add(
     ),
     f"SELECT * FROM (VALUES ('slang_phrases', {len(_PHRASE)}::BIGINT), ('slang_words', {len(_SINGLE)}::BIGINT), ('emoji', {len(L.EMOJI)}::BIGINT), ('negation', {len(L.NEGATION_WORDS)}::BIGINT), ('contractions', {len(L.CONTRACTIONS)}::BIGINT)) t(dictionary, terms)",
 )
+add("indic_phrase_score", lambda s, d: posts(s, d).where(X.indic_detect(F.col("text"))).select("post_id", F.round(I.phrases(F.col("text"))["score"], 6).alias("score")))
+add("indic_negation", lambda s, d: I.normalised(posts(s, d).where(X.indic_detect(F.col("text"))), "text").select("post_id", "text", F.round("indic_polarity", 6).alias("polarity")))
+_HASH = r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|[0-9]|[^A-Za-z0-9_]|$)|[0-9]+"
+add("hashtag_words", lambda s, d: posts(s, d).select("post_id", F.explode(F.regexp_extract_all("text", F.lit("#([A-Za-z0-9_]+)"), 1)).alias("tag")).select("post_id", F.array_join(F.regexp_extract_all("tag", F.lit(_HASH), 0), " ").alias("words")))

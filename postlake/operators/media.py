@@ -64,6 +64,10 @@ TAG_RULES = [
 ]
 
 
+#: Word edges between letters, digits and underscores of any script.
+EDGE = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+
+
 def category_scores(text: Column) -> Column:
     """Map-free: array of (category, score) in order, score = weight x contained keywords, +3.5 praise for reviews."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -93,7 +97,7 @@ def tags(text: Column, category: Column, label: Column) -> Column:
     """Hashtags, rule tags, category and label tags, filled with words of the text up to eight, ordered and cut at ten."""
     low = F.lower(text)
     own = F.filter(F.transform(F.regexp_extract_all(text, F.lit("#([a-zA-Z0-9_]+)"), 1), lambda h: F.concat(F.lit("#"), F.lower(h))), lambda h: F.char_length(h) > 2)
-    ruled = F.filter(F.array(*[F.when(low.rlike("(?iu)" + p), F.lit(t)) for p, t in TAG_RULES]), lambda t: t.isNotNull())
+    ruled = F.filter(F.array(*[F.when(low.rlike("(?iu)" + EDGE[0] + p[2:-2] + EDGE[1]), F.lit(t)) for p, t in TAG_RULES]), lambda t: t.isNotNull())
     pay = F.when(F.contains(category, F.lit("Payment")), F.array(F.lit("#payment_issue"), F.lit("#upi_failure"))).otherwise(F.array().cast("array<string>"))
     slug = F.when(category != "", F.array(F.concat(F.lit("#"), F.get(F.split(F.btrim(F.regexp_replace(F.lower(category), "[^a-zA-Z0-9]", "_"), F.lit("_")), "_"), F.lit(0))))).otherwise(F.array().cast("array<string>"))
     tone = F.when(label != "", F.array(F.concat(F.lit("#"), label))).otherwise(F.array().cast("array<string>"))
@@ -153,7 +157,8 @@ add(
     lambda s, d: categorised(posts(s, d)).select("post_id", "category", "category_confidence"),
     f"WITH {_CAT} SELECT post_id, CASE WHEN top > 0 THEN " + "CASE " + " ".join(f"WHEN c{i} = top THEN {q(c)}" for i, c in enumerate(CATEGORIES)) + " END ELSE 'General Social' END AS category, CASE WHEN text = '' THEN 0.5 WHEN top > 0 THEN least(0.99, round(0.7 + top * 0.06, 2)) ELSE 0.65 END AS category_confidence FROM best",
 )
-_RULES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {q(p)}) THEN {q(t)} END" for p, t in TAG_RULES) + "], lambda x: x IS NOT NULL)"
+_EDGED = lambda p: r"(?:^|[^\p{L}\p{N}_])" + p[2:-2] + r"(?:$|[^\p{L}\p{N}_])"
+_RULES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {q(_EDGED(p))}) THEN {q(t)} END" for p, t in TAG_RULES) + "], lambda x: x IS NOT NULL)"
 add(
     "tags_sorted",
     lambda s, d: posts(s, d).select("post_id", F.array_join(tags(F.col("text"), F.lit(""), F.col("original")), ",").alias("tags")),
@@ -190,3 +195,15 @@ add(
     ).groupBy("format", "success").agg(F.count("*").alias("n")),
 )
 add("doc_binaryfile", lambda s, d: s.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{d}").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length"))
+
+
+def multimodal_analyze(s: SparkSession, d: str) -> DataFrame:
+    """Documents as text files through extraction, sentiment, category and tags."""
+    from postlake.operators.scoring import score_posts
+
+    raw = s.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("d/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    x = categorised(score_posts(files.extract_documents(raw).withColumn("context", F.lit(None).cast("string"))))
+    return x.select("path", "final_label", "reason", "category", F.size(tags(F.col("text"), F.col("category"), F.col("final_label"))).alias("n_tags"))
+
+
+add("multimodal_analyze", multimodal_analyze)

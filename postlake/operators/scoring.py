@@ -134,7 +134,13 @@ add(
     f"WITH {CTE}, l AS (SELECT post_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in _FB_POS) + " THEN 'positive' WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in _FB_NEG) + " THEN 'negative' ELSE 'neutral' END AS label FROM posts) SELECT post_id, label, CAST(CASE WHEN label = 'neutral' THEN 0.7 ELSE 0.85 END AS DOUBLE) AS confidence FROM l",
 )
 # aspects
-_latin = {a: [k for k in ks if k.isascii()] for a, ks in AS.A.ASPECTS.items()}
+def _mentions(a: str) -> str:
+    ks = AS.A.ASPECTS[a]
+    latin, other = "|".join(k for k in ks if k.isascii()), "|".join(k for k in ks if not k.isascii())
+    edge = r"[^\p{L}\p{N}_]", r"[^\p{L}\p{N}_\x{0900}-\x{097f}]"
+    return " OR ".join(f"regexp_matches(clause, {q(f'(?i)(?:^|{e})(?:{k})(?:$|{e})')})" for e, k in zip(edge, (latin, other), strict=True))
+
+
 _CL = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(text), '(^|[^\p{L}\p{N}_])(but|however|although|though|yet|while)(?:$|[^\p{L}\p{N}_])', '\1|', 'g'), '[.,;!?\n|]', '|', 'g'), '|'), lambda x: x), lambda x: true)"
 add(
     "aspect_mentions",
@@ -143,7 +149,7 @@ add(
         .select("post_id", F.explode(F.filter(F.array(*[F.when(F.col("clause").rlike(AS.keyword_pattern(a)), F.lit(a)) for a in AS.NAMES]), lambda x: x.isNotNull())).alias("aspect"))
         .groupBy("aspect").agg(F.count("*").alias("clauses"), F.count_distinct("post_id").alias("posts"))
     ),
-    f"WITH {CTE}, c AS (SELECT post_id, unnest({_CL}) AS clause FROM posts), m AS (" + " UNION ALL ".join(f"SELECT post_id, {q(a)} AS aspect FROM c WHERE regexp_matches(clause, " + q("(?i)(?:^|[^\\p{L}\\p{N}_])(?:" + "|".join(ks) + ")(?:$|[^\\p{L}\\p{N}_])") + ")" for a, ks in _latin.items()) + ") SELECT aspect, count(*) AS clauses, count(DISTINCT post_id) AS posts FROM m GROUP BY 1",
+    f"WITH {CTE}, c AS (SELECT post_id, unnest({_CL}) AS clause FROM posts), m AS (" + " UNION ALL ".join(f"SELECT post_id, {q(a)} AS aspect FROM c WHERE " + _mentions(a) + " " for a in AS.NAMES) + ") SELECT aspect, count(*) AS clauses, count(DISTINCT post_id) AS posts FROM m GROUP BY 1",
 )
 _SIG = lambda xs: f"CAST(len(list_intersect(ws, {_LIST([x for x in xs if ' ' not in x])})) + 2 * len(list_filter({_LIST([x for x in xs if ' ' in x])}, lambda p: contains(clause, p))) AS BIGINT)"
 add(

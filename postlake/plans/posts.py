@@ -70,6 +70,9 @@ TEMPLATES: list[tuple[str, str | None]] = [
     ("While the colors are good, the app is slow", None),
     ("RT @desk: https://example.org/a   Server   is down", None),
     ("server is down", None),
+    ("खूप छान ॲप, पैसा वसूल", None),
+    ("ॲप चांगला नाही आणि फोन हँग होतो", None),
+    ("सगळे बग्स मिटले, आता फास्ट", None),
 ]
 N = len(TEMPLATES)
 

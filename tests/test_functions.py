@@ -58,17 +58,18 @@ def plain_aspects(text):
     parts = re.split(r"[.,;!?\n।|]|\b(?:but|however|although|though|yet|while|on\s+the\s+other\s+hand)\b", low)
     out = {}
     for name, ks in A.ASPECTS.items():
-        own = [c for c in parts if any(re.search(rf"\b{re.escape(k)}\b", c) for k in ks if k.isascii())]
+        edge = "[\\w\u0900-\u097F]"
+        own = [c for c in parts if any(re.search(rf"\b{re.escape(k)}\b" if k.isascii() else f"(?<!{edge}){k}(?!{edge})", c) for k in ks)]
         if not own:
             continue
         p = g = 0
         for c in own:
-            w = set(re.findall(r"\b\w+(?:-\w+)?\b", c))
+            w = set(re.findall("[\u0900-\u097F]+|\\b\\w+(?:-\\w+)?\\b", c))
             p += sum(2 if " " in s and s in c else (s in w) for s in A.POSITIVE)
             g += sum(2 if " " in s and s in c else (s in w) for s in A.NEGATIVE)
-            if re.search(r"\b(not|never|no|hardly|scarcely)\s+(good|clean|fast|smooth|worth|impressive|responsive)\b", c):
+            if re.search(aspects.NOT_GOOD, c):
                 g += 2
-            if re.search(r"\b(not|never|no)\s+(bad|broken|slow|crash|glitch|terrible|disaster)\b", c):
+            if re.search(aspects.NOT_BAD, c):
                 p += 1
             if re.search(aspects.REPAIRED, c):
                 p, g = p + 3, max(0, g - 3)
@@ -175,3 +176,15 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("scored").collect())) == sorted(map(tuple, score_posts(p).select("post_id", "final_label", "reason").collect()))
+
+
+def test_indic(spark):
+    from postlake.functions import indic as I
+
+    df = spark.createDataFrame([(t,) for t in ("ॲप चांगला नाही", "बग्स मिटले é_", "पैसा वसूल ॲप", "plain", None, "नाही", "छान कचरा")], "t string")
+    got = [(r.text, round(r.indic_polarity, 3)) for r in I.normalised(df, "t").collect()]
+    assert got == [
+        ("ॲप not_good fine nice reliable terrible bad", -2.0), ("fixed resolved clean no bugs", 1.8),
+        ("worth every penny full value for money great ॲप", 2.5), ("plain", 0.0), ("", 0.0), ("not", 0.0),
+        ("great wonderful clean garbage trash bloatware rubbish", -0.4),
+    ]
