@@ -63,7 +63,7 @@ def suffix_array(texts: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends:
     """Order of the suffixes texts[row, start:end] and common-prefix length of each with the one before it."""
     n = len(rows)
     width = texts.shape[1]
-    cols = starts[:, None] + np.arange(width)[None, :]
+    cols = starts.astype(np.int32)[:, None] + np.arange(width, dtype=np.int32)[None, :]
     inside = cols < ends[:, None]
     body = np.where(inside, texts[rows[:, None], np.minimum(cols, width - 1)], 0).astype(np.uint8)
     words = np.ascontiguousarray(np.pad(body, ((0, 0), (0, -width % 8)))).view(">u8")
@@ -170,7 +170,7 @@ class Entries:
         else:
             pick = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, self.gram), len(shared) - 1)] == self.gram)
         lo, hi, a, g, d = self.lo[pick], self.hi[pick], self.anchor[pick], self.gram[pick], self.ids[self.doc[pick]]
-        cols = lo[:, None] + np.arange(LONGEST)[None, :]
+        cols = lo.astype(np.int32)[:, None] + np.arange(LONGEST, dtype=np.int32)[None, :]
         text = np.where(cols < (hi + LEAST)[:, None], self.data[np.minimum(cols, max(len(self.data) - 1, 0))], 0).astype(np.uint8) if len(pick) else np.zeros((0, LONGEST), np.uint8)
         table = {"gram": g, "lo": (a - lo).astype(np.uint8), "hi": (a - hi).astype(np.uint8), "doc": d, "text": text}
         t, place = unify(table)
@@ -213,7 +213,7 @@ def settle(t: dict) -> np.ndarray:
     rows = np.repeat(several, count)
     starts = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
     ends = np.repeat(count + LEAST - 1, count)
-    step = 200_000
+    step = 40_000
     cut = 0
     while cut < len(rows):
         # whole anchors at a time
