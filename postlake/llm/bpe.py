@@ -39,8 +39,9 @@ ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 #: str.split() also cuts at these, which are not white space by the property.
 CONTROLS = "\x1c\x1d\x1e\x1f"
-#: Pieces remembered by a worker in one generation; twice as many words.
-MEMORY = 150_000
+#: Pieces remembered by a worker in one generation, and words and pair tests as a multiple of it.
+#: Workers are kept between tasks, so this bounds what they hold (about 300 MB).
+MEMORY = 80_000
 
 
 def _byte_symbols() -> list[str]:
@@ -110,7 +111,7 @@ class Vocabulary:
         """Whether BPE of the two tokens' text gives the two tokens again."""
         known = self._joins.get((left, right))
         if known is None:
-            if len(self._joins) > 2_000_000:
+            if len(self._joins) > 5 * MEMORY:
                 self._joins.clear()
             known = self._joins[left, right] = self.merged([*left, *self._split(right)]) == [left, right]
         return known
@@ -205,7 +206,7 @@ class Codec:
         a full one becomes the old one, from which entries in use move over."""
         if len(self.ids_of) + len(pieces) > MEMORY:
             self.old_pieces, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
-        if len(self.words) > 2 * MEMORY:
+        if len(self.words) > 5 * MEMORY // 2:
             self.old_words, self.words = self.words, {}
         new, (old_ids, old_text) = [], self.old_pieces
         for p in pieces:
@@ -282,7 +283,7 @@ def codec(text_of_file: str) -> Codec:
     return _CODEC[key]
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 4_000_000) -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text. The
     tokenizer file (about 2 MB, fixed) is broadcast; no shuffle."""
     spark = docs.sparkSession

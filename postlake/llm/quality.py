@@ -137,7 +137,7 @@ def score(docs: DataFrame, share: np.ndarray, bias: float, name: str = "score")
         for batch in batches:
             data, offsets = common.buffers(batch.column(at))
             z = np.empty(len(offsets) - 1)
-            for i, j in common.chunks(offsets):
+            for i, j in common.chunks(offsets, 1 << 20):
                 o = offsets[i : j + 1] - offsets[i]
                 f, owner = features(data[offsets[i] : offsets[j]], o)
                 n = np.bincount(owner, minlength=j - i)
