@@ -89,6 +89,44 @@ def test_leaks_tolerate_edits_and_shuffled_path(spark, monkeypatch):
     assert {r[0] for r in usual} >= {1}
 
 
+def test_leaks_between_diagonals(spark):
+    """Every window start is judged: the best one may lie on no diagonal of a shared shingle."""
+    item, short, rest = words(100, 21).split(), words(66, 22).split(), [words(40, s).split() for s in range(23, 29)]
+    r = random.Random(5)
+    texts = [
+        rest[0] + item[50:] + item[:50] + rest[1],
+        rest[2] + ["first"] + short[1:33] + ["in", "between"] + short[33:65] + ["last"] + rest[3],
+        rest[4] + item[:50] + rest[5],
+        item[:95],
+        rest[0] + item[:93],
+        rest[0] + ["a"] * 90 + rest[1],
+    ]
+    for _ in range(40):
+        w = r.choice([item, short])[:]
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(w))
+            w[k : k + r.randint(0, 2)] = r.choice([[], ["x"], ["y", "z"]])
+        c = r.randrange(len(w))
+        w = w[c:] + w[:c] if r.random() < 0.5 else w
+        texts.append(r.choice(rest)[: r.randint(0, 40)] + w + r.choice(rest)[: r.randint(0, 40)])
+    bench = [(1, item), (2, short), (3, ["a"] * 80 + ["b"] * 6)]
+    sh = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for d, dw in enumerate(texts):
+        for i, iw in bench:
+            b = sh(iw)
+            for s in range(len(dw) - 4):
+                a = sh(dw[s : s + len(iw)])
+                m = sum(min(a.count(x), b.count(x)) for x in set(a))
+                like = m / (len(a) + len(b) - m)
+                if like >= 0.8 and like > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = like, s
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in bench], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.start_word) for x in decontaminate.leaks(docs, items).collect()}
+    assert got == want and {(0, 1), (1, 2), (3, 1)} <= set(got) and len(got) > 10
+
+
 # ---- op 2
 def test_bpe_equals_library(spark, docs, none):
     tokenizers = pytest.importorskip("tokenizers")
