@@ -37,7 +37,7 @@ add(
 add("scan_label_in", lambda s, d: T(s, d, "events").where(F.col("event_type").isin("click", "error")).select("event_id", "user_id", "event_type", "value"), "SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('click', 'error')")
 add(
     "zip_lines_join",
-    lambda s, d: _zip_lines(T(s, d, "documents").where("doc_id < 5").select("doc_id", "text"), T(s, d, "documents").where("doc_id < 5").select("doc_id", F.lower("text").alias("label"))),
+    lambda s, d: _zip_lines(T(s, d, "documents").select("doc_id", "text"), T(s, d, "documents").select("doc_id", F.lower("text").alias("label"))),
     r"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS t, string_split(lower(text), chr(10)) AS l FROM documents WHERE doc_id < 5)
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, t[i] AS line, l[i] AS label FROM (SELECT doc_id, t, l, unnest(range(1, len(t) + 1)) AS i FROM a)""",
 )
