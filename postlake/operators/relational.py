@@ -63,7 +63,6 @@ add(
     "request_explode",
     lambda s, d: (
         posts(s, d)
-        .where("post_id % 3 = 0")
         .groupBy("user_id")
         .agg(F.array_sort(F.collect_list(F.struct("post_id", "text", "context"))).alias("items"))
         .select("user_id", F.posexplode("items").alias("pos", "p"))

@@ -18,3 +18,11 @@ def test_zip_lines_of_all_documents(spark, tmp_path):
     texts = [(i, f"A{i}\n\nB{i}" if i % 2 else f"One{i}") for i in range(12)] + [(12, None), (13, "")]
     want = [(i, k, x, x.lower()) for i, t in texts if t is not None for k, x in enumerate(t.split("\n"))]
     assert run(spark, tmp_path, "zip_lines_join", documents=(texts, "doc_id bigint, text string")) == sorted(want, key=str)
+
+
+EVENTS = "event_id bigint, user_id bigint, ts timestamp"
+
+
+def test_request_takes_all_posts(spark, tmp_path):
+    got = run(spark, tmp_path, "request_explode", events=([(i, i % 4, None) for i in range(40)], EVENTS))
+    assert sorted(r[:3] for r in got) == sorted((i % 4, i // 4, i) for i in range(40))
