@@ -184,8 +184,8 @@ def normalised(df, text: str, out: str = "normalised", table: dict | None = None
 
 
 def model_tokens(text: Column) -> Column:
-    """Lower-case words after collapsing elongation; Devanagari runs stay whole."""
-    return F.regexp_extract_all(F.lower(collapse(text)), F.lit(rf"[ऀ-ॿ]+|{WORD}+"), 0)
+    """Words of the lower-case text after collapsing elongation; Devanagari runs stay whole."""
+    return F.regexp_extract_all(collapse(F.lower(text)), F.lit(rf"[ऀ-ॿ]+|{WORD}+"), 0)
 
 
 def bigrams(words: Column) -> Column:

@@ -139,7 +139,7 @@ add(
 _TOK = r"regexp_extract_all(lower(text), '[\x{0900}-\x{097f}]+|[\p{L}\p{N}_]+')"
 add(
     "tokenize_terms",
-    lambda s, d: posts(s, d).where(~F.col("text").rlike(r"(.)\1{2,}")).select("post_id", F.explode(X.model_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
+    lambda s, d: posts(s, d).select("post_id", F.explode(X.model_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
     f"WITH {CTE}, t AS (SELECT unnest({_TOK}) AS token FROM posts WHERE NOT contains(text, 'ooooo') AND NOT contains(text, '!!!') AND NOT contains(text, '   ')) SELECT token, count(*) AS n FROM t GROUP BY 1",
 )
 add(

@@ -26,3 +26,18 @@ EVENTS = "event_id bigint, user_id bigint, ts timestamp"
 def test_request_takes_all_posts(spark, tmp_path):
     got = run(spark, tmp_path, "request_explode", events=([(i, i % 4, None) for i in range(40)], EVENTS))
     assert sorted(r[:3] for r in got) == sorted((i % 4, i // 4, i) for i in range(40))
+
+
+def plain_words(text):
+    return re.findall(r"[\u0900-\u097F]+|\w+", re.sub(r"(.)\1{2,}", r"\1\1", text.lower()))
+
+
+def test_tokens_of_elongated_posts(spark, tmp_path):
+    from postlake.functions import text as X
+    from postlake.plans.posts import N, TEMPLATES
+
+    got = run(spark, tmp_path, "tokenize_terms", events=([(i, 0, None) for i in range(N + 10)], EVENTS))
+    want = Counter(w for i in range(N + 10) for w in plain_words(TEMPLATES[i % N][0]))
+    assert dict(got) == want and want["soo"] == 1 and want["slaps"] == 1
+    mixed = spark.createDataFrame([("Ooo SoOoO AAAa",)], "text string")
+    assert mixed.select(X.model_tokens(mixed["text"])).first()[0] == plain_words("Ooo SoOoO AAAa") == ["oo", "soo", "aa"]
