@@ -77,7 +77,7 @@ def strip_html(text: Column) -> Column:
 def strip_url(text: Column) -> Column:
     """Guard in exact case, pattern in any case."""
     guard = F.contains(text, F.lit("http")) | F.contains(text, F.lit("www."))
-    return F.when(guard, F.regexp_replace(text, r"(?i)https?://\S+|www\.\S+", " ")).otherwise(text)
+    return F.when(guard, F.regexp_replace(text, r"(?iU)https?://\S+|www\.\S+", " ")).otherwise(text)
 
 
 def strip_mention(text: Column) -> Column:

@@ -76,7 +76,7 @@ SELECT d.doc_id, coalesce(x.t, '') AS text FROM documents d LEFT JOIN
 )
 add(
     "clean_text",
-    lambda s, d: _docs(s, d).where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", X.squash(X.strip_mention(X.strip_url(X.strip_html(F.col("text"))))).alias("text")),
+    lambda s, d: _docs(s, d).select("doc_id", X.squash(X.strip_mention(X.strip_url(X.strip_html(F.col("text"))))).alias("text")),
     r"SELECT doc_id, trim(regexp_replace(regexp_replace(" + _URL.format(t="regexp_replace(text, '<[^>]+>', ' ', 'g')") + r", '@[\p{L}\p{N}_]+', ' ', 'g'), '[\s\x0b]+', ' ', 'g')) AS text FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')",
 )
 add("indic_detect", _on("documents", "doc_id", "text", "indic", X.indic_detect), "SELECT doc_id, regexp_matches(text, '[ऀ-ॿ]') AS indic FROM documents")

@@ -41,3 +41,16 @@ def test_tokens_of_elongated_posts(spark, tmp_path):
     assert dict(got) == want and want["soo"] == 1 and want["slaps"] == 1
     mixed = spark.createDataFrame([("Ooo SoOoO AAAa",)], "text string")
     assert mixed.select(X.model_tokens(mixed["text"])).first()[0] == plain_words("Ooo SoOoO AAAa") == ["oo", "soo", "aa"]
+
+
+def test_clean_text_of_all_documents(spark, tmp_path):
+    def clean(t):
+        t = re.sub("<[^>]+>", " ", t)
+        if "http" in t or "www." in t:
+            t = re.sub(r"(?i)https?://\S+|www\.\S+", " ", t)
+        return re.sub(r"\s+", " ", re.sub(r"@\w+", " ", t)).strip(" ")
+
+    texts = ["plain <b>x</b>", "Größe <i>é</i>  @müller www.straße.de/ü  東京", "\u00a0Zoë\u2003https://x.org/é 🔥 ", "ॲप @दोस्त", "www.a.b\u00a0stays", "", None]
+    rows = list(enumerate(texts))
+    want = [(i, None if t is None else clean(t)) for i, t in rows]
+    assert run(spark, tmp_path, "clean_text", documents=(rows, "doc_id bigint, text string")) == sorted(want, key=str)
