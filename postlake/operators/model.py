@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,23 +24,28 @@ def T(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 # ---- TF-IDF
+def features(text: Column) -> Column:
+    """Words, word bigrams and character trigrams of a text, with repeats."""
+    return X.let(X.model_tokens(text), lambda w: F.concat(w, X.bigrams(w), X.trigrams(w)))
+
+
 def terms(docs: DataFrame) -> DataFrame:
     """(doc_id, token, tf) of whole texts; counts are summed before they move."""
-    return docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"{X.WORD}+"), 0)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    return docs.select("doc_id", F.explode(features(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
 def doc_frequency(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"{X.WORD}+"), 0))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return docs.select(F.explode(F.array_distinct(features(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def vocabulary(docs: DataFrame, max_features: int = 2000) -> DataFrame:
+def vocabulary(docs: DataFrame, max_features: int = 40000) -> DataFrame:
     """token, df, idf of the most frequent tokens (ties by token), at least 2 documents beyond 100 documents."""
     n = docs.count()
     least = 2 if n > 100 else 1
     return doc_frequency(docs).orderBy(F.desc("df"), "token").limit(max_features).where(F.col("df") >= least).withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
-def tfidf(docs: DataFrame, max_features: int = 2000) -> DataFrame:
+def tfidf(docs: DataFrame, max_features: int = 40000) -> DataFrame:
     """(doc_id, token, weight): sublinear term frequency times idf, unit length; unknown tokens are left out.
     The vocabulary has at most max_features rows and is broadcast."""
     raw = terms(docs).join(F.broadcast(vocabulary(docs, max_features)), "token").withColumn("v", (1.0 + F.log("tf")) * F.col("idf"))

@@ -54,3 +54,24 @@ def test_clean_text_of_all_documents(spark, tmp_path):
     rows = list(enumerate(texts))
     want = [(i, None if t is None else clean(t)) for i, t in rows]
     assert run(spark, tmp_path, "clean_text", documents=(rows, "doc_id bigint, text string")) == sorted(want, key=str)
+
+
+def test_vocabulary_has_all_features_up_to_40000(spark, tmp_path):
+    texts = ["Goooood _app_ tea" if i % 2 else " ".join(f"w{k}" for k in range(i * 450, i * 450 + 900)) for i in range(110)] + ["खूप छान"] * 2
+    df, words = Counter(), {}
+    for i, t in enumerate(texts):
+        w = words[i] = plain_words(t)
+        w += [f"{a}_{b}" for a, b in zip(w, w[1:])] + [f"#{x[k:k + 3]}#" for x in w if 4 <= len(x) <= 10 and not x.startswith("_") for k in range(len(x) - 2)]
+        df.update(set(w))
+    want = {t: n for t, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:40000] if n >= 2}
+    schema = "doc_id bigint, text string"
+    got = run(spark, tmp_path, "vocab_topk", documents=(list(enumerate(texts)), schema))
+    assert dict(got) == want and {"good", "good__app_", "#goo#", "खूप_छान"} <= set(want)
+    idf = {t: round(log((1 + len(texts)) / (1 + n)) + 1, 6) for t, n in want.items()}
+    assert dict(run(spark, tmp_path, "idf_weights")) == idf
+    tf = Counter(t for w in words.values() for t in w if t in want)
+    assert {t: n for t, n, _ in run(spark, tmp_path, "join_vocab_weights")} == tf
+    from postlake.operators.model import vocabulary
+
+    many = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(30000)))], schema)
+    assert vocabulary(many).count() == 40000
