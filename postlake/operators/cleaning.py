@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postlake.functions import indic as I
 from postlake.functions import lexicon as L
 from postlake.functions import text as X
-from postlake.plans.posts import CTE, TPL_CTE, N, posts, q, templates
+from postlake.plans.posts import CTE, TPL_CTE, N, posts, q
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -28,8 +28,8 @@ def _on(table, key, col, name, f, where=None):
     return run
 
 
-def _tpl(name, f):
-    return lambda s, d: templates(s).select("tpl_id", f(F.col("text")).alias(name))
+def _post(name, f):
+    return lambda s, d: posts(s, d).select("post_id", f(F.col("text")).alias(name))
 
 
 QUERIES: dict = {}
@@ -90,7 +90,7 @@ add(
 _mean = "text"
 for _e in L.EMOJI_LONGEST:
     _mean = f"replace({_mean}, {q(_e)}, {q(' ' + L.EMOJI[_e][1] + ' ')})"
-add("emoji_meaning", _tpl("text", X.emoji_meaning), f"WITH {TPL_CTE} SELECT tpl_id, {_mean} AS text FROM tpl")
+add("emoji_meaning", _post("text", X.emoji_meaning), f"WITH {TPL_CTE} SELECT tpl_id, {_mean} AS text FROM tpl")
 _slang_single = ", ".join(f"({q(t)}, {w})" for t, (w, _) in L.SLANG.items() if " " not in t)
 _slang_phrase = ", ".join(f"({q(t)}, {w})" for t, (w, _) in L.SLANG.items() if " " in t)
 _SINGLE = {t: x for t, x in L.SLANG.items() if " " not in t}
@@ -108,7 +108,7 @@ add(
 _con = "text"
 for _a, _b in L.CONTRACTIONS.items():
     _con = f"regexp_replace({_con}, {q('(?i)' + chr(92) + 'b' + _a + chr(92) + 'b')}, {q(_b)}, 'g')"
-add("expand_contractions", _tpl("text", X.expand_contractions), f"WITH {TPL_CTE} SELECT tpl_id, {_con} AS text FROM tpl")
+add("expand_contractions", _post("text", X.expand_contractions), f"WITH {TPL_CTE} SELECT tpl_id, {_con} AS text FROM tpl")
 _NEG, _STOP = LIST(L.NEGATION_WORDS), LIST(L.SCOPE_BREAKERS)
 add(
     "negation_scope",

@@ -75,3 +75,10 @@ def test_vocabulary_has_all_features_up_to_40000(spark, tmp_path):
 
     many = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(30000)))], schema)
     assert vocabulary(many).count() == 40000
+
+
+def test_meanings_and_contractions_of_all_posts(spark, tmp_path):
+    got = run(spark, tmp_path, "emoji_meaning", events=([(i, 0, None) for i in range(150)], EVENTS))
+    assert sorted(r[0] for r in got) == list(range(150)) and dict(got)[21] == dict(got)[85] and "🎉" not in dict(got)[21]
+    more = dict(run(spark, tmp_path, "expand_contractions"))
+    assert sorted(more) == list(range(150)) and more[4] == more[68] and "can't" not in more[4]
