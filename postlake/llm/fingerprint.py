@@ -100,9 +100,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, group_id): rows whose canonical bytes are equal share the
-    smallest doc_id as group_id. Digests are grouped with map-side sums; a row's canonical
-    bytes are compared with those of its bucket's first row, and rows of a bucket that
-    differ from it (a digest collision) are grouped again by SHA-256."""
+    smallest doc_id as group_id. A row's canonical bytes are compared with those of its
+    bucket's first row, one joined row a bucket; rows of a bucket that differ from it (a
+    digest collision) are grouped again by their bytes."""
 
     @F.pandas_udf("struct<fingerprint:string,canon:binary>")
     def digest(text):
@@ -110,13 +110,14 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"fingerprint": [xxhash.xxh3_128_hexdigest(c) for c in canon], "canon": canon})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest("text").alias("d")).select("doc_id", "d.*")
-    light = common.durable(rows.select("doc_id", "fingerprint", F.sha2("canon", 256).alias("sha"), F.length("canon").alias("size")))
-    first = common.durable(light.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.min("sha").alias("lo"), F.max("sha").alias("hi")))
-    clean = first.where(F.col("lo") == F.col("hi"))
-    same = light.join(clean, "fingerprint").select("doc_id", "fingerprint", F.col("first").alias("group_id"))
-    mixed = light.join(first.where(F.col("lo") != F.col("hi")).select("fingerprint"), "fingerprint")
-    apart = mixed.groupBy("fingerprint", "sha").agg(F.min("doc_id").alias("group_id"))
-    return same.unionByName(mixed.join(apart, ["fingerprint", "sha"]).select("doc_id", "fingerprint", "group_id"))
+    rows = common.durable(rows)
+    bucket = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "canon")
+    first = rows.groupBy("fingerprint").agg(F.min(bucket).alias("first"))
+    held = common.durable(rows.join(first, "fingerprint").withColumn("same", F.col("canon") == F.col("first.canon")))
+    same = held.where("same").select("doc_id", "fingerprint", F.col("first.doc_id").alias("group_id"))
+    mixed = held.where("not same").select("doc_id", "fingerprint", "canon")
+    apart = mixed.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"))
+    return same.unionByName(mixed.join(apart, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,6 +312,16 @@ def test_duplicate_groups(docs):
     assert got[5] == got[6] == got[8] == got[20] == 5 and got[7] == 7 and got[0] == got[1] == got[2] == 0
 
 
+def test_duplicate_groups_compare_bytes(spark, monkeypatch):
+    """Texts stay apart where both digests collide."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(fingerprint, "xxhash", SimpleNamespace(xxh3_128_hexdigest=lambda c: "same"))
+    monkeypatch.setattr(fingerprint.F, "sha2", lambda c, n: F.lit("same"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, " A"), (4, "B "), (5, "c"), (None, "a")], "doc_id bigint, text string")
+    assert collected(fingerprint.duplicate_groups(docs).select("doc_id", "group_id")) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5), (None, 1)]
+
+
 # ---- op 7
 def test_base_spans_against_plain_matching():
     r = random.Random(4)
