@@ -39,9 +39,9 @@ ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 #: str.split() also cuts at these, which are not white space by the property.
 CONTROLS = "\x1c\x1d\x1e\x1f"
-#: Pieces remembered by a worker in one generation, and words and pair tests as a multiple of it.
-#: Workers are kept between tasks, so this bounds what they hold (about 300 MB).
-MEMORY = 80_000
+#: Pieces remembered by a task in one generation, and words and pair tests as a multiple of it
+#: (about 150 MB). Workers live on between tasks, so a task forgets its pieces at its end.
+MEMORY = 40_000
 
 
 def _byte_symbols() -> list[str]:
@@ -187,14 +187,19 @@ class Codec:
 
     def __init__(self, v: Vocabulary):
         self.v = v
+        self.forget()
+        marks = "|".join(re.escape(t) for t in sorted(v.special, key=len, reverse=True))
+        self.special = re.compile(f"({marks})") if marks else None
+
+    def forget(self) -> None:
+        """Empty the memories of pieces and words."""
         self.ids_of: dict[str, str] = {}
         self.text_of: dict[str, str] = {}
         self.old_pieces: tuple[dict[str, str], dict[str, str]] = ({}, {})
         self.words: dict[str, tuple[str, str]] = {}
         self.old_words: dict[str, tuple[str, str]] = {}
         self._shown: dict[str, tuple[str, str]] = {}
-        marks = "|".join(re.escape(t) for t in sorted(v.special, key=len, reverse=True))
-        self.special = re.compile(f"({marks})") if marks else None
+        self.v._joins.clear()
 
     def _pretokens(self, piece: str) -> list[str]:
         piece = unicodedata.normalize("NFC", piece)
@@ -283,7 +288,7 @@ def codec(text_of_file: str) -> Codec:
     return _CODEC[key]
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 2_000_000) -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 500_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text. The
     tokenizer file (about 2 MB, fixed) is broadcast; no shuffle."""
     spark = docs.sparkSession
@@ -292,6 +297,12 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 2_00
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
+        try:
+            yield from encoded(c, batches)
+        finally:
+            c.forget()
+
+    def encoded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             found: list[tuple[int, str, str]] = []
@@ -307,7 +318,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 2_00
             cols = list(zip(*found, strict=True)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(common.task(run), SCHEMA)
 
 
 def default_tokenizer() -> str:

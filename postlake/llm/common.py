@@ -3,28 +3,37 @@ vectorised word hashing over Arrow text buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------
 # tables in the folder that all executors share
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where none is (tests)."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.sparkContext.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir. Where none is named, a local master
+    gets a folder of its own (tests); any other master is an error, as executors share no local folder."""
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="postlake-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: lineage is
     cut and a lost executor loses nothing. The path is kept on the result for ``drop``."""
@@ -33,9 +42,31 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._postlake_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that ``durable`` makes inside are removed at the end."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        drop(*_SCOPES.pop())
+
+
+@contextmanager
+def apart() -> Iterator[None]:
+    """Tables made inside outlive the scope around it."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
 def drop(*frames: DataFrame) -> None:
     """Remove tables made by ``durable`` that no later plan reads."""
     for df in frames:
@@ -46,14 +77,57 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a column ``key`` (long) that is unique and never null: doc_id itself
+    where it is so, else row numbers, fixed by writing the rows once."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    if ids.where("id is null").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    return durable(docs.withColumn(key, F.monotonically_increasing_id()))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --------------------------------------------------------------------------
+# Python workers
+
+
+def give_back() -> None:
+    """Return unused memory to the system; workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def task(run: Callable) -> Callable:
+    """A mapInArrow function that leaves its worker small."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 # --------------------------------------------------------------------------
 # text buffers
 
-CHUNK = 1 << 21
+#: Bytes of text that are worked on at once: small enough to stay in cache and to keep workers small.
+CHUNK = 1 << 18
 _MASK = (1 << 64) - 1
 
 
@@ -103,18 +177,23 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POW: dict[str, np.ndarray] = {}
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        p[done : done + step] = p[:step] * np.uint64(pow(base, done, 1 << 64))
+        done += step
+    return p
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
+    """The first n powers of the base and of its inverse modulo 2**64; tables of a few MB are kept."""
+    if n > 1 << 22:
+        return _powers(_BASE, n), _powers(_INVERSE, n)
     if len(_POW.get("up", ())) < n:
         m = max(n, CHUNK + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.ones(m, np.uint64)
-            done = 1
-            while done < m:
-                step = min(done, m - done)
-                p[done : done + step] = p[:step] * np.uint64(pow(base, done, 1 << 64))
-                done += step
-            _POW[name] = p
+        _POW["up"], _POW["down"] = _powers(_BASE, m), _powers(_INVERSE, m)
     return _POW["up"][:n], _POW["down"][:n]
 
 

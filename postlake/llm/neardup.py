@@ -15,17 +15,18 @@ likelihood over the counts of greater, smaller and equal registers, and pairs
 within six standard deviations of the threshold are confirmed on full sets.
 After linking, buckets whose members are still in different components are
 worked off exactly: their members form clusters, a cluster is cut into blocks of
-bounded size, and each pair of blocks that can hold a link between components
-(by component and by set size) is one task, which counts all intersections of
-its full sets at once and returns a spanning forest of the links it finds. So no
+bounded size by set size and component, and each pair of blocks that meets in a
+bucket and can hold a link between components is one task, which counts all
+intersections of its full sets at once and returns a spanning forest of the links. So no
 pair that shares a bucket and could join two components goes untested, a task's
 size is bounded, and no more links than members leave a task. Components come
 from a contraction that runs wholly in Spark.
 
-Null and empty texts have an empty set and stand alone. Rows that share a
-doc_id count as one node; null doc_ids share a node of their own, whose
-component_id is null. Repeated rows give repeated results; an empty table none.
-Columns other than doc_id and text are not read.
+Null and empty texts have an empty set and stand alone. Every row is a node of its
+own, also where doc_ids repeat or are null: a group's component_id is its smallest
+doc_id that is not null, or null where it has none, and then one of its rows is
+kept. An empty table gives no rows. Columns other than doc_id and text are not
+read; ``deduplicated`` returns all columns and one row of each group.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
@@ -46,9 +46,8 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 _SEEDS = common.keys(31, M)
 _BAND_KEYS = common.keys(32, BANDS)
-NONE = -(1 << 63)
-#: Shingles in a block of a cluster, and the set count up to which a value is counted by pairs.
-BLOCK, LIGHT = 1_200_000, 16
+#: Shingles in a block of a cluster (a row counts 1/800 of it at least), and the set count up to which a value is counted by pairs.
+BLOCK, LIGHT = 400_000, 16
 
 
 def registers(minima: np.ndarray) -> np.ndarray:
@@ -102,8 +101,7 @@ def summarise(docs: DataFrame) -> DataFrame:
                     sks[i + d] = sk[row].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sks, pa.binary())], names=["id", "n_shingles", "digest", "sketch"])
 
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text")
-    return ids.mapInArrow(run, "id bigint, n_shingles bigint, digest binary, sketch binary")
+    return docs.select("id", "text").mapInArrow(common.task(run), "id bigint, n_shingles bigint, digest binary, sketch binary")
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -117,7 +115,7 @@ def banded(reps: DataFrame) -> DataFrame:
             keys = band_keys(sk)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], names=["id", "key"])
 
-    return reps.select("id", "sketch").mapInArrow(run, "id bigint, key bigint")
+    return reps.select("id", "sketch").mapInArrow(common.task(run), "id bigint, key bigint")
 
 
 def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -164,7 +162,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(est >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(common.task(run), "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +183,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    out = common.durable(joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct())
+    out = common.durable(joined.select("a", "b", "sa", "sb").mapInArrow(common.task(run), "a bigint, b bigint").distinct())
     common.drop(sets)
     return out
 
@@ -233,14 +231,14 @@ def intersections(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     # values of few sets: all their pairs at once; of many: matrix products over columns
     for size in range(2, LIGHT + 1):
         at = first[length == size]
-        step = max(1, 2_000_000 // (size * size))
+        step = max(1, 500_000 // (size * size))
         for i in range(0, len(at), step):
             member = r[at[i : i + step, None] + np.arange(size)]
             flat, times = np.unique(member[:, :, None] * n + member[:, None, :], return_counts=True)
             out.reshape(-1)[flat] += times
     heavy = np.flatnonzero(length > LIGHT)
-    for i in range(0, len(heavy), 2048):
-        own = heavy[i : i + 2048]
+    for i in range(0, len(heavy), 1024):
+        own = heavy[i : i + 1024]
         a = np.zeros((n, len(own)), np.float32)
         for k, h in enumerate(own):
             a[r[first[h] : first[h] + length[h]], k] = 1
@@ -278,7 +276,7 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, set) of the rows whose id is in ``ids``; the sorted full set as bytes."""
-    need = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("id"), "text").join(ids, "id", "left_semi")
+    need = docs.select("id", "text").join(ids, "id", "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +287,23 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets += [np.unique(h[begin[d] : begin[d + 1]]).tobytes() for d in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return need.mapInArrow(full, "id bigint, set binary")
+    return need.mapInArrow(common.task(full), "id bigint, set binary")
+
+
+def _blocks(member: DataFrame, percent: int) -> DataFrame:
+    """``member`` (id, cluster, root, n_shingles) with ``block``: parts of a cluster of about ``BLOCK``
+    shingles, by set size (two sizes that are not neighbours cannot meet the threshold) and by component.
+    A large component fills blocks of its own, so that it is never compared with itself; only sums
+    by cluster, size and component are shuffled, and no task orders a cluster."""
+    cost = F.col("n_shingles") + BLOCK // 800
+    heavy = member.groupBy("cluster").agg(F.sum(cost).alias("all")).where(F.col("all") > BLOCK)
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent)))
+    sized = member.join(heavy, "cluster", "left").withColumn("band", F.when(F.col("all").isNotNull(), step).otherwise(F.lit(0))).drop("all")
+    weight = sized.groupBy("cluster", "band", "root").agg(F.sum(cost).alias("w")).withColumn("own", F.col("w") > BLOCK // 2)
+    rest = weight.where("not own").groupBy("cluster", "band").agg(F.sum("w").alias("rest"))
+    parts = weight.join(rest, ["cluster", "band"], "left").select("cluster", "band", "root", "own", F.ceil(F.when(F.col("own"), F.col("w")).otherwise(F.col("rest")) / BLOCK).alias("parts"))
+    dealt = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("id")).otherwise(F.col("root"))), F.col("parts"))
+    return sized.join(parts, ["cluster", "band", "root"]).select("id", "root", "n_shingles", F.xxhash64("cluster", "band", "own", F.when(F.col("own"), F.col("root")).otherwise(F.lit(0)), dealt).alias("block"))
 
 
 def _cluster_links(shared: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
@@ -298,26 +312,31 @@ def _cluster_links(shared: DataFrame, roots: DataFrame, reps: DataFrame, docs: D
     whole = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min("id").alias("a"))
     open_keys = common.durable(whole.where("lo < hi and n > 2").select("key", "a"))
     if open_keys.isEmpty():
+        common.drop(open_keys)
         return None
-    inside = common.durable(shared.join(open_keys, "key").select("id", "a").distinct())
+    inside = common.durable(shared.join(open_keys, "key").select("key", "id", "a"))
     cluster = components(inside.where("id <> a").select("a", F.col("id").alias("b"))).select("id", F.col("root").alias("cluster"))
     member = cluster.join(roots, "id", "left").select("id", "cluster", F.coalesce("root", "id").alias("root")).join(reps.select("id", "n_shingles"), "id")
-    run = Window.partitionBy("cluster").orderBy("root", "n_shingles", "id").rowsBetween(Window.unboundedPreceding, 0)
-    member = common.durable(member.withColumn("block", F.floor(F.sum(F.col("n_shingles") + BLOCK // 2500).over(run) / BLOCK)))
-    block = member.groupBy("cluster", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    other = block.select("cluster", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least", "most")])
+    member = common.durable(_blocks(member, percent))
+    block = member.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    # only blocks that meet in a bucket are compared
+    met = common.durable(inside.select("key", "id").join(member.select("id", "block"), "id").select("key", "block").distinct().join(block, "block"))
+    other = met.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "least", "most")])
     pairs = common.durable(
-        block.join(other, "cluster")
+        met.join(other, "key")
         .where("block <= block2")
         .where("not (lo = hi and lo2 = hi2 and lo = lo2)")
         .where((F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent))
-        .select("cluster", "block", "block2")
+        .select("block", "block2")
+        .distinct()
     )
-    ends = pairs.select("cluster", F.col("block").alias("at"), "block", "block2").union(pairs.where("block <> block2").select("cluster", F.col("block2").alias("at"), "block", "block2"))
+    ends = pairs.select(F.col("block").alias("at"), "block", "block2").union(pairs.where("block <> block2").select(F.col("block2").alias("at"), "block", "block2"))
     sets = common.durable(_full_sets(docs, member.select("id")))
-    dealt = member.withColumnRenamed("block", "at").join(ends, ["cluster", "at"]).join(sets, "id").select("cluster", "block", "block2", "id", "root", "set")
-    found = dealt.groupBy("cluster", "block", "block2").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
-    return common.durable(found)
+    dealt = member.withColumnRenamed("block", "at").join(ends, "at").join(sets, "id").select("block", "block2", "id", "root", "set")
+    found = dealt.groupBy("block", "block2").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
+    out = common.durable(found)
+    common.drop(open_keys, inside, member, met, pairs, sets)
+    return out
 
 
 def linked_classes(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -325,26 +344,55 @@ def linked_classes(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     members = banded(reps)
     pivots = common.durable(members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"))
     shared = common.durable(members.join(pivots, "key").select("key", "id", "a"))
+    common.drop(pivots)
     pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = _confirmed(common.durable(_estimated(pairs, reps, percent)), docs, percent)
+    likely_pairs = common.durable(_estimated(pairs, reps, percent))
+    links = _confirmed(likely_pairs, docs, percent)
     roots = components(links)
     more = _cluster_links(shared.select("key", "id"), roots, reps, docs, percent)
-    return roots if more is None else components(links.unionByName(more))
+    out = roots if more is None else components(links.unionByName(more))
+    common.drop(shared, likely_pairs, links)
+    return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """docs: (id, text) with unique ids. (id, n_shingles, component) of every row; component is the smallest id of its group."""
     each = common.durable(summarise(docs))
     full = each.where("n_shingles > 0")
     classes = common.durable(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    reps = common.durable(full.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"]).select("id", "n_shingles", "sketch").dropDuplicates(["id", "n_shingles", "sketch"]))
+    reps = common.durable(full.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"]).select("id", "n_shingles", "sketch"))
     roots = linked_classes(reps, docs, percent)
     joined = classes.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").where("copies > 1 or root is not null")
     named = common.durable(joined.select("digest", F.coalesce("root", "rep").alias("component")))
-    out = each.select("id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component", F.coalesce("component", "id"))
-    real = F.when(F.col("id") != NONE, F.col("id"))
-    comp = F.when(F.col("component") != NONE, F.col("component"))
-    return out.select(real.alias("doc_id"), "n_shingles", comp.alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    common.drop(classes, reps, roots)
+    return each.select("id", "n_shingles", "digest").join(named, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    rows = common.keyed(docs.select("doc_id", "text"), "id")
+    found = grouped(rows.select("id", "text"), percent)
+    if not hasattr(rows, "_postlake_path"):
+        return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    # row numbers stand for ids that repeat or are null: a group's name is its smallest doc_id
+    named = common.durable(found.join(rows.select("id", F.col("doc_id").cast("long").alias("doc_id")), "id"))
+    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
+    kept = F.when(F.col("component_id").isNull(), F.col("id") == F.col("first")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return named.join(first, "component").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row of each near-duplicate group, with all columns of ``docs``: that of the smallest doc_id (null last)."""
+    key = common.free_name(docs, "_row")
+    rows = common.keyed(docs, key)
+    found = grouped(rows.select(F.col(key).alias("id"), "text"), percent)
+    if hasattr(rows, "_postlake_path"):
+        named = common.durable(found.join(rows.select(F.col(key).alias("id"), "doc_id"), "id"))
+        first = named.groupBy("component").agg(F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("id"))
+        gone = named.join(first, ["component", "id"], "left_anti").select(F.col("id").alias("_gone"))
+    else:
+        gone = found.where("id <> component").select(F.col("id").alias("_gone"))
+    return rows.join(gone, rows[key] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

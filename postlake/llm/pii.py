@@ -25,15 +25,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches in linear time: one can begin only where a run of digits begins.
+IP_RUN = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Identifier-like tokens: eight or more letters, digits and joiners, two digits among them.
@@ -64,18 +66,20 @@ def _digits(s: str) -> str:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind, then start."""
     out = []
-    at = text.find("@")
+    at, free = text.find("@"), 0
     while at >= 0:
-        # matches lie within runs of the pattern's characters; only runs with an @ are searched
+        # the leftmost match at an @ takes all of the local run before it; what fails there fails from every later start
         start = at
-        while start and (c := text[start - 1]) < "\x7f" and (c.isalnum() or c in "._%+-"):
+        while start > free and (c := text[start - 1]) < "\x7f" and (c.isalnum() or c in "._%+-"):
             start -= 1
-        end = EMAIL_RUN.match(text, start).end()
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, start, end)]
-        at = text.find("@", end)
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append(("email", start, m.end()))
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
     if DIGIT_RUN.search(text) is None:
         return out
-    for m in IP.finditer(text):
+    for m in IP_RUN.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
@@ -153,7 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "occ"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, occ {_OCC_SQL}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.task(run), f"doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, occ {_OCC_SQL}")
 
 
 def learn_patterns(occ: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -166,20 +170,24 @@ def learn_patterns(occ: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float
     for r in range(rounds):
         patterns = scores.groupBy("pattern").agg(F.avg("s").alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds"))
         if r + 1 < rounds:
-            inst = edges.join(patterns, "pattern").groupBy("instance").agg(F.max(F.when(F.col("seeds") >= min_seeds, F.col("confidence")).otherwise(0.0)).alias("c"))
-            scores = edges.join(inst, "instance").select("pattern", "instance", F.when(F.col("seed"), 1.0).otherwise(F.col("c")).alias("s"), "seed")
+            inst = _join_patterns(edges, patterns.where(F.col("seeds") >= min_seeds)).groupBy("instance").agg(F.max("confidence").alias("c"))
+            scores = edges.join(inst, "instance", "left").select("pattern", "instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("c", F.lit(0.0))).alias("s"), "seed")
     return patterns.where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= confidence)).select("pattern", "confidence")
 
 
+def _join_patterns(rows: DataFrame, patterns: DataFrame, salts: int = 16) -> DataFrame:
+    """``rows`` (with pattern) joined with a row of each pattern; a frequent pattern's rows are spread over ``salts`` keys."""
+    spread = patterns.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "pattern"]), F.lit(salts)).cast("int")).join(spread, ["pattern", "_salt"]).drop("_salt")
+
+
 def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
     """Per row: doc_id, counts of base spans by kind, base (spans as text), extra (array of (start, end))."""
     rows = common.durable(scan(docs).withColumn("_row", F.monotonically_increasing_id()))
     each = rows.where(F.size("occ") > 0).select("_row", F.explode("occ").alias("o")).select("_row", "o.*")
     accepted = learn_patterns(each, min_seeds, confidence)
     new = (
-        each.where(~F.col("seed"))
-        .select("_row", "start", "end", F.explode("patterns").alias("pattern"))
-        .join(accepted, "pattern", "left_semi")
+        _join_patterns(each.where(~F.col("seed")).select("_row", "start", "end", F.explode("patterns").alias("pattern")), accepted.select("pattern"))
         .groupBy("_row")
         .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("extra"))
     )
@@ -188,17 +196,23 @@ def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFID
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in angle brackets."""
-    rows = docs.withColumn("_key", F.monotonically_increasing_id())
-    keyed = common.durable(rows)
-    found = find(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "base", "extra").where((F.col("base") != "") | F.col("extra").isNotNull())
-    spans = found.select("_key", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(F.transform(F.col("extra"), lambda x: F.concat(F.lit("other:"), x["start"], F.lit(":"), x["end"])), ",")).alias("_spans"))
+    key, name = common.free_name(docs, "_key"), common.free_name(docs, "_spans")
+    rows = common.keyed(docs, key)
+    found = find(rows.select(F.col(key).alias("doc_id"), "text")).where((F.col("base") != "") | F.col("extra").isNotNull())
+    spans = found.select(F.col("doc_id").alias(key), _all_spans().alias(name))
 
     @F.pandas_udf("string")
     def masked(text, spans):
         return pd.Series([_mask(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    hit = keyed.join(spans, "_key", "left")
-    return hit.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked("text", "_spans"))).select(*docs.columns)
+    hit = rows.join(spans, key, "left")
+    return hit.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(masked("text", name))).select(*docs.columns)
+
+
+def _all_spans() -> Column:
+    """Base spans, then those of kind ``other``, as text."""
+    more = F.array_join(F.transform(F.col("extra"), lambda x: F.concat(F.lit("other:"), x["start"], F.lit(":"), x["end"])), ",")
+    return F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), more)
 
 
 def _mask(text: str | None, spans: str | None) -> str | None:
@@ -214,9 +228,8 @@ def _mask(text: str | None, spans: str | None) -> str | None:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(common.table(spark, sf_dir, "documents"))
-    more = F.array_join(F.transform(F.col("extra"), lambda x: F.concat(F.lit("other:"), x["start"], F.lit(":"), x["end"])), ",")
     return out.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2("base", 256).alias("base_sha256"),
-        F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), more).alias("spans"),
+        _all_spans().alias("spans"),
     )

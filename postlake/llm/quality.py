@@ -137,7 +137,7 @@ def score(docs: DataFrame, share: np.ndarray, bias: float, name: str = "score")
         for batch in batches:
             data, offsets = common.buffers(batch.column(at))
             z = np.empty(len(offsets) - 1)
-            for i, j in common.chunks(offsets, 1 << 20):
+            for i, j in common.chunks(offsets):
                 o = offsets[i : j + 1] - offsets[i]
                 f, owner = features(data[offsets[i] : offsets[j]], o)
                 n = np.bincount(owner, minlength=j - i)
@@ -145,7 +145,7 @@ def score(docs: DataFrame, share: np.ndarray, bias: float, name: str = "score")
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(common.task(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:

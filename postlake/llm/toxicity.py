@@ -282,11 +282,11 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         m = shared.value
         for batch in batches:
             data, offsets = common.buffers(batch.column(at))
-            x = [dense(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], m.learned, m.weights) for i, j in common.chunks(offsets, 1 << 20)]
+            x = [dense(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], m.learned, m.weights) for i, j in common.chunks(offsets)]
             p = m.score(np.concatenate(x)) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(common.task(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
