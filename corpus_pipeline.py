@@ -20,13 +20,13 @@ from postlake.llm import bpe, common, decontaminate, neardup, pii, quality
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score at least 0.3), learnt on labelled rows of docs."""
     share, bias = quality.classifier(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, share, bias, "_quality").where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    name = common.free_name(docs, "_quality")
+    return quality.score(docs, share, bias, name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each near-duplicate group (five words, similarity 0.8)."""
-    gone = neardup.near_duplicates(docs, 80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return neardup.deduplicated(docs, 80)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.durable(stage(spark, docs, sf_dir))
+        before = docs
+        with common.scope():
+            made = stage(spark, docs, sf_dir)
+            with common.apart():
+                docs = common.durable(made)
+        common.drop(before)
     return docs
 
 
