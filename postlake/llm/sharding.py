@@ -24,43 +24,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from postlake.functions.text import let
+
 from . import common
 
 PRIME = 2147483647
 #: Round constants (multiplier, addend), fixed values.
 ROUNDS = [(1103515245, 12345), (1664525, 1013904223), (69069, 362437), (1812433253, 907633385)]
-WALKS = (64, 4096, 1 << 20)
-
-
-def _round(x: Column, width_mask: int, mul: int, add: int) -> Column:
-    y = (x * F.lit(mul) + F.lit(add)) % F.lit(PRIME)
-    return F.shiftright((y * y + y) % F.lit(PRIME), 3).bitwiseAND(F.lit(width_mask).cast("long"))
+#: Steps of the walk, then the most steps of the few rows that are still outside.
+STEPS = (4, 64, 4096, 1 << 16)
 
 
 def feistel(x: Column, bits: int) -> Column:
-    """One pass of the network over ``bits`` bits; halves of bits//2 and the rest swap widths each round."""
+    """One pass of the network over ``bits`` bits; halves of bits//2 and the rest swap widths each round.
+    A fold over the rounds binds both halves, where nesting would repeat one at each of its uses."""
     low = bits // 2
-    high = bits - low
-    left, right = F.shiftright(x, low), x.bitwiseAND(F.lit((1 << low) - 1).cast("long"))
-    wl, wr = high, low
-    for mul, add in ROUNDS:
-        left, right = right, left.bitwiseXOR(_round(right, (1 << wl) - 1, mul, add))
-        wl, wr = wr, wl
-    return F.shiftleft(left, wr).bitwiseOR(right)
+    widths = [(bits - low, low), (low, bits - low)]
+    rounds = F.array(*[F.struct(F.lit(mul).alias("mul"), F.lit(add).alias("add"), F.lit((1 << widths[k % 2][0]) - 1).cast("long").alias("mask")) for k, (mul, add) in enumerate(ROUNDS)])
+
+    def one(half: Column, r: Column) -> Column:
+        y = (half["r"] * r["mul"] + r["add"]) % F.lit(PRIME)
+        f = F.shiftright((y * y + y) % F.lit(PRIME), 3).bitwiseAND(r["mask"])
+        return F.struct(half["r"].alias("l"), half["l"].bitwiseXOR(f).alias("r"))
+
+    start = F.struct(F.shiftright(x, low).alias("l"), x.bitwiseAND(F.lit((1 << low) - 1).cast("long")).alias("r"))
+    return F.aggregate(rounds, start, one, lambda h: F.shiftleft(h["l"], widths[len(ROUNDS) % 2][1]).bitwiseOR(h["r"]))
 
 
 def permute(number: Column, n: int) -> Column:
-    """Image of a row number under the permutation of 0..n-1: walk until inside."""
+    """Image of a row number under the permutation of 0..n-1: walk until inside. At least half of all
+    values are inside after a pass, so most rows take few steps; a walk that never ends is an error."""
     bits = max(2, (max(n, 2) - 1).bit_length())
     bits += bits % 2 if bits < 4 else 0
 
-    def walk(start: Column, most: int) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda acc, _: F.when(acc >= F.lit(n), feistel(acc, bits)).otherwise(acc))
+    def walk(x: Column, steps: tuple) -> Column:
+        if not steps:
+            return F.raise_error(F.lit("a walk left the range")).cast("long")
+        far = F.aggregate(F.sequence(F.lit(1), F.lit(steps[0])), x, lambda acc, _: F.when(acc >= F.lit(n), feistel(acc, bits)).otherwise(acc))
+        return let(far, lambda y: F.when(y < F.lit(n), y).otherwise(walk(y, steps[1:])))
 
-    out = walk(feistel(number, bits), WALKS[0])
-    for most in WALKS[1:]:
-        out = F.when(out < F.lit(n), out).otherwise(walk(out, most))
-    return out
+    return walk(feistel(number, bits), STEPS)
 
 
 def _bucket(x: Column, cuts: list[int]) -> Column:
@@ -117,8 +120,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
         F.xxhash64(text).alias("_tie"),
     )
     ranked, n = numbered(rows, "_key", "_tie")
-    p = permute(F.col("number"), n)
-    return ranked.withColumn("_p", p).select(
+    return ranked.withColumn("_p", permute(F.col("number"), n)).select(
         "doc_id",
         "size",
         "text_crc32",
