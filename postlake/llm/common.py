@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------
@@ -77,6 +77,19 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes up to which a counted table is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame, row_bytes: Column | int = 16) -> DataFrame:
+    """A written copy of ``df``, marked for broadcast where its counted bytes are at most
+    BROADCAST_BYTES; beyond that the same join shuffles."""
+    made = durable(df)
+    size = row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes)
+    total = made.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(made) if total <= BROADCAST_BYTES else made
+
+
 def keyed(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with a column ``key`` (long) that is unique and never null: doc_id itself
     where it is so, else row numbers, fixed by writing the rows once."""
