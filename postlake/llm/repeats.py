@@ -205,6 +205,7 @@ def settle(t: dict) -> np.ndarray:
     best = np.repeat(t["doc"][:, None], REACH + 1, 1)
     if not n:
         return best
+    flat = best.reshape(-1)
     new = np.ones(n, bool)
     new[1:] = t["gram"][1:] != t["gram"][:-1]
     group = np.cumsum(new) - 1
@@ -222,11 +223,11 @@ def settle(t: dict) -> np.ndarray:
             end += 1
         r, s, e = rows[cut:end], starts[cut:end], ends[cut:end]
         for members, length in maximal_groups(t["text"], r, s, e, np.zeros(len(r), np.int64), LEAST):
-            low = t["doc"][r[members]].min()
-            for k in members:
-                if t["doc"][r[k]] > low:
-                    row = best[r[k], s[k] : s[k] + length - LEAST + 1]
-                    np.minimum(row, low, out=row)
+            docs = t["doc"][r[members]]
+            low = docs.min()
+            later = members[docs > low]
+            at = (r[later] * (REACH + 1) + s[later])[:, None] + np.arange(length - LEAST + 1)
+            flat[at] = np.minimum(flat[at], low)
         cut = end
     return best
 
@@ -258,8 +259,21 @@ def _entries_of(blob: bytes) -> dict:
     return out
 
 
-def _bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
-    return (common.mix(g) % np.uint64(buckets)).astype(np.int64)
+class Dealt:
+    """Rows dealt to hash buckets: sorted once, then cut; ``of(b)`` are the rows of bucket b, in order."""
+
+    def __init__(self, g: np.ndarray, buckets: int):
+        b = (common.mix(g) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(b, kind="stable")
+        self.found, first = np.unique(b[self.order], return_index=True)
+        self.cuts = np.append(first, len(b))
+
+    def of(self, bucket: int) -> np.ndarray:
+        i = int(np.searchsorted(self.found, bucket))
+        return self.order[self.cuts[i] : self.cuts[i + 1]] if i < len(self.found) and self.found[i] == bucket else self.order[:0]
+
+    def parts(self) -> list[np.ndarray]:
+        return np.split(self.order, self.cuts[1:-1]) if len(self.found) else []
 
 
 def packs(docs: DataFrame, size: int = PACK) -> DataFrame:
@@ -279,7 +293,7 @@ def packs(docs: DataFrame, size: int = PACK) -> DataFrame:
             types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["pack", "ids", "nulls", "offsets", "body", "n_bytes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "pack bigint, ids binary, nulls binary, offsets binary, body binary, n_bytes bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.task(run), "pack bigint, ids binary, nulls binary, offsets binary, body binary, n_bytes bigint")
 
 
 def _read(batch: pa.RecordBatch, k: int) -> tuple[int, Entries]:
@@ -291,10 +305,10 @@ def _read(batch: pa.RecordBatch, k: int) -> tuple[int, Entries]:
 def _shared(e: Entries, bits: list, buckets: int) -> np.ndarray:
     """The pack's hashes that the buckets answered to be shared."""
     g, _ = e.hashes()
-    b = _bucket_of(g, buckets)
+    dealt = Dealt(g, buckets)
     keep = np.zeros(len(g), bool)
     for x in bits:
-        at = np.flatnonzero(b == x["bucket"])
+        at = dealt.of(x["bucket"])
         keep[at] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=len(at)).astype(bool)
     return g[keep]
 
@@ -312,9 +326,9 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK, bucket_bytes: int =
             for k in range(batch.num_rows):
                 p, e = _read(batch, k)
                 g, several = e.hashes()
-                b = _bucket_of(g, buckets)
-                found = np.unique(b)
-                blobs = [g[b == x].tobytes() + several[b == x].tobytes() for x in found]
+                dealt = Dealt(g, buckets)
+                found = dealt.found
+                blobs = [g[x].tobytes() + several[x].tobytes() for x in dealt.parts()]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), p), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "pack", "blob"])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -338,7 +352,7 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK, bucket_bytes: int =
         bits = [np.packbits(shared[e - len(x) : e]).tobytes() for x, e in zip(gs, ends, strict=True)]
         return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
-    first = pack.mapInArrow(ask, "bucket bigint, pack bigint, blob binary").groupBy("bucket").applyInArrow(answer, "pack bigint, bucket bigint, bits binary")
+    first = pack.mapInArrow(common.task(ask), "bucket bigint, pack bigint, blob binary").groupBy("bucket").applyInArrow(answer, "pack bigint, bucket bigint, bits binary")
     bits = common.durable(first.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,9 +360,9 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK, bucket_bytes: int =
             for k in range(batch.num_rows):
                 p, e = _read(batch, k)
                 t, _, _ = e.distinct(_shared(e, batch.column("bits")[k].as_py() or [], buckets))
-                b = _bucket_of(t["gram"], buckets)
-                found = np.unique(b)
-                blobs = [_entries_blob(t, np.flatnonzero(b == x)) for x in found]
+                dealt = Dealt(t["gram"], buckets)
+                found = dealt.found
+                blobs = [_entries_blob(t, x) for x in dealt.parts()]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), p), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "pack", "blob"])
 
     def judge(table: pa.Table) -> pa.Table:
@@ -367,7 +381,7 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK, bucket_bytes: int =
         return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "best": pa.array(out, pa.binary())})
 
     known = pack.join(bits, "pack", "left")
-    second = known.mapInArrow(send, "bucket bigint, pack bigint, blob binary").groupBy("bucket").applyInArrow(judge, "pack bigint, bucket bigint, best binary")
+    second = known.mapInArrow(common.task(send), "bucket bigint, pack bigint, blob binary").groupBy("bucket").applyInArrow(judge, "pack bigint, bucket bigint, best binary")
     best = common.durable(second.groupBy("pack").agg(F.collect_list(F.struct("bucket", "best")).alias("best")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,17 +390,17 @@ def remove_repeats(docs: DataFrame, pack_bytes: int = PACK, bucket_bytes: int =
                 _, e = _read(batch, k)
                 t, place, pick = e.distinct(_shared(e, batch.column("bits")[k].as_py() or [], buckets))
                 low = np.repeat(t["doc"][:, None], REACH + 1, 1)
-                b = _bucket_of(t["gram"], buckets)
+                dealt = Dealt(t["gram"], buckets)
                 for x in batch.column("best")[k].as_py() or []:
                     raw = _open(x["best"])
                     n, m = (int(v) for v in np.frombuffer(raw, np.int64, 2))
-                    at = np.flatnonzero(b == x["bucket"])
+                    at = dealt.of(x["bucket"])
                     low[at] = np.frombuffer(raw, np.int64, n, 16)[:, None]
                     r, lows = np.frombuffer(raw, np.int64, m, 16 + 8 * n), np.frombuffer(raw, np.int64, m, 16 + 8 * n + 8 * m)
                     low[at[r], np.frombuffer(raw, np.uint8, m, 16 + 8 * n + 16 * m)] = lows
                 yield _results(e, low, place, pick, np.frombuffer(batch.column("nulls")[k].as_py(), bool))
 
-    out = known.join(best, "pack", "left").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = known.join(best, "pack", "left").mapInArrow(common.task(cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out
 
 
