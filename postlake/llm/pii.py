@@ -9,6 +9,8 @@ confidence is the mean score of its distinct instances, an instance's score is
 that of its best patterns; seeds score 1. Patterns that enough distinct seeds
 support with high confidence then mark unseen identifiers of the same shape,
 as spans of kind ``other`` after the base kinds; they never replace base spans.
+Long random-looking strings (32 or more letters and digits, eight of each at
+least) are seeds too, and spans of kind ``secret``.
 
 One pass over the texts writes a small table (row id, counts, base spans,
 candidate tokens with their patterns) to the shared folder; all graph work runs
@@ -44,6 +46,8 @@ DIGIT_RUN = re.compile(r"[0-9]")
 BEFORE = re.compile(r"(\S{1,24})\s*\S{0,3}\Z")
 AFTER = re.compile(r"\S{0,3}\s*(\S{1,24})")
 
+#: Least length of a random-looking string and least number of its letters and of its digits.
+SECRET, MIXED = 32, 8
 MIN_SEEDS = 3
 CONFIDENCE = 0.7
 ROUNDS = 2
@@ -93,6 +97,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secret(token: str) -> bool:
+    """A long string of letters and digits without a joiner, many of each."""
+    if len(token) < SECRET or not token.isalnum():
+        return False
+    digits = sum("0" <= c <= "9" for c in token)
+    return digits >= MIXED and len(token) - digits >= MIXED
+
+
 def show(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -115,13 +127,13 @@ def _patterns(text: str, a: int, b: int, form: str) -> list[str]:
 
 
 def occurrences(text: str) -> tuple[list[tuple[str, int, int]], list[dict]]:
-    """Base spans, and identifier-like occurrences (base ones flagged as seeds) with their patterns."""
+    """Base spans, and identifier-like occurrences with their patterns; seeds carry their kind."""
     spans = base_spans(text)
     found = []
     taken = sorted((a, b) for _, a, b in spans)
     for k, a, b in spans:
         form = "email" if k == "email" else shape(text[a:b])
-        found.append({"start": a, "end": b, "instance": text[a:b].lower(), "seed": True, "patterns": _patterns(text, a, b, form)})
+        found.append({"start": a, "end": b, "instance": text[a:b].lower(), "kind": k, "patterns": _patterns(text, a, b, form)})
     if DIGIT_RUN.search(text):
         i = 0
         for m in TOKEN.finditer(text):
@@ -132,12 +144,12 @@ def occurrences(text: str) -> tuple[list[tuple[str, int, int]], list[dict]]:
                 i += 1
             if i < len(taken) and taken[i][0] < b:
                 continue
-            found.append({"start": a, "end": b, "instance": m.group().lower(), "seed": False, "patterns": _patterns(text, a, b, shape(m.group()))})
+            found.append({"start": a, "end": b, "instance": m.group().lower(), "kind": "secret" if secret(m.group()) else None, "patterns": _patterns(text, a, b, shape(m.group()))})
     return spans, found
 
 
-_OCC = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
-_OCC_SQL = "array<struct<start:bigint,end:bigint,instance:string,seed:boolean,patterns:array<string>>>"
+_OCC = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("kind", pa.string()), ("patterns", pa.list_(pa.string()))]))
+_OCC_SQL = "array<struct<start:bigint,end:bigint,instance:string,kind:string,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -182,14 +194,16 @@ def _join_patterns(rows: DataFrame, patterns: DataFrame, salts: int = 16) -> Dat
 
 
 def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """Per row: doc_id, counts of base spans by kind, base (spans as text), extra (array of (start, end))."""
+    """Per row: doc_id, counts of base spans by kind, base (spans as text), extra (array of (kind, start, end))."""
     rows = common.durable(scan(docs).withColumn("_row", F.monotonically_increasing_id()))
-    each = rows.where(F.size("occ") > 0).select("_row", F.explode("occ").alias("o")).select("_row", "o.*")
+    each = rows.where(F.size("occ") > 0).select("_row", F.explode("occ").alias("o")).select("_row", "o.*").withColumn("seed", F.col("kind").isNotNull())
     accepted = learn_patterns(each, min_seeds, confidence)
     new = (
         _join_patterns(each.where(~F.col("seed")).select("_row", "start", "end", F.explode("patterns").alias("pattern")), accepted.select("pattern"))
+        .select("_row", "start", "end", F.lit("other").alias("kind"))
+        .unionByName(each.where(F.col("kind") == "secret").select("_row", "start", "end", "kind"))
         .groupBy("_row")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("extra"))
+        .agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("extra"))
     )
     return rows.drop("occ").join(new, "_row", "left").drop("_row")
 
@@ -199,7 +213,7 @@ def redact(docs: DataFrame) -> DataFrame:
     key, name = common.free_name(docs, "_key"), common.free_name(docs, "_spans")
     rows = common.keyed(docs, key)
     found = find(rows.select(F.col(key).alias("doc_id"), "text")).where((F.col("base") != "") | F.col("extra").isNotNull())
-    spans = found.select(F.col("doc_id").alias(key), _all_spans().alias(name))
+    spans = common.bounded(found.select(F.col("doc_id").alias(key), _all_spans().alias(name)), F.octet_length(name) + 32)
 
     @F.pandas_udf("string")
     def masked(text, spans):
@@ -211,7 +225,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def _all_spans() -> Column:
     """Base spans, then those of kind ``other``, as text."""
-    more = F.array_join(F.transform(F.col("extra"), lambda x: F.concat(F.lit("other:"), x["start"], F.lit(":"), x["end"])), ",")
+    more = F.array_join(F.transform(F.col("extra"), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), more)
 
 
@@ -232,4 +246,5 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2("base", 256).alias("base_sha256"),
         _all_spans().alias("spans"),
+        (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.when(F.col("extra").isNull(), 0).otherwise(F.size("extra"))).cast("long").alias("n_spans"),
     )
