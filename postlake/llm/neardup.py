@@ -296,12 +296,12 @@ def _blocks(member: DataFrame, percent: int) -> DataFrame:
     A large component fills blocks of its own, so that it is never compared with itself; only sums
     by cluster, size and component are shuffled, and no task orders a cluster."""
     cost = F.col("n_shingles") + BLOCK // 800
-    heavy = member.groupBy("cluster").agg(F.sum(cost).alias("all")).where(F.col("all") > BLOCK)
+    heavy = common.bounded(member.groupBy("cluster").agg(F.sum(cost).alias("all")).where(F.col("all") > BLOCK))
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent)))
     sized = member.join(heavy, "cluster", "left").withColumn("band", F.when(F.col("all").isNotNull(), step).otherwise(F.lit(0))).drop("all")
     weight = sized.groupBy("cluster", "band", "root").agg(F.sum(cost).alias("w")).withColumn("own", F.col("w") > BLOCK // 2)
     rest = weight.where("not own").groupBy("cluster", "band").agg(F.sum("w").alias("rest"))
-    parts = weight.join(rest, ["cluster", "band"], "left").select("cluster", "band", "root", "own", F.ceil(F.when(F.col("own"), F.col("w")).otherwise(F.col("rest")) / BLOCK).alias("parts"))
+    parts = common.bounded(weight.join(rest, ["cluster", "band"], "left").select("cluster", "band", "root", "own", F.ceil(F.when(F.col("own"), F.col("w")).otherwise(F.col("rest")) / BLOCK).alias("parts")), 40)
     dealt = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("id")).otherwise(F.col("root"))), F.col("parts"))
     return sized.join(parts, ["cluster", "band", "root"]).select("id", "root", "n_shingles", F.xxhash64("cluster", "band", "own", F.when(F.col("own"), F.col("root")).otherwise(F.lit(0)), dealt).alias("block"))
 
@@ -392,6 +392,7 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
         gone = named.join(first, ["component", "id"], "left_anti").select(F.col("id").alias("_gone"))
     else:
         gone = found.where("id <> component").select(F.col("id").alias("_gone"))
+    gone = common.bounded(gone)
     return rows.join(gone, rows[key] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
