@@ -1,8 +1,8 @@
 """Operator 4: quality classifier with supervised subword embeddings.
 
 Each text becomes a bag of hashed features: words, word pairs (a word followed
-by itself shares one feature), and byte 3- and 4-grams. Features look up learned
-vectors, a document is their average, and a softmax over two classes gives the
+by itself shares one feature), and the 3- and 4-grams of characters inside words
+with the space on either side. Features look up learned vectors, a document is their average, and a softmax over two classes gives the
 score. Vectors and output weights are fitted together by stochastic gradient
 descent in numpy, on at most ``max_rows`` labelled rows (the documented bound;
 lowest hash of doc_id first), which alone reach the driver. As the score is
@@ -13,7 +13,7 @@ Every row is scored over its whole text. Null and empty texts get the score of
 the bias alone; without labels of both classes the score is the share of label 1
 among them (0.5 without any); null labels are left out; a doc_id with several
 labels takes the smallest; repeated rows are scored alike; an empty table gives
-no rows. Only doc_id and text are read; extra columns are not.
+no rows. Only doc_id and text are read; a column that has the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -42,18 +42,28 @@ _G3, _G4, _PAIR, _SAME = common.keys(11, 4)
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features of a run of documents, and the document of each."""
     buckets, owner = [], []
-    n = len(data)
-    doc_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     with np.errstate(over="ignore"):
-        d = data.astype(np.uint64)
+        # characters: code points, and where each document's begin; bytes that are no UTF-8 stand for themselves
+        try:
+            chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+            lead = np.zeros(len(data) + 1, np.int64)
+            np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
+            first = lead[offsets]
+        except UnicodeDecodeError:
+            chars, first = data.astype(np.uint32), offsets
+        n = len(chars)
+        doc_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(first))
+        space = common.SPACE[np.minimum(chars, 255)] & (chars < 128)
+        c = np.where(space, np.uint32(32), chars).astype(np.uint64)
         for size, key in ((3, _G3), (4, _G4)):
             if n >= size:
-                g = d[: n - size + 1].copy()
+                g = c[: n - size + 1].copy()
                 for k in range(1, size):
-                    g = (g << np.uint64(8)) | d[k : n - size + 1 + k]
+                    g = (g << np.uint64(21)) ^ (g >> np.uint64(43)) ^ c[k : n - size + 1 + k]
                 inside = doc_of[: n - size + 1] == doc_of[size - 1 :]
-                b = ((g + np.uint64(size)) * key) >> _SHIFT
-                buckets.append(b[inside])
+                for k in range(1, size - 1):
+                    inside &= ~space[k : n - size + 1 + k]
+                buckets.append((common.mix((g + np.uint64(size)) * key) >> _SHIFT)[inside])
                 owner.append(doc_of[: n - size + 1][inside])
         w = common.Words(data, offsets, common._LETTERS)
         word_doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(w.first))
@@ -127,8 +137,8 @@ def remainder(doc_id: Column, m: int) -> Column:
 
 
 def score(docs: DataFrame, share: np.ndarray, bias: float, name: str = "score") -> DataFrame:
-    """The columns of ``docs`` and the score of every whole text; no shuffle."""
-    spark = docs.sparkSession
+    """The columns of ``docs`` and the score of every whole text; no shuffle. An older column of that name goes."""
+    spark, docs = docs.sparkSession, docs.drop(name)
     model = spark.sparkContext.broadcast((share.astype(np.float32), bias))
     at = docs.columns.index("text")
 
