@@ -1,8 +1,8 @@
 """Operator 8: toxicity by gradient-boosted trees over dense features.
 
 Features of a whole text: counts and densities of two lexicons (a fixed seed
-list of abusive words, and words and word beginnings that the training rows show
-to be far more common under label 1), distance of their hits to second-person words, hits that
+list of abusive words, and the up to ``LEARNED`` words and word beginnings that the
+training rows show most clearly to be far more common under label 1), distance of their hits to second-person words, hits that
 appear only after undoing letter substitutions, and rates of capitals,
 exclamation and other punctuation, digits, mixed letter-and-symbol words and
 long character runs. Trees are fitted with logistic loss on binned features in
@@ -14,7 +14,8 @@ first) reach the driver. The model is a few KB and is broadcast. Every row is
 scored over its whole text. Null and empty texts have all features 0 and are
 scored like any other; without labels of both classes the score is the share of
 label 1 (0.5 without any); null labels are left out; repeated rows score alike;
-an empty table gives no rows. Only doc_id and text are read.
+an empty table gives no rows. Only doc_id and text are read; a column that has the
+score's name is replaced.
 """
 
 from __future__ import annotations
@@ -274,7 +275,8 @@ def classifier(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """The columns of ``docs`` and the score of every whole text; no shuffle."""
+    """The columns of ``docs`` and the score of every whole text; no shuffle. An older column of that name goes."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
