@@ -7,8 +7,9 @@ deterministic parser (next control string ends the field, then one backslash is
 taken from every escaped control string), and only where the recovered field
 differs from the source is it escaped, which puts one backslash after the first
 character of every control string, plain or already escaped. Escaping is a
-bijection onto texts without control strings, so the second parse is identical;
-``recovered`` keeps what was parsed and ``parsed_ok`` whether it is the source.
+bijection onto texts without control strings, so the second parse is identical.
+The whole render is reparsed as well, and escaped in every field where it should
+differ; ``recovered`` keeps what was parsed, ``parsed_ok`` whether it is the source.
 
 A conversation is one output row, so its turns meet in one task; they are
 aggregated as an array of small structs per conv_id, and no other key is used.
@@ -60,23 +61,11 @@ def format_turns(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", "text"))).alias("turns"))
-    rendered = whole.withColumn(
-        "formatted",
-        F.array_join(
-            F.transform("turns", lambda t: F.concat(F.lit(ROLE_OPEN), settled(t["role"]), F.lit(ROLE_CLOSE), settled(t["text"]), F.lit(TEXT_CLOSE + TURN_CLOSE))),
-            "",
-        ),
-    )
-    # the parser: turns end at TURN_CLOSE, roles at ROLE_CLOSE; neither is left inside a field
-    fields = F.transform(
-        F.filter(F.split("formatted", TURN_CLOSE), lambda t: t != F.lit("")),
-        lambda t: F.struct(
-            unescape(F.split(F.substr(t, F.lit(len(ROLE_OPEN) + 1)), r"\[INST\]", 2)[0]).alias("role"),
-            unescape(F.split(F.split(t, r"\[INST\]", 2)[1], r"\[/INST\]", 2)[0]).alias("text"),
-        ),
-    )
-    back = rendered.withColumn("recovered", fields)
+    back = whole.withColumn("first", _render(settled)).withColumn("parsed", _parse(F.col("first")))
     source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    # the whole render is reparsed too: where it differs, every field is escaped
+    back = back.withColumn("agrees", F.col("parsed") == source).withColumn("formatted", F.when(F.col("agrees"), F.col("first")).otherwise(_render(escape)))
+    back = back.withColumn("recovered", F.when(F.col("agrees"), F.col("parsed")).otherwise(_parse(F.col("formatted"))))
     return back.select(
         "conv_id",
         "formatted",
@@ -86,10 +75,27 @@ def format_turns(rows: DataFrame) -> DataFrame:
     )
 
 
+def _render(field) -> Column:
+    """The template over the array ``turns``; ``field`` makes the text of a field."""
+    turn = lambda t: F.concat(F.lit(ROLE_OPEN), field(t["role"]), F.lit(ROLE_CLOSE), field(t["text"]), F.lit(TEXT_CLOSE + TURN_CLOSE))
+    return F.array_join(F.transform("turns", turn), "")
+
+
+def _parse(formatted: Column) -> Column:
+    """Turns read back: they end at TURN_CLOSE, roles at ROLE_CLOSE; neither is left inside a field."""
+    return F.transform(
+        F.filter(F.split(formatted, TURN_CLOSE), lambda t: t != F.lit("")),
+        lambda t: F.struct(
+            unescape(F.split(F.substr(t, F.lit(len(ROLE_OPEN) + 1)), r"\[INST\]", 2)[0]).alias("role"),
+            unescape(F.split(F.split(t, r"\[INST\]", 2)[1], r"\[/INST\]", 2)[0]).alias("text"),
+        ),
+    )
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     out = format_turns(rows.unionByName(extra))
     digest = F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
