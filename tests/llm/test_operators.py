@@ -319,7 +319,8 @@ def test_fingerprints_against_brute_force(docs, none):
         nxt = real[(i + 1) % len(real)][1]
         e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         f = lambda x: xxhash.xxh3_128_hexdigest(fingerprint.canonical(x))
-        want.append((None if k == -(1 << 63) else k, len(t), hashlib.sha256(e.encode()).hexdigest(), f(t), f(e), float(f(t) == f(e)), float(f(t) == f(nxt))))
+        group = min((j for j, x in real if j != -(1 << 63) and f(x) == f(t)), default=None)
+        want.append((None if k == -(1 << 63) else k, len(t), hashlib.sha256(e.encode()).hexdigest(), f(t), f(e), float(f(t) == f(e)), float(f(t) == f(nxt)), group))
     assert got == sorted(want, key=key)
     assert fingerprint.fingerprints(none).count() == 0
 
@@ -341,7 +342,6 @@ def test_duplicate_groups_compare_bytes(spark, monkeypatch):
     from types import SimpleNamespace
 
     monkeypatch.setattr(fingerprint, "xxhash", SimpleNamespace(xxh3_128_hexdigest=lambda c: "same"))
-    monkeypatch.setattr(fingerprint.F, "sha2", lambda c, n: F.lit("same"))
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, " A"), (4, "B "), (5, "c"), (None, "a")], "doc_id bigint, text string")
     assert collected(fingerprint.duplicate_groups(docs).select("doc_id", "group_id")) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5), (None, 1)]
 
@@ -405,8 +405,18 @@ def test_shards(spark, docs, none):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 64, 1000])
 def test_permutation_is_a_bijection(spark, n):
-    got = [r[0] for r in spark.range(n).select(sharding.permute(F.col("id"), n)).collect()]
-    assert sorted(got) == list(range(n))
+    rows = spark.range(n)
+    got = {r.id: r.p for r in rows.select("id", sharding.permute(F.col("id"), n).alias("p")).collect()}
+    assert sorted(got.values()) == list(range(n))
+    # against the nested form of the network, walked in Python
+    bits = max(2, (max(n, 2) - 1).bit_length())
+    bits += bits % 2 if bits < 4 else 0
+    one = {r.id: r.y for r in spark.range(1 << bits).select("id", sharding.feistel(F.col("id"), bits).alias("y")).collect()}
+    for x, p in got.items():
+        y = one[x]
+        while y >= n:
+            y = one[y]
+        assert p == y
 
 
 # ---- op 10
