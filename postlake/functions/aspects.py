@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import aspect_data as A
 from . import rules_data as R
-from .text import clauses
+from .text import clauses, contains_any
 
 W, D = r"[\p{L}\p{N}_]", "[ऀ-ॿ]"
 # Negation and fixed-problem patterns.
@@ -37,9 +37,9 @@ def clause_scores(clause: Column) -> tuple[Column, Column]:
     words = F.array_distinct(F.regexp_extract_all(clause, F.lit(rf"{D}+|{W}+(?:-{W}+)?"), 0))
 
     def score(signals: list[str]) -> Column:
-        single = F.array(*[F.lit(x) for x in signals if " " not in x])
+        single = [x for x in signals if " " not in x]
         phrases = F.array(*[F.lit(x) for x in signals if " " in x])
-        return F.size(F.array_intersect(words, single)) + 2 * F.size(F.filter(phrases, lambda p: F.contains(clause, p)))
+        return F.size(F.filter(words, lambda w: w.isin(single))) + 2 * F.size(F.filter(phrases, lambda p: F.contains(clause, p)))
 
     return score(A.POSITIVE), score(A.NEGATIVE)
 
@@ -48,36 +48,53 @@ def reversal(text: Column) -> Column:
     return F.lower(text).rlike("(?iu)" + REVERSAL)
 
 
+#: All keywords: a clause without any of them as a substring mentions no aspect.
+KEYWORDS = list(dict.fromkeys(k for ks in A.ASPECTS.values() for k in ks))
+# Words without which the negation and fixed-problem patterns cannot match.
+SHIFTS = ["not", "never", "no", "hardly", "scarcely", "नाही", "नहीं", "नाहीत", "fixed", "resolved", "eliminated", "zero", "gayab", "gone", "मिटले", "दूर"]
+
+
 def clause_table(text: Column) -> Column:
-    """Array of (clause, pos, neg): signals and negation shifts; neg3 marks a repaired problem."""
+    """Array of (clause, p, g, fixed, names) of the clauses that mention an aspect: signals with
+    negation shifts, whether a problem is repaired, and the aspects."""
+    own = F.filter(clauses(text), lambda c: contains_any(c, KEYWORDS))
 
     def one(c: Column) -> Column:
         p, g = clause_scores(c)
-        p = p + F.when(c.rlike("(?iu)" + NOT_BAD), 1).otherwise(0)
-        g = g + F.when(c.rlike("(?iu)" + NOT_GOOD), 2).otherwise(0)
-        fixed = c.rlike("(?iu)" + REPAIRED)
-        return F.struct(c.alias("clause"), (p + F.when(fixed, 3).otherwise(0)).alias("p"), g.alias("g"), fixed.alias("fixed"))
+        shifted = contains_any(c, SHIFTS)
+        fixed = shifted & c.rlike("(?iu)" + REPAIRED)
+        p = p + F.when(shifted & c.rlike("(?iu)" + NOT_BAD), 1).otherwise(0) + F.when(fixed, 3).otherwise(0)
+        g = g + F.when(shifted & c.rlike("(?iu)" + NOT_GOOD), 2).otherwise(0)
+        names = F.array(*[F.when(contains_any(c, A.ASPECTS[a]) & c.rlike(keyword_pattern(a)), F.lit(a)) for a in NAMES])
+        return F.struct(p.alias("p"), g.alias("g"), fixed.alias("fixed"), names.alias("names"))
 
-    return F.transform(clauses(text), one)
+    return F.transform(own, one)
 
 
 def aspect_of(table: Column, reverse: Column, aspect: str) -> Column:
     """positive, negative, neutral, or null where no clause mentions the aspect."""
-    own = F.filter(table, lambda c: c["clause"].rlike(keyword_pattern(aspect)))
-    total = F.aggregate(
-        own,
-        F.struct(F.lit(0).alias("p"), F.lit(0).alias("g")),
-        lambda acc, c: F.struct((acc["p"] + c["p"]).alias("p"), F.when(c["fixed"], F.greatest(F.lit(0), acc["g"] + c["g"] - 3)).otherwise(acc["g"] + c["g"]).alias("g")),
-        lambda acc: acc["p"] - acc["g"],
-    )
-    plain = F.when(total > 0, "positive").when(total < 0, "negative").otherwise("neutral")
-    turned = F.when(total > 0, "negative").when(total < 0, "positive").otherwise("negative")
-    return F.when(F.size(own) > 0, F.when(reverse, turned).otherwise(plain))
+    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("g"), F.lit(0).alias("n"))
+
+    def step(acc: Column, c: Column) -> Column:
+        g = acc["g"] + c["g"]
+        more = F.struct((acc["p"] + c["p"]).alias("p"), F.when(c["fixed"], F.greatest(F.lit(0), g - 3)).otherwise(g).alias("g"), (acc["n"] + 1).alias("n"))
+        return F.when(F.array_contains(c["names"], aspect), more).otherwise(acc)
+
+    def decided(t: Column) -> Column:
+        d = t["p"] - t["g"]
+        plain = F.when(d > 0, "positive").when(d < 0, "negative").otherwise("neutral")
+        turned = F.when(d > 0, "negative").when(d < 0, "positive").otherwise("negative")
+        return F.when(t["n"] > 0, F.when(reverse, turned).otherwise(plain))
+
+    return F.when(F.size(table) > 0, F.aggregate(table, start, step, decided))
 
 
 def with_aspects(df, text: str = "text"):
     """``df`` with one column aspect_<name> each, n_good and n_bad."""
-    x = df.withColumn("_clauses", clause_table(F.coalesce(F.col(text), F.lit("")))).withColumn("_turn", reversal(F.coalesce(F.col(text), F.lit(""))))
+    t = F.coalesce(F.col(text), F.lit(""))
+    # most texts hold no keyword at all and stop here
+    some = contains_any(F.lower(t), KEYWORDS)
+    x = df.withColumn("_clauses", F.when(some, clause_table(t))).withColumn("_turn", F.when(F.size("_clauses") > 0, reversal(t)))
     for a in NAMES:
         x = x.withColumn(f"aspect_{a}", aspect_of(F.col("_clauses"), F.col("_turn"), a))
     count = lambda v: sum((F.when(F.col(f"aspect_{a}") == v, 1).otherwise(0) for a in NAMES), F.lit(0))

@@ -154,7 +154,7 @@ def scan(toks: Column) -> Column:
 def normalised(df, text: str, out: str = "text", score: str = "indic_polarity"):
     """``df`` with the rewritten text and its polarity; texts without Devanagari stay and score 0."""
     t = F.coalesce(F.col(text), F.lit(""))
-    x = df.withColumn("_p", phrases(t)).withColumn("_t", tokens(F.col("_p.text"))).withColumn("_s", F.when(F.size("_t") > 0, scan(F.col("_t"))))
     indic = t.rlike("[ऀ-ॿ]")
+    x = df.withColumn("_p", F.when(indic, phrases(t))).withColumn("_t", tokens(F.col("_p.text"))).withColumn("_s", F.when(F.size("_t") > 0, scan(F.col("_t"))))
     x = x.withColumn("_new", F.when(indic, F.array_join(F.coalesce("_s.out", F.array().cast("array<string>")), " ")).otherwise(t)).withColumn("_score", F.when(indic, F.col("_p.score") + F.coalesce("_s.score", F.lit(0.0))).otherwise(0.0))
     return x.withColumn(out, F.col("_new")).withColumn(score, F.col("_score")).drop("_p", "_t", "_s", "_new", "_score")

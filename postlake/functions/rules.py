@@ -14,7 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules_data as R
+from .text import contains_any
 
+# Thread contexts.
 DISASTER_CONTEXT = r"\b(outage|offline|crashed|crashing|failed|failing|failure|broken|delay|delayed|incident|emergency|fire|hack|breach|vulnerability|loss|lost|refund|error|layoff|cancelled|canceled|leak|stole|stolen|dropped|unrecoverable|kernel\s+panic|untested|rollback|hung|post-mortem|charged\s+.*by\s+mistake)\b"
 TRIUMPH_CONTEXT = r"\b(99\.999%|zero\s+downtime|no\s+downtime|zero\s+customer-facing|zero\s+remediation|soc2\s+type\s+ii|successfully\s+achieved|ahead\s+of\s+.*schedule|delivered\s+all|without\s+a\s+hiccup|successfully\s+processed|10x\s+throughput)\b"
 # Praise that a thread context turns or confirms, and lone reactions.
@@ -31,6 +33,10 @@ AURA_GOOD = r"(?:aura\s*\+\s*\d+|\+\s*\d+\s*aura|infinite\s+aura)"
 SLANG_VETO = ["क्रैश", "crash", "बग", "bug", "हँग", "hang", "slow", "स्लो"]
 
 
+#: Every match of the bait-and-switch pattern holds one of these.
+BAIT_WORDS = ["prepared", "expect", "would"]
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -43,7 +49,7 @@ class Has:
     subject: str = "low"
 
     def col(self, env) -> Column:
-        return env[self.subject].rlike("|".join(re.escape(w) for w in self.words))
+        return contains_any(env[self.subject], self.words)
 
     def sql(self) -> str:
         return "(" + " OR ".join(f"contains({self.subject}, {_q(w)})" for w in self.words) + ")"
@@ -136,8 +142,7 @@ class Trope:
                 spared = spared | F.contains(low, F.concat(F.lit(x), w))
             return F.contains(low, w) & ~spared
 
-        out = F.exists(F.array(*map(F.lit, self.words)), plain)
-        return has(self.words).col(env) & out
+        return F.exists(F.array(*map(F.lit, self.words)), plain)
 
     def sql(self) -> str:
         return "(" + " OR ".join(f"(contains(low, {_q(w)}) AND NOT (" + " OR ".join(f"contains(low, {_q(s + w)})" for s in self.spare) + "))" for w in self.words) + ")"
@@ -149,10 +154,10 @@ class Contrast:
 
     def col(self, env) -> Column:
         low = env["low"]
-        pos, neg = "|".join(map(re.escape, R.CONTRAST_POSITIVE)), "|".join(map(re.escape, R.CONTRAST_NEGATIVE))
+        pos, neg = (lambda c: contains_any(c, R.CONTRAST_POSITIVE)), (lambda c: contains_any(c, R.CONTRAST_NEGATIVE))
 
         def clash(a: Column, b: Column) -> Column:
-            return (a.rlike(pos) & b.rlike(neg)) | (a.rlike(neg) & b.rlike(pos))
+            return (pos(a) & neg(b)) | (neg(a) & pos(b))
 
         comma = F.split(low, ",", 2)
         parts = F.split(low, "(?iu)" + R.CONJUNCTIONS[0], 2)
@@ -184,7 +189,7 @@ def _alone(words):
 
 _INDIC = has(R.INDIC_WORDS)
 ASPECT_CLASH = Is("n_good > 0 AND n_bad > 0")
-#: (id, condition, label, confidence, reason); None stands for the base values.
+# Labels, confidences and reasons, as (id, condition, label, confidence, reason).
 LADDER = [
     ("R01", both(_BAD_CTX, has(PRAISE_AGAINST)), "negative", 0.92, "context_mismatch_sarcasm"),
     ("R02", both(_BAD_CTX, Is("base_label = 'negative'")), "negative", "greatest(base_conf, 0.92D)", "context_reinforced_negative"),
@@ -198,7 +203,7 @@ LADDER = [
     ("R10", has(["skill issue"]), "negative", 0.93, "meme_skill_issue"),
     ("R11", has(["ain't it", "aint it"]), "negative", 0.93, "meme_this_aint_it"),
     ("R12", has(["demure"]), "positive", 0.92, "meme_demure_aesthetic"),
-    ("R13", match(R.BAIT_SWITCH), "positive", 0.92, "reverse_bait_and_switch_detected"),
+    ("R13", both(has(BAIT_WORDS), match(R.BAIT_SWITCH)), "positive", 0.92, "reverse_bait_and_switch_detected"),
     ("R14", both(has(R.LITOTES_WORDS), match(R.LITOTES_POSITIVE)), "positive", 0.90, "litotes_positive_detected"),
     ("R15", both(has(R.LITOTES_WORDS), match(R.LITOTES_NEGATIVE)), "negative", 0.92, "litotes_negative_detected"),
     ("R16", both(match(r"[^\x00-\x7F]", "raw"), match(CELEBRATION, "raw"), match(R.OUTAGE, "raw")), "negative", 0.92, "emoji_dissonance_sarcasm"),
@@ -221,6 +226,7 @@ LADDER = [
     ("R33", Trope(tuple(R.TRIUMPHS), tuple(_SPARE_GOOD)), "positive", 0.92, "cultural_triumph_metaphor"),
     ("R34", both(has(R.NEWS_WORDS), match(R.NEWS), Not(match(R.FIRST_PERSON))), "neutral", 0.85, "objective_news_or_listing"),
 ]
+# Marks around a lone reaction.
 _ALONE = r"^[#@\s]+|[.!?,\s💀🔥👏🏆]+$"
 
 

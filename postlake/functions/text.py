@@ -1,5 +1,5 @@
 """Text normalisation as Column functions, in the order clean, Indic, hashtag,
-emoji, slang, negation, lower. Each takes and returns Columns; only NFKD and the
+emoji, slang, contractions, negation, lower. Each takes and returns Columns; only NFKD and the
 full entity table leave the JVM, in one Arrow UDF that passes plain ASCII through."""
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_IN_WORD = rf"(?<!{WORD})", rf"(?!{WORD})"
 
 
+#: Words of a camel-case tag.
+TAG_WORDS = rf"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|\p{{N}}|[^\p{{L}}\p{{N}}_]|$)|\p{{N}}+"
 
 
 def let(value: Column, body) -> Column:
@@ -27,6 +29,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def contains_any(text: Column, words) -> Column:
+    """Whether one of the words is a substring; plain searches, many times faster than one regular alternation."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
 def nfkd_unescape(text: Column) -> Column:
     """NFKD where a code point is beyond 127, then HTML entities where there is an ampersand."""
 
@@ -55,18 +62,14 @@ def unescape_common(text: Column) -> Column:
 
 def sarcasm_flag(text: Column) -> Column:
     """A keyword is there and one of the marker patterns matches."""
-    low = F.lower(text)
-    guard = F.lit(False)
-    for k in L.SARCASM_KEYWORDS:
-        guard = guard | F.contains(low, F.lit(k))
-    return guard & text.rlike("(?i)" + "|".join(L.SARCASM_PATTERNS))
+    return contains_any(F.lower(text), L.SARCASM_KEYWORDS) & text.rlike("(?i)" + "|".join(L.SARCASM_PATTERNS))
 
 
 def split_hashtags(text: Column) -> Column:
     """#CamelCase_tag becomes its lower-case words, with a space on either side."""
     rest = F.split(text, r"#[A-Za-z0-9_]+", -1)
     tags = F.regexp_extract_all(text, F.lit("#([A-Za-z0-9_]+)"), 1)
-    spaced = F.transform(tags, lambda t: F.concat(F.lit(" "), F.lower(F.replace(F.regexp_replace(t, "([a-z0-9])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" "))), F.lit(" ")))
+    spaced = F.transform(tags, lambda t: F.concat(F.lit(" "), F.lower(F.replace(F.regexp_replace(t, "([a-z])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" "))), F.lit(" ")))
     return F.array_join(F.flatten(F.zip_with(rest, spaced, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
@@ -95,22 +98,42 @@ def squash(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Markup, links and mentions out, elongation collapsed, sarcasm tag marked, space squashed."""
-    flagged = sarcasm_flag(text)
-    bare = let(strip_html(split_hashtags(text)), strip_url)
-    return squash(F.replace(collapse(strip_mention(bare)), F.when(flagged, F.lit("/s")).otherwise(F.lit("")), F.lit(" _sarcasm_tag_ ")))
+    bare = collapse(strip_mention(let(strip_html(split_hashtags(text)), strip_url)))
+    return squash(F.when(sarcasm_flag(text), mark_sarcasm(bare)).otherwise(bare))
+
+
+def mark_sarcasm(text: Column) -> Column:
+    return F.regexp_replace(text, L.SARCASM_TAG, " _sarcasm_tag_ ")
+
+
+def split_remaining_hashtags(text: Column) -> Column:
+    """Hashtags left after cleaning, cut at case and digit changes; a tag without such parts stays whole."""
+    rest = F.split(text, "#[A-Za-z0-9_]+", -1)
+    tags = F.regexp_extract_all(text, F.lit("#([A-Za-z0-9_]+)"), 1)
+    parts = F.transform(tags, lambda t: let(F.regexp_extract_all(t, F.lit(TAG_WORDS), 0), lambda w: F.concat(F.lit(" "), F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(t), F.lit(" "))))
+    out = F.array_join(F.flatten(F.zip_with(rest, parts, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(F.contains(text, F.lit("#")), out).otherwise(text)
 
 
 def emoji_polarity(text: Column) -> Column:
     """Sum of weights over non-overlapping matches, longest first."""
     found = F.regexp_extract_all(text, F.lit("|".join(re.escape(e) for e in L.EMOJI_LONGEST)), 0)
     table = F.create_map(*[x for e, (w, _) in L.EMOJI.items() for x in (F.lit(e), F.lit(w))])
-    return F.aggregate(found, F.lit(0.0), lambda acc, e: acc + F.element_at(table, e))
+    return F.when(beyond_ascii(text), F.aggregate(found, F.lit(0.0), lambda acc, e: acc + F.element_at(table, e))).otherwise(0.0)
+
 
+def beyond_ascii(text: Column) -> Column:
+    """Whether there is a code point above 127; two lengths tell it."""
+    return F.octet_length(text) > F.char_length(text)
 
-def emoji_meaning(text: Column) -> Column:
+
+def emoji_meaning(text: Column, mode: str = "meaning") -> Column:
+    """Every emoji as its meaning, or with mode ``token`` as its name in one word; spaces around."""
+    out = text
     for e in L.EMOJI_LONGEST:
-        text = F.replace(text, F.lit(e), F.lit(f" {L.EMOJI[e][1]} "))
-    return text
+        word = L.EMOJI[e][1] if mode == "meaning" else f"_emoji_{L.EMOJI_NAMES[e]}_"
+        out = F.replace(out, F.lit(e), F.lit(f" {word} "))
+    return F.when(beyond_ascii(text), out).otherwise(text)
 
 
 def _edged(term: str) -> str:
@@ -127,17 +150,20 @@ def slang_polarity(text: Column, table: dict | None = None) -> Column:
 
 
 def slang_replace(text: Column, table: dict | None = None) -> Column:
-    """Phrases longest first, then single words in table order that were in the original text."""
+    """Phrases longest first, then single words in table order that were in the original text.
+    Texts without any of the terms pass by; a term's pattern runs only where the term is."""
     table = table or L.SLANG
     low = F.lower(text)
     phrases = sorted((t for t in table if " " in t), key=len, reverse=True)
-    out = text
-    for t in phrases:
-        out = F.regexp_replace(out, F.when(F.contains(low, F.lit(t)), F.lit("(?iu)" + _edged(t))).otherwise(F.lit(NEVER)), F.lit(table[t][1]))
-    words = F.regexp_extract_all(low, F.lit(f"{WORD}+"), 0)
-    for t in (t for t in table if " " not in t):
-        out = F.regexp_replace(out, F.when(F.array_contains(words, t), F.lit("(?iu)" + _edged(t) + "(?!-)")).otherwise(F.lit(NEVER)), F.lit(table[t][1]))
-    return out
+    singles = [t for t in table if " " not in t]
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(f"{WORD}+"), 0))
+
+    # one fold over the terms; each brings its pattern, which runs only where the term is
+    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit("(?iu)" + _edged(t) + ("" if " " in t else "(?!-)")).alias("pattern"), F.lit(f" {table[t][1]} ").alias("by")) for t in phrases + singles])
+    here = F.filter(terms, lambda x: F.contains(low, x["term"]) & (F.contains(x["term"], F.lit(" ")) | F.array_contains(words, x["term"])))
+    out = F.aggregate(here, text, lambda c, x: F.regexp_replace(c, x["pattern"], x["by"]))
+    known = F.exists(words, lambda w: w.isin(singles)) if singles else F.lit(False)
+    return F.when(known | contains_any(low, phrases) if phrases else known, out).otherwise(text)
 
 
 def expand_contractions(text: Column) -> Column:
@@ -176,9 +202,12 @@ def normalised(df, text: str, out: str = "normalised", table: dict | None = None
 
     Each step is a projection of its own: the optimizer keeps a step apart that is
     used more than once, where one nested Column would repeat it."""
+    from . import indic
+
     t = F.col("_step")
-    x = df.withColumn("_step", F.coalesce(F.col(text), F.lit("")))
-    for step in (clean, emoji_meaning, lambda c: slang_replace(c, table), expand_contractions, negation_scope):
+    x = df.withColumn("_step", clean(F.coalesce(F.col(text), F.lit(""))))
+    x = indic.normalised(x, "_step", "_step", "_indic").drop("_indic")
+    for step in (split_remaining_hashtags, emoji_meaning, lambda c: slang_replace(c, table), expand_contractions, negation_scope):
         x = x.withColumn("_step", step(t))
     return x.withColumn(out, squash(F.lower(t))).drop("_step")
 
@@ -193,6 +222,13 @@ def bigrams(words: Column) -> Column:
     return F.when(n > 1, F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))).otherwise(F.array().cast("array<string>"))
 
 
+def pairs(df, words: str):
+    """Rows (a, b): neighbouring words of an array column, counted as two columns before any joined string is made."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    x = df.select(F.explode(F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, 2, n).alias("b"))).alias("p"))
+    return x.select(F.col("p").getField("0").alias("a"), F.col("p").getField("1").alias("b")) if "0" in x.schema["p"].dataType.names else x.select("p.a", "p.b")
+
+
 def trigrams(words: Column) -> Column:
     """#abc# of words of 4 to 10 characters that do not begin with an underscore."""
     fit = F.filter(words, lambda w: F.char_length(w).between(4, 10) & ~w.startswith("_"))

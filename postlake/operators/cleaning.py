@@ -51,18 +51,21 @@ _SARC = "(" + " OR ".join(f"contains(lower({{t}}), {q(k)})" for k in L.SARCASM_K
 add("clean_sarcasm_flag", lambda s, d: posts(s, d).select("post_id", X.sarcasm_flag(F.col("text")).alias("flag")), f"WITH {CTE} SELECT post_id, {_SARC.format(t='text')} AS flag FROM posts")
 add(
     "clean_sarcasm_tag",
-    lambda s, d: posts(s, d).select("post_id", F.when(X.sarcasm_flag(F.col("text")), F.replace("text", F.lit("/s"), F.lit(" _sarcasm_tag_ "))).otherwise(F.col("text")).alias("text")),
-    f"WITH {CTE} SELECT post_id, CASE WHEN {_SARC.format(t='text')} THEN replace(text, '/s', ' _sarcasm_tag_ ') ELSE text END AS text FROM posts",
+    lambda s, d: posts(s, d).select("post_id", F.when(X.sarcasm_flag(F.col("text")), X.mark_sarcasm(F.col("text"))).otherwise(F.col("text")).alias("text")),
+    f"WITH {CTE} SELECT post_id, CASE WHEN {_SARC.format(t='text')} THEN regexp_replace(text, {q(L.SARCASM_TAG)}, ' _sarcasm_tag_ ', 'g') ELSE text END AS text FROM posts",
 )
 add(
     "clean_hashtag_split",
     lambda s, d: posts(s, d)
     .select("post_id", F.explode(F.regexp_extract_all("text", F.lit("#([A-Za-z0-9_]+)"), 1)).alias("tag"))
     .select("post_id", "tag", F.trim(X.split_hashtags(F.concat(F.lit("#"), F.col("tag")))).alias("words")),
-    f"WITH {CTE}, t AS (SELECT post_id, unnest(regexp_extract_all(text, '#([A-Za-z0-9_]+)', 1)) AS tag FROM posts) SELECT post_id, tag, lower(replace(regexp_replace(tag, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' ')) AS words FROM t",
+    f"WITH {CTE}, t AS (SELECT post_id, unnest(regexp_extract_all(text, '#([A-Za-z0-9_]+)', 1)) AS tag FROM posts) SELECT post_id, tag, lower(replace(regexp_replace(tag, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' ')) AS words FROM t",
 )
 add("clean_strip_html", _on("pages", "page_id", "html", "text", X.strip_html), "SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
 _URL = "CASE WHEN contains({t}, 'http') OR contains({t}, 'www.') THEN regexp_replace({t}, '(?i)https?://[^ \\t\\n\\x0B\\f\\r]+|www\\.[^ \\t\\n\\x0B\\f\\r]+', ' ', 'g') ELSE {t} END"
+#: Unicode white space, as the Java side takes it.
+_WS = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_URL_U = "CASE WHEN contains({t}, 'http') OR contains({t}, 'www.') THEN regexp_replace({t}, '(?i)https?://[^" + _WS.replace("{", "{{").replace("}", "}}") + "]+|www\\.[^" + _WS.replace("{", "{{").replace("}", "}}") + "]+', ' ', 'g') ELSE {t} END"
 add("clean_strip_url", _on("pages", "page_id", "html", "text", X.strip_url), f"SELECT page_id, {_URL.format(t='html')} AS text FROM pages")
 add("clean_strip_mention", _on("documents", "doc_id", "text", "text", X.strip_mention), r"SELECT doc_id, regexp_replace(text, '@[\p{L}\p{N}_]+', ' ', 'g') AS text FROM documents")
 add(
@@ -77,7 +80,7 @@ SELECT d.doc_id, coalesce(x.t, '') AS text FROM documents d LEFT JOIN
 add(
     "clean_text",
     lambda s, d: _docs(s, d).select("doc_id", X.squash(X.strip_mention(X.strip_url(X.strip_html(F.col("text"))))).alias("text")),
-    r"SELECT doc_id, trim(regexp_replace(regexp_replace(" + _URL.format(t="regexp_replace(text, '<[^>]+>', ' ', 'g')") + r", '@[\p{L}\p{N}_]+', ' ', 'g'), '[\s\x0b]+', ' ', 'g')) AS text FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$')",
+    r"SELECT doc_id, trim(regexp_replace(regexp_replace(" + _URL_U.format(t="regexp_replace(text, '<[^>]+>', ' ', 'g')") + rf", '@[\p{{L}}\p{{N}}_]+', ' ', 'g'), '[{_WS}]+', ' ', 'g'), ' ') AS text FROM documents",
 )
 add("indic_detect", _on("documents", "doc_id", "text", "indic", X.indic_detect), "SELECT doc_id, regexp_matches(text, '[ऀ-ॿ]') AS indic FROM documents")
 _emoji_tbl = ", ".join(f"({q(e)}, {w})" for e, (w, _) in L.EMOJI.items())
@@ -90,7 +93,7 @@ add(
 _mean = "text"
 for _e in L.EMOJI_LONGEST:
     _mean = f"replace({_mean}, {q(_e)}, {q(' ' + L.EMOJI[_e][1] + ' ')})"
-add("emoji_meaning", _post("text", X.emoji_meaning), f"WITH {TPL_CTE} SELECT tpl_id, {_mean} AS text FROM tpl")
+add("emoji_meaning", _post("text", X.emoji_meaning), f"WITH {TPL_CTE}, m AS (SELECT tpl_id, {_mean} AS text FROM tpl) SELECT CAST(event_id AS BIGINT) AS post_id, m.text FROM events JOIN m ON event_id % {N} = m.tpl_id")
 _slang_single = ", ".join(f"({q(t)}, {w})" for t, (w, _) in L.SLANG.items() if " " not in t)
 _slang_phrase = ", ".join(f"({q(t)}, {w})" for t, (w, _) in L.SLANG.items() if " " in t)
 _SINGLE = {t: x for t, x in L.SLANG.items() if " " not in t}
@@ -108,7 +111,7 @@ add(
 _con = "text"
 for _a, _b in L.CONTRACTIONS.items():
     _con = f"regexp_replace({_con}, {q('(?i)' + chr(92) + 'b' + _a + chr(92) + 'b')}, {q(_b)}, 'g')"
-add("expand_contractions", _post("text", X.expand_contractions), f"WITH {TPL_CTE} SELECT tpl_id, {_con} AS text FROM tpl")
+add("expand_contractions", _post("text", X.expand_contractions), f"WITH {TPL_CTE}, m AS (SELECT tpl_id, {_con} AS text FROM tpl) SELECT CAST(event_id AS BIGINT) AS post_id, m.text FROM events JOIN m ON event_id % {N} = m.tpl_id")
 _NEG, _STOP = LIST(L.NEGATION_WORDS), LIST(L.SCOPE_BREAKERS)
 add(
     "negation_scope",
@@ -136,15 +139,18 @@ add(
     f"WITH {CTE}, em(e, w) AS (VALUES {_emoji_tbl}), sl(t, w) AS (VALUES {_slang_single}), m AS (SELECT post_id, unnest(regexp_extract_all(text, {_emoji_alt})) AS e FROM posts), k AS (SELECT post_id, unnest({DW.format('text')}) AS t FROM posts), a AS (SELECT post_id, CAST(w AS DOUBLE) AS w FROM m JOIN em USING (e) UNION ALL SELECT post_id, CAST(w AS DOUBLE) FROM k JOIN sl USING (t)) SELECT p.post_id, round(coalesce(x.w, 0), 6) AS polarity FROM posts p LEFT JOIN (SELECT post_id, sum(w) AS w FROM a GROUP BY 1) x ON x.post_id = p.post_id",
 )
 # tokens
-_TOK = r"regexp_extract_all(lower(text), '[\x{0900}-\x{097f}]+|[\p{L}\p{N}_]+')"
+_TOK = r"regexp_extract_all({t}, '[\x{{0900}}-\x{{097f}}]+|[\p{{L}}\p{{N}}_]+')"
+#: A character goes if it equals the two before it; line ends stay.
+_KEEP = "NOT (i > 2 AND x = cs[i - 1] AND x = cs[i - 2] AND NOT list_contains([chr(10), chr(13), chr(133), chr(8232), chr(8233)], x))"
 add(
     "tokenize_terms",
     lambda s, d: posts(s, d).select("post_id", F.explode(X.model_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
-    f"WITH {CTE}, t AS (SELECT unnest({_TOK}) AS token FROM posts WHERE NOT contains(text, 'ooooo') AND NOT contains(text, '!!!') AND NOT contains(text, '   ')) SELECT token, count(*) AS n FROM t GROUP BY 1",
+    f"WITH {TPL_CTE}, c AS (SELECT tpl_id, string_split(lower(text), '') AS cs FROM tpl), l AS (SELECT tpl_id, array_to_string(list_filter(cs, lambda x, i: {_KEEP}), '') AS t FROM c), u AS (SELECT event_id % {N} AS tpl_id, count(*) AS uses FROM events GROUP BY 1), "
+    f"k AS (SELECT tpl_id, unnest({_TOK.format(t='t')}) AS token FROM l) SELECT token, CAST(sum(uses) AS BIGINT) AS n FROM k JOIN u USING (tpl_id) GROUP BY 1",
 )
 add(
     "word_bigrams",
-    lambda s, d: _docs(s, d).select(F.explode(X.bigrams(F.regexp_extract_all(F.lower("text"), F.lit(f"{X.WORD}+"), 0))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n")),
+    lambda s, d: X.pairs(_docs(s, d).select(F.regexp_extract_all(F.lower("text"), F.lit(f"{X.WORD}+"), 0).alias("w")), "w").groupBy("a", "b").agg(F.count("*").alias("n")).select(F.concat("a", F.lit("_"), "b").alias("bigram"), "n").groupBy("bigram").agg(F.sum("n").alias("n")),
     f"WITH w AS (SELECT {DW.format('text')} AS w FROM documents), b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) AS bigram FROM w) SELECT bigram, count(*) AS n FROM b GROUP BY 1",
 )
 add(

@@ -40,22 +40,33 @@ def doc_frequency(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame, max_features: int = 40000) -> DataFrame:
     """token, df, idf of the most frequent tokens (ties by token), at least 2 documents beyond 100 documents."""
-    n = docs.count()
-    least = 2 if n > 100 else 1
-    return doc_frequency(docs).orderBy(F.desc("df"), "token").limit(max_features).where(F.col("df") >= least).withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
-
-
-def tfidf(docs: DataFrame, max_features: int = 40000) -> DataFrame:
-    """(doc_id, token, weight): sublinear term frequency times idf, unit length; unknown tokens are left out.
-    The vocabulary has at most max_features rows and is broadcast."""
-    raw = terms(docs).join(F.broadcast(vocabulary(docs, max_features)), "token").withColumn("v", (1.0 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "token", F.when(F.col("norm") > 0, F.col("v") / F.col("norm")).otherwise(0.0).alias("weight"))
-
-
-_K = r"k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents)"
+    top = doc_frequency(docs).orderBy(F.desc("df"), "token").limit(max_features)
+    n = docs.agg(F.count("*").alias("n_docs"))  # one row
+    known = top.crossJoin(F.broadcast(n)).where(F.col("df") >= F.when(F.col("n_docs") > 100, 2).otherwise(1))
+    return known.withColumn("idf", F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).drop("n_docs")
+
+
+def tfidf(docs: DataFrame, voc: DataFrame | None = None, max_features: int = 40000) -> DataFrame:
+    """(doc_id, token, weight and further columns of the vocabulary): sublinear term frequency times idf, unit
+    length; unknown tokens are left out. The vocabulary has at most max_features rows and is broadcast. The texts
+    are dealt by doc_id once; counts and lengths need no further shuffle."""
+    voc = vocabulary(docs, max_features) if voc is None else voc
+    raw = terms(docs.select("doc_id", "text").repartition("doc_id")).join(F.broadcast(voc), "token").withColumn("v", (1.0 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))
+    more = [c for c in voc.columns if c not in ("token", "idf", "df")]
+    return raw.withColumn("norm", norm).select("doc_id", "token", F.when(F.col("norm") > 0, F.col("v") / F.col("norm")).otherwise(0.0).alias("weight"), *more)
+
+
+_CH = """ch AS (SELECT doc_id, i, substr(t, i, 1) AS ch FROM (SELECT doc_id, lower(text) AS t, unnest(range(1, length(text) + 1)) AS i FROM documents)),
+rn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ch, grp ORDER BY i) AS k FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS grp FROM ch)),
+lo AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS t FROM rn WHERE k <= 2 OR ch IN (chr(10), chr(13), chr(133), chr(8232), chr(8233)) GROUP BY doc_id)"""
+_K = _CH + r""",
+w AS (SELECT doc_id, regexp_extract_all(t, '[\x{0900}-\x{097f}]+|[\p{L}\p{N}_]+') AS w FROM lo),
+k AS (SELECT doc_id, unnest(w) AS token FROM w
+ UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) FROM w
+ UNION ALL SELECT doc_id, unnest(list_transform(range(1, length(x) - 1), lambda i: '#' || substr(x, i, 3) || '#')) FROM (SELECT doc_id, unnest(w) AS x FROM w) WHERE length(x) BETWEEN 4 AND 10 AND NOT starts_with(x, '_'))"""
 _DF = f"{_K}, df AS (SELECT token, count(DISTINCT doc_id) AS df FROM k GROUP BY 1)"
-_VOC = f"{_DF}, voc AS (SELECT token, df, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM (SELECT * FROM df ORDER BY df DESC, token LIMIT 2000) WHERE df >= 2)"
+_VOC = f"{_DF}, voc AS (SELECT token, df, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM (SELECT * FROM df ORDER BY df DESC, token LIMIT 40000) WHERE df >= CASE WHEN (SELECT count(*) FROM documents) > 100 THEN 2 ELSE 1 END)"
 _TFI = f"{_VOC}, raw AS (SELECT doc_id, token, (1.0 + ln(count(*))) * any_value(idf) AS v FROM k JOIN voc USING (token) GROUP BY ALL)"
 add("doc_frequency", lambda s, d: doc_frequency(T(s, d, "documents")), f"WITH {_DF} SELECT token, df FROM df")
 add("vocab_topk", lambda s, d: vocabulary(T(s, d, "documents")).select("token", "df"), f"WITH {_VOC} SELECT token, df FROM voc")
@@ -69,9 +80,10 @@ def weight_table(voc: DataFrame) -> DataFrame:
     return voc.select("token", "idf", ((a % 5 - 2) / 4.0).alias("w0"), ((b % 7 - 3) / 6.0).alias("w1"), (((a + b) % 5 - 2) / 4.0).alias("w2"))
 
 
-def softmax(vectors: DataFrame, weights: DataFrame, bias: tuple = (0.1, 0.0, -0.1)) -> DataFrame:
-    """p_negative, p_neutral, p_positive and label (first of equals in class order) of each doc_id."""
-    z = vectors.join(F.broadcast(weights), "token").groupBy("doc_id").agg(*[(F.sum(F.col("weight") * F.col(f"w{i}")) + F.lit(bias[i])).alias(f"z{i}") for i in range(3)])
+def softmax(vectors: DataFrame, bias: tuple = (0.1, 0.0, -0.1)) -> DataFrame:
+    """p_negative, p_neutral, p_positive and label (first of equals in class order) of each doc_id;
+    vectors carry their tokens' weights w0, w1, w2."""
+    z = vectors.groupBy("doc_id").agg(*[(F.sum(F.col("weight") * F.col(f"w{i}")) + F.lit(bias[i])).alias(f"z{i}") for i in range(3)])
     m = F.greatest("z0", "z1", "z2")
     e = [F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col(f"z{i}") - m))) for i in range(3)]
     out = z.select("doc_id", *[x.alias(f"e{i}") for i, x in enumerate(e)]).withColumn("t", F.col("e0") + F.col("e1") + F.col("e2"))
@@ -83,7 +95,7 @@ def softmax(vectors: DataFrame, weights: DataFrame, bias: tuple = (0.1, 0.0, -0.
 _W = f"{_TFI}, vec AS (SELECT doc_id, token, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS w FROM raw), wt AS (SELECT token, (length(token) % 5 - 2) / 4.0 AS w0, (df % 7 - 3) / 6.0 AS w1, ((length(token) + df) % 5 - 2) / 4.0 AS w2 FROM voc), z AS (SELECT doc_id, sum(w * CAST(w0 AS DOUBLE)) + 0.1 AS z0, sum(w * CAST(w1 AS DOUBLE)) AS z1, sum(w * CAST(w2 AS DOUBLE)) - 0.1 AS z2 FROM vec JOIN wt USING (token) GROUP BY 1), e AS (SELECT doc_id, exp(greatest(-20, least(20, z0 - greatest(z0, z1, z2)))) AS e0, exp(greatest(-20, least(20, z1 - greatest(z0, z1, z2)))) AS e1, exp(greatest(-20, least(20, z2 - greatest(z0, z1, z2)))) AS e2 FROM z)"
 add(
     "softmax_scores",
-    lambda s, d: softmax(tfidf(T(s, d, "documents")), weight_table(vocabulary(T(s, d, "documents")))).select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_negative", "p_neutral", "p_positive")], "label"),
+    lambda s, d: softmax(tfidf(T(s, d, "documents"), weight_table(vocabulary(T(s, d, "documents"))))).select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_negative", "p_neutral", "p_positive")], "label"),
     f"WITH {_W} SELECT doc_id, round(e0 / (e0 + e1 + e2), 6) AS p_negative, round(e1 / (e0 + e1 + e2), 6) AS p_neutral, round(e2 / (e0 + e1 + e2), 6) AS p_positive, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 'negative' WHEN e1 >= e2 THEN 'neutral' ELSE 'positive' END AS label FROM e",
 )
 add("join_vocab_weights", lambda s, d: terms(T(s, d, "documents")).join(F.broadcast(vocabulary(T(s, d, "documents"))), "token").groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("docs")), f"WITH {_VOC} SELECT token, count(*) AS tf, count(DISTINCT doc_id) AS docs FROM k JOIN voc USING (token) GROUP BY 1")

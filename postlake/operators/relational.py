@@ -38,7 +38,7 @@ add("scan_label_in", lambda s, d: T(s, d, "events").where(F.col("event_type").is
 add(
     "zip_lines_join",
     lambda s, d: _zip_lines(T(s, d, "documents").select("doc_id", "text"), T(s, d, "documents").select("doc_id", F.lower("text").alias("label"))),
-    r"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS t, string_split(lower(text), chr(10)) AS l FROM documents WHERE doc_id < 5)
+    r"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS t, string_split(lower(text), chr(10)) AS l FROM documents)
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, t[i] AS line, l[i] AS label FROM (SELECT doc_id, t, l, unnest(range(1, len(t) + 1)) AS i FROM a)""",
 )
 
@@ -62,13 +62,9 @@ add(
 add(
     "request_explode",
     lambda s, d: (
-        posts(s, d)
-        .groupBy("user_id")
-        .agg(F.array_sort(F.collect_list(F.struct("post_id", "text", "context"))).alias("items"))
-        .select("user_id", F.posexplode("items").alias("pos", "p"))
-        .select("user_id", F.col("pos").cast("bigint").alias("pos"), "p.post_id", "p.text", "p.context")
+        posts(s, d).select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("post_id")) - 1).cast("bigint").alias("pos"), "post_id", "text", "context")
     ),
-    f"WITH {CTE} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY post_id) - 1 AS pos, post_id, text, context FROM posts WHERE post_id % 3 = 0",
+    f"WITH {CTE} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY post_id) - 1 AS pos, post_id, text, context FROM posts",
 )
 add(
     "profile_tables",
@@ -119,6 +115,7 @@ def verified(df: DataFrame) -> DataFrame:
     x = df.select("*", pos.alias("pos"), neg.alias("neg"), F.round(X.emoji_polarity(F.col("text")), 6).alias("emo")).withColumn("score", F.col("emo") + F.col("pos") - F.col("neg"))
     c, p, g, e = F.col("score"), F.col("pos"), F.col("neg"), F.col("emo")
     o = F.col("original")
+    # Reasons and bounds of the verification table
     reason = (
         F.when(F.char_length(F.trim("text")) < 12, "Text too short")
         .when(F.col("text").rlike(_SPAM), "Spam or boilerplate")
@@ -164,17 +161,15 @@ add(
 def split_70_15_15(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """train / val / test by place in the order of a hash, exact sizes int(.7n), int(.15n), rest.
 
-    Places come from counts of the hash's first two hex digits and ranks within
-    them, so no task orders all rows; the 256 counts alone reach the driver."""
-    h = df.select(key, F.sha2(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")), 256).alias("h")).withColumn("cell", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
-    counts = {r["cell"]: r["count"] for r in h.groupBy("cell").count().collect()}
-    offsets, total = [], 0
-    for c in range(256):
-        offsets.append(total)
-        total += counts.get(c, 0)
-    a, b = int(total * 0.7), int(total * 0.7) + int(total * 0.15)
-    place = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("cell")) + F.row_number().over(Window.partitionBy("cell").orderBy("h", key))
-    return h.withColumn("place", place).select(key, F.when(F.col("place") <= a, "train").when(F.col("place") <= b, "val").otherwise("test").alias("split"))
+    Places come from counts of the hash's first three hex digits and ranks within
+    them, so no task orders all rows; only the 4096 counts meet in one task."""
+    h = df.select(key, F.sha2(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")), 256).alias("h")).withColumn("cell", F.substring("h", 1, 3))
+    cells = h.groupBy("cell").agg(F.count("*").alias("rows"))
+    whole = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("cell", F.coalesce(F.sum("rows").over(whole), F.lit(0)).alias("start"), F.sum("rows").over(Window.partitionBy()).alias("n"))
+    placed = h.join(F.broadcast(starts), "cell").withColumn("place", F.col("start") + F.row_number().over(Window.partitionBy("cell").orderBy("h", key)))
+    a, b = F.floor(F.col("n") * 0.7), F.floor(F.col("n") * 0.7) + F.floor(F.col("n") * 0.15)
+    return placed.select(key, F.when(F.col("place") <= a, "train").when(F.col("place") <= b, "val").otherwise("test").alias("split"))
 
 
 add(

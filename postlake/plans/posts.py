@@ -73,6 +73,13 @@ TEMPLATES: list[tuple[str, str | None]] = [
     ("खूप छान ॲप, पैसा वसूल", None),
     ("ॲप चांगला नाही आणि फोन हँग होतो", None),
     ("सगळे बग्स मिटले, आता फास्ट", None),
+    ("terrible release, the worst of all", "Deploy failed and the incident is open"),
+    ("let him cook, the new search is nice", None),
+    ("shoutout to the infra crew for deleting staging", None),
+    ("look wise it is clean, only issue is that login is useless", None),
+    ("best app ever if you love losing files", None),
+    ("धन्यवाद, माझा फोन हँग झाला", None),
+    ("developers sleeping on the job again", None),
 ]
 N = len(TEMPLATES)
 

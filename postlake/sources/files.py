@@ -9,12 +9,15 @@ import csv
 import io
 import json
 import os
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "path string, format string, text string, page_count int, metadata map<string,string>, success boolean, error string"
 ROWS = 500
@@ -114,5 +117,10 @@ def extract_documents(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Every file below ``path`` whose name matches ``glob``."""
-    return extract_documents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path))
+    """Every file below ``path`` whose name matches ``glob``, those of zero length too, which the
+    scan leaves out: they are the listed files that it gives no row."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    listed = [(re.sub("^file:/+", "file:/", unquote(f)),) for f in found.inputFiles()]
+    scanned = found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    empty = spark.createDataFrame(listed, "path string").join(scanned, "path", "left_anti")
+    return extract_documents(found.select("path", "content").unionByName(empty.select("path", F.lit(b"").alias("content"))))

@@ -97,6 +97,19 @@ def test_aspects_against_plain_fold(spark):
         ("wasn't dumpster fire stuff", None, "neutral", "model_inference"),
         ("The camera is great but the delay is bad", None, "mixed", "contrastive_clause_mixed"),
         (None, None, "neutral", "model_inference"),
+        ("terrible release, the worst of all", "Deploy failed and the incident is open", "negative", "context_reinforced_negative"),
+        ("let him cook, the new search is nice", None, "positive", "meme_praise_cooked"),
+        ("never let him cook again", None, "negative", "meme_mockery_cooked"),
+        ("shoutout to the infra crew for deleting staging", None, "negative", "passive_aggressive_praise"),
+        ("look wise it is clean, only issue is that login is useless", None, "negative", "indic_backhanded_compliment"),
+        ("best app ever if you love losing files", None, "negative", "cynical_conditional_irony"),
+        ("धन्यवाद, माझा फोन हँग झाला", None, "negative", "indic_faux_gratitude"),
+        ("developers sleeping on the job again", None, "negative", "indic_rhetorical_mockery"),
+        ("Loved the wait, said no one ever", None, "negative", "sarcastic_irony_detected"),
+        ("that is not a lie", None, "neutral", "model_inference"),
+        ("fully expected a disaster but it turned out clean and I love it", None, "positive", "reverse_bait_and_switch_detected"),
+        ("a dumpster fire", None, "negative", "cultural_disaster_metaphor"),
+        ("not a mona lisa", None, "neutral", "model_inference"),
     ],
 )
 def test_ladder(spark, text, context, label, reason):
@@ -111,6 +124,32 @@ def test_every_rule_has_reason_and_sql():
     assert all(c.sql() and why for _, c, _, _, why in rules.LADDER)
 
 
+def test_every_reason_occurs_in_the_templates(spark):
+    df = base_scores(templates(spark))
+    seen = {r.reason for r in rules.decide(df).collect()} | {r.reason for r in score_posts(templates(spark), use_aspects_in_rules=True).collect()}
+    assert {why for *_, why in rules.LADDER} - seen - {"unanimous_positive_aspects", "unanimous_negative_aspects"} == set()
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("खूप छान ॲप", "extremely good fantastic wonderful ॲप"),
+        ("#छान", "# great wonderful clean"),
+        ("it slaps hard", "it is great hard"),
+        ("no cap it works", "truthfully it works"),
+        ("yeah right and/so on /s", "yeah right and/so on _sarcasm_tag_"),
+        ("plain text", "plain text"),
+    ],
+)
+def test_normalise_whole_chain(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert X.normalised(df, "t", "x").first().x == want
+
+
+def test_emoji_names(spark):
+    assert one(spark, lambda c: X.emoji_meaning(c, "token"), "so 🔥") == "so  _emoji_fire_ "
+
+
 def test_score_posts_flags_and_empty(spark):
     x = score_posts(spark.createDataFrame([("Checkout is slow and support ghosted me", None)], "text string, context string")).first()
     assert x.is_performance_issue and x.is_risk_complaint and x.final_label == "negative"

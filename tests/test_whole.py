@@ -78,7 +78,10 @@ def test_vocabulary_has_all_features_up_to_40000(spark, tmp_path):
 
 
 def test_meanings_and_contractions_of_all_posts(spark, tmp_path):
-    got = run(spark, tmp_path, "emoji_meaning", events=([(i, 0, None) for i in range(150)], EVENTS))
-    assert sorted(r[0] for r in got) == list(range(150)) and dict(got)[21] == dict(got)[85] and "🎉" not in dict(got)[21]
+    from postlake.plans.posts import N
+
+    rows = 2 * N + 20
+    got = run(spark, tmp_path, "emoji_meaning", events=([(i, 0, None) for i in range(rows)], EVENTS))
+    assert sorted(r[0] for r in got) == list(range(rows)) and dict(got)[21] == dict(got)[21 + N] and "🎉" not in dict(got)[21]
     more = dict(run(spark, tmp_path, "expand_contractions"))
-    assert sorted(more) == list(range(150)) and more[4] == more[68] and "can't" not in more[4]
+    assert sorted(more) == list(range(rows)) and more[4] == more[4 + N] and "can't" not in more[4]
