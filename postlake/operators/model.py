@@ -106,25 +106,6 @@ add(
 )
 
 
-def train(docs: DataFrame, labels: DataFrame, features: int = 1 << 14):
-    """Multinomial logistic regression over hashed sublinear TF-IDF vectors; a fitted Spark ML pipeline model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-
-    x = docs.join(labels, "doc_id").select("doc_id", X.model_tokens(F.col("text")).alias("words"), F.col("quality").cast("double").alias("label"))
-    stages = [HashingTF(inputCol="words", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="raw"), Normalizer(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=20, regParam=1e-3, family="multinomial")]
-    return Pipeline(stages=stages).fit(x), x
-
-
-def train_metrics(s: SparkSession, d: str) -> DataFrame:
-    model, x = train(T(s, d, "documents"), T(s, d, "labels"))
-    return model.transform(x).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"))
-
-
-add("train_metrics", train_metrics)
-
-
 # ---- cache and state
 def cache_key(text, context):
     """SHA-256 of the squashed lower text without links and leading 'rt @user:', and of the context."""

@@ -9,6 +9,7 @@ from postlake.functions import aspects as AS
 from postlake.functions import lexicon as L
 from postlake.functions import rules as RU
 from postlake.functions import text as X
+from postlake.operators import classifier as CL
 from postlake.plans.posts import CTE, VALUES, N, posts, q
 
 QUERIES: dict = {}
@@ -31,12 +32,18 @@ def base_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("_lead", lead).withColumn("base_label", F.when(F.col("_lead") > 0, "positive").when(F.col("_lead") < 0, "negative").otherwise("neutral")).withColumn("base_conf", F.when(F.col("_lead") == 0, 0.55).otherwise(0.80)).drop("_lead")
 
 
-def score_posts(df: DataFrame, threshold: float = 0.6, aspects: bool = True, use_aspects_in_rules: bool = True) -> DataFrame:
+def score_posts(df: DataFrame, threshold: float = 0.6, aspects: bool = True, use_aspects_in_rules: bool = False, model: CL.SoftmaxModel | None = None) -> DataFrame:
     """Posts (text, context) with label, confidence, reason, aspects, probabilities and flags.
 
-    One narrow pass: no shuffle, no state, so the same function serves batch and
-    streaming frames. Null text counts as empty."""
-    x = base_scores(df)
+    With a model the base label is the softmax classifier's for the normalised text, which is
+    returned too; without one it comes from a fixed word list on the raw text. The ladder and
+    the aspects read the raw text. One narrow pass: no shuffle, no state, so the same function
+    serves batch and streaming frames. Null text counts as empty."""
+    if model is None:
+        x = base_scores(df)
+    else:
+        x = X.normalised(df.withColumn("_plain", X.nfkd_unescape(F.coalesce("text", F.lit("")))), "_plain").drop("_plain")
+        x = CL.with_base(x, "normalised", model, L.LABELS)
     if aspects:
         x = AS.with_aspects(x)
     good, bad = ("n_good", "n_bad") if aspects and use_aspects_in_rules else (None, None)
@@ -48,9 +55,10 @@ def score_posts(df: DataFrame, threshold: float = 0.6, aspects: bool = True, use
 
 
 def calibrate(x: DataFrame) -> DataFrame:
-    """Probabilities follow the final label only where it differs from the base label."""
+    """Probabilities follow the final label only where it differs from the base label; elsewhere they are the
+    classifier's (base_p columns), or without one what base_conf leaves, in equal parts."""
     c = F.col("final_conf")
-    base = {k: F.when(F.col("base_label") == k, F.col("base_conf")).otherwise((1 - F.col("base_conf")) / 2) for k in L.LABELS}
+    base = {k: F.col(f"base_p_{k}") if f"base_p_{k}" in x.columns else F.when(F.col("base_label") == k, F.col("base_conf")).otherwise((1 - F.col("base_conf")) / 2) for k in L.LABELS}
     changed = F.col("final_label") != F.col("base_label")
     lab = F.col("final_label")
 
@@ -117,15 +125,15 @@ for _name, _reasons in _GROUPS.items():
         lambda s, d, r=_reasons: plain(s, d).where(F.col("reason").isin(r)).select("post_id", "final_label", "final_conf", "reason"),
         f"WITH {_BASE} SELECT post_id, final_label, final_conf, reason FROM posts WHERE reason IN (" + ", ".join(q(x) for x in _reasons) + ")",
     )
-add("rule_aspect_unanimous", lambda s, d: score_posts(posts(s, d)).where(F.col("reason").startswith("unanimous")).select("post_id", "final_label", "final_conf", "reason"))
-add("rule_ladder_aspects", lambda s, d: score_posts(posts(s, d)).select("post_id", "final_label", "final_conf", "reason", *[f"aspect_{a}" for a in AS.NAMES]))
+add("rule_aspect_unanimous", lambda s, d: score_posts(posts(s, d), use_aspects_in_rules=True).where(F.col("reason").startswith("unanimous")).select("post_id", "final_label", "final_conf", "reason"))
+add("rule_ladder_aspects", lambda s, d: score_posts(posts(s, d), use_aspects_in_rules=True).select("post_id", "final_label", "final_conf", "reason", *[f"aspect_{a}" for a in AS.NAMES]))
 add("fallback_flag", lambda s, d: score_posts(posts(s, d), aspects=False).select("post_id", "fallback_required"), f"WITH {_BASE} SELECT post_id, low_confidence OR final_conf < 0.6 OR ((" + " OR ".join(f"contains(low, {q(k)})" for k in L.SARCASM_KEYWORDS) + ") AND regexp_matches(raw, " + q("(?i)" + "|".join(L.SARCASM_PATTERNS)) + ")) AS fallback_required FROM posts")
 _P = lambda k: (
     f"CASE WHEN final_label = base_label THEN CASE WHEN base_label = '{k}' THEN base_conf ELSE (1 - base_conf) / 2 END WHEN final_label = 'mixed' THEN {0.10 if k == 'neutral' else 0.45} "
     f"WHEN final_label = '{k}' THEN round_even(final_conf, 4) WHEN final_label = 'neutral' THEN round_even((1 - final_conf) * 0.5, 4) ELSE round_even((1 - final_conf) * {0.25 if k == 'neutral' else 0.75}, 4) END AS p_{k}"
 )
 add("calibrate_probs", lambda s, d: calibrate(plain(s, d)).select("post_id", *[f"p_{k}" for k in L.LABELS]), f"WITH {_BASE} SELECT post_id, {', '.join(_P(k) for k in L.LABELS)} FROM posts")
-add("alert_flags", lambda s, d: score_posts(posts(s, d)).select("post_id", "is_performance_issue", "is_risk_complaint", "is_mixed"))
+add("alert_flags", lambda s, d: score_posts(posts(s, d), use_aspects_in_rules=True).select("post_id", "is_performance_issue", "is_risk_complaint", "is_mixed"))
 # Words of the offline fallback; single letters are substrings too.
 _FB_POS, _FB_NEG = ["fire", "goated", "love", "amazing", "w", "huge w", "banger"], ["cooked", "trash", "l", "huge l", "scam", "worst", "terrible", "mid"]
 add(
@@ -188,4 +196,4 @@ def _threads(s: SparkSession, d: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: all posts through aspects, ladder, calibration and flags, counted by label and reason."""
-    return score_posts(posts(spark, sf_dir)).groupBy("final_label", "reason").agg(F.count("*").alias("n"), F.count_if("is_risk_complaint").alias("risks"))
+    return score_posts(posts(spark, sf_dir), use_aspects_in_rules=True).groupBy("final_label", "reason").agg(F.count("*").alias("n"), F.count_if("is_risk_complaint").alias("risks"))
