@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from postlake.functions import text as X
 from postlake.operators import model as M
@@ -83,8 +86,9 @@ def features_of(words: list[str]) -> list[str]:
     return out
 
 
-def probabilities(text: Column, model: SoftmaxModel) -> Column:
-    """One probability a class, in the model's order; a text without known tokens has those of the bias."""
+def scorer(model: SoftmaxModel):
+    """A function from the words of one text to one probability a class, in the model's order; a text without
+    known tokens has those of the bias."""
     at = {t: i for i, t in enumerate(model.tokens)}
 
     def one(words) -> list[float]:
@@ -98,6 +102,12 @@ def probabilities(text: Column, model: SoftmaxModel) -> Column:
         e = np.exp(np.clip(z - z.max(), -20, 20))
         return (e / e.sum()).tolist()
 
+    return one
+
+
+def probabilities(text: Column, model: SoftmaxModel) -> Column:
+    one = scorer(model)
+
     @F.pandas_udf("array<double>")
     def run(words: pd.Series) -> pd.Series:
         return words.map(one)
@@ -107,8 +117,21 @@ def probabilities(text: Column, model: SoftmaxModel) -> Column:
 
 def with_base(df: DataFrame, text: str, model: SoftmaxModel, labels) -> DataFrame:
     """``df`` with base_label (the first of equals in class order), base_conf and one base_p column a label; a
-    label that the model does not know has probability 0."""
-    x = df.withColumn("_p", probabilities(F.col(text), model))
+    label that the model does not know has probability 0. Columns of these names are replaced.
+
+    Probabilities are added to whole Arrow batches: the steps before and after stay two plans of moderate
+    size, where one expression over both costs the optimizer minutes."""
+    one = scorer(model)
+    x = df.withColumn("_p", X.model_tokens(F.coalesce(F.col(text), F.lit(""))))
+    at = x.columns.index("_p")
+    schema = StructType([f if k != at else StructField("_p", ArrayType(DoubleType())) for k, f in enumerate(x.schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = pa.array([one(w) for w in b.column(at).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([p if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
+
+    x = x.mapInArrow(run, schema)
     x = x.withColumn("base_conf", F.array_max("_p")).withColumn("base_label", F.get(F.array(*map(F.lit, model.classes)), F.array_position("_p", F.col("base_conf")).cast("int") - 1))
     for k in labels:
         x = x.withColumn(f"base_p_{k}", F.get("_p", F.lit(model.classes.index(k))) if k in model.classes else F.lit(0.0))

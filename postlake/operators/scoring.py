@@ -38,9 +38,7 @@ def score_posts(df: DataFrame, threshold: float = 0.6, aspects: bool = True, use
     With a model the base label is the softmax classifier's for the normalised text, which is
     returned too; without one it comes from a fixed word list on the raw text. The ladder and
     the aspects read the raw text. One narrow pass: no shuffle, no state, so the same function
-    serves batch and streaming frames. Null text counts as empty.
-
-    Open: with a model the plan of the ladder over the normalised text did not end in the time we gave it."""
+    serves batch and streaming frames. Null text counts as empty."""
     if model is None:
         x = base_scores(df)
     else:
@@ -56,6 +54,12 @@ def score_posts(df: DataFrame, threshold: float = 0.6, aspects: bool = True, use
     return flags(calibrate(x)) if aspects else calibrate(x)
 
 
+def post_model(df: DataFrame) -> CL.SoftmaxModel:
+    """The classifier of posts (post_id, text, original): fitted on the normalised texts of those with a label."""
+    known = df.where(F.col("original").isin(*L.LABELS)).select(F.col("post_id").alias("doc_id"), X.nfkd_unescape(F.col("text")).alias("text"), F.col("original").alias("label"))
+    return CL.fit(X.normalised(known, "text", "text"))
+
+
 def calibrate(x: DataFrame) -> DataFrame:
     """Probabilities follow the final label only where it differs from the base label; elsewhere they are the
     classifier's (base_p columns), or without one what base_conf leaves, in equal parts."""
@@ -127,6 +131,14 @@ for _name, _reasons in _GROUPS.items():
         lambda s, d, r=_reasons: plain(s, d).where(F.col("reason").isin(r)).select("post_id", "final_label", "final_conf", "reason"),
         f"WITH {_BASE} SELECT post_id, final_label, final_conf, reason FROM posts WHERE reason IN (" + ", ".join(q(x) for x in _reasons) + ")",
     )
+def scored_posts(s: SparkSession, d: str) -> DataFrame:
+    """All posts through the whole path: normalisation, classifier, ladder, aspects, probabilities and flags."""
+    x = posts(s, d)
+    out = score_posts(x, model=post_model(x))
+    return out.select("post_id", "normalised", "base_label", "final_label", "final_conf", "reason", *[f"p_{k}" for k in L.LABELS], *[f"aspect_{a}" for a in AS.NAMES], "fallback_required", "is_risk_complaint", "is_mixed")
+
+
+add("score_posts", scored_posts)
 add("rule_aspect_unanimous", lambda s, d: score_posts(posts(s, d), use_aspects_in_rules=True).where(F.col("reason").startswith("unanimous")).select("post_id", "final_label", "final_conf", "reason"))
 add("rule_ladder_aspects", lambda s, d: score_posts(posts(s, d), use_aspects_in_rules=True).select("post_id", "final_label", "final_conf", "reason", *[f"aspect_{a}" for a in AS.NAMES]))
 add("fallback_flag", lambda s, d: score_posts(posts(s, d), aspects=False).select("post_id", "fallback_required"), f"WITH {_BASE} SELECT post_id, low_confidence OR final_conf < 0.6 OR ((" + " OR ".join(f"contains(low, {q(k)})" for k in L.SARCASM_KEYWORDS) + ") AND regexp_matches(raw, " + q("(?i)" + "|".join(L.SARCASM_PATTERNS)) + ")) AS fallback_required FROM posts")

@@ -49,6 +49,32 @@ def test_probabilities(spark, model):
     assert got[0][1] > 0.5 and got[1][0] > 0.5
 
 
+def test_scores_with_a_model(spark, model):
+    from postlake.functions import rules, text
+    from postlake.operators import scoring
+
+    texts = ["I love this GREAT app #SoGood", "worst crash, never again", "खूप छान ॲप", "&lt;b&gt; terrible &amp; slow", "the app is slow but support is great", "let him cook", "", None, "greaaaat 🎉 app, the server is down"]
+    df = spark.createDataFrame([(i, t, "major outage" if i == 0 else None) for i, t in enumerate(texts)], "i int, text string, context string")
+    got = {r.i: r for r in scoring.score_posts(df, model=model).collect()}
+    plain = text.normalised(df.select("i", text.nfkd_unescape(F.coalesce("text", F.lit(""))).alias("t")), "t")
+    norm = {r.i: r.normalised for r in plain.collect()}
+    assert {i: r.normalised for i, r in got.items()} == norm
+    base = {}
+    for i, t in norm.items():
+        p = plain_probabilities(t, model)
+        base[i] = (model.classes[int(np.argmax(p))], float(max(p)), p)
+    frame = spark.createDataFrame([(i, t, "major outage" if i == 0 else None, base[i][0], base[i][1]) for i, t in enumerate(texts)], "i int, text string, context string, base_label string, base_conf double")
+    for want in rules.decide(frame).collect():
+        r = got[want.i]
+        assert (r.base_label, r.final_label) == (want.base_label, want.final_label)
+        assert r.reason == want.reason or (want.reason == "model_inference" and r.reason == "sarcasm_detected")
+        assert abs(r.final_conf - want.final_conf) < 1e-9
+        if r.final_label == r.base_label:
+            assert np.allclose([r.p_negative, r.p_positive, r.p_neutral], [*base[want.i][2], 0.0], atol=1e-9)
+    assert got[4].final_label == "mixed" and got[4].aspect_performance == "negative" and got[4].aspect_customer_support == "positive" and got[4].is_mixed
+    assert got[7].final_label == got[6].final_label
+
+
 def test_saved_model(spark, model, tmp_path):
     model.save(spark, str(tmp_path / "m"))
     back = C.load(spark, str(tmp_path / "m"))
