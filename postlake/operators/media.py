@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake.functions import aspects as AS
 from postlake.functions import lexicon as L
+from postlake.functions.text import let
 from postlake.plans.posts import CTE, posts, q
 from postlake.sources import files
 
@@ -80,33 +82,55 @@ def category_scores(text: Column) -> Column:
     return F.array(*out)
 
 
-def categorised(df: DataFrame, text: str = "text") -> DataFrame:
-    """category, subcategory, category_confidence; the first of equal scores wins."""
+# Words of a failed payment on the screen of a payment application.
+PAYMENT_UI = ["technical issue", "failed", "support", "try again", "payment", "bank", "request"]
+
+
+def categorised(df: DataFrame, text: str = "text", gateway: Column | None = None, media: Column | None = None) -> DataFrame:
+    """category, subcategory, category_confidence; the first of equal scores wins.
+
+    ``gateway`` is the payment application whose screen an image shows (null: none); with a word of a failed
+    payment, or no text at all, it decides. Without text or gateway a video has a category of its own."""
     x = df.withColumn("_s", category_scores(F.col(text))).withColumn("_top", F.array_max(F.transform("_s", lambda c: c["score"]))).withColumn("_best", F.get(F.filter("_s", lambda c: c["score"] == F.col("_top")), F.lit(0)))
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    gate = gateway if gateway is not None else F.lit(None).cast("string")
+    shown = F.exists(F.array(*map(F.lit, PAYMENT_UI)), lambda w: F.contains(low, w))
+    kind = F.when(gate.isNotNull() & shown, "failure").when((low == "") & gate.isNotNull(), "screen").when((low == "") & (media == "video" if media is not None else F.lit(False)), "video").when(low == "", "visual").otherwise("text")
+    x = x.withColumn("_gate", gate).withColumn("_kind", kind)
+    k = F.col("_kind")
     sub = F.lit("Conversational Post")
     for cat, (words, yes, no) in SUBCATEGORIES.items():
-        sub = F.when(F.col("category") == cat, F.when(F.exists(F.array(*map(F.lit, words)), lambda k: F.contains(low, k)), yes).otherwise(no)).otherwise(sub)
-    x = x.withColumn("category", F.when(F.col("_top") > 0, F.col("_best.category")).otherwise("General Social"))
-    x = x.withColumn("subcategory", F.when(low == "", "Visual Media").otherwise(sub))
-    conf = F.when(low == "", 0.50).when(F.col("_top") > 0, F.least(F.lit(0.99), F.round(0.70 + F.col("_top") * 0.06, 2))).otherwise(0.65)
-    return x.withColumn("category_confidence", conf).drop("_s", "_top", "_best")
-
-
-def tags(text: Column, category: Column, label: Column) -> Column:
-    """Hashtags, rule tags, category and label tags, filled with words of the text up to eight, ordered and cut at ten."""
+        sub = F.when(F.col("category") == cat, F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), yes).otherwise(no)).otherwise(sub)
+    x = x.withColumn("category", F.when(k.isin("failure", "screen"), "Finance & Payment Issue").when(k == "video", "Entertainment & Media").when(F.col("_top") > 0, F.col("_best.category")).otherwise("General Social"))
+    x = x.withColumn("subcategory", F.when(k == "failure", F.concat(F.lit("Payment Failure ("), "_gate", F.lit(")"))).when(k == "screen", "Payment Application Screen").when(k == "video", "Video Clip").when(k == "visual", "Visual Media").otherwise(sub))
+    conf = F.when(k == "failure", 0.98).when(k == "screen", 0.90).when(k.isin("video", "visual"), 0.50).when(F.col("_top") > 0, F.least(F.lit(0.99), F.round(0.70 + F.col("_top") * 0.06, 2))).otherwise(0.65)
+    return x.withColumn("category_confidence", conf).drop("_s", "_top", "_best", "_gate", "_kind")
+
+
+def tags(text: Column, category: Column, label: Column, gateway: Column | None = None) -> Column:
+    """Hashtags, rule tags, payment, category and label tags, filled with words of the text up to eight, ordered and
+    cut at ten. Null text counts as empty; an empty text has its payment, category and label tags in plain order."""
+    none = F.array().cast("array<string>")
+    gate = gateway if gateway is not None else F.lit(None).cast("string")
+    text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
     own = F.filter(F.transform(F.regexp_extract_all(text, F.lit("#([a-zA-Z0-9_]+)"), 1), lambda h: F.concat(F.lit("#"), F.lower(h))), lambda h: F.char_length(h) > 2)
     ruled = F.filter(F.array(*[F.when(low.rlike("(?iu)" + EDGE[0] + p[2:-2] + EDGE[1]), F.lit(t)) for p, t in TAG_RULES]), lambda t: t.isNotNull())
-    pay = F.when(F.contains(category, F.lit("Payment")), F.array(F.lit("#payment_issue"), F.lit("#upi_failure"))).otherwise(F.array().cast("array<string>"))
-    slug = F.when(category != "", F.array(F.concat(F.lit("#"), F.get(F.split(F.btrim(F.regexp_replace(F.lower(category), "[^a-zA-Z0-9]", "_"), F.lit("_")), "_"), F.lit(0))))).otherwise(F.array().cast("array<string>"))
-    tone = F.when(label != "", F.array(F.concat(F.lit("#"), label))).otherwise(F.array().cast("array<string>"))
-    fixed = F.array_distinct(F.concat(pay, own, ruled, slug, tone))
-    words = F.transform(F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b[a-zA-Z]{4,}\b"), 0)), F.array(*map(F.lit, L.STOPWORDS))), lambda w: F.concat(F.lit("#"), w))
-    room = F.greatest(F.lit(0), 8 - F.size(fixed))
-    every = F.concat(fixed, F.slice(F.array_except(words, fixed), F.lit(1), room))
-    ranked = F.array_sort(F.transform(every, lambda t: F.struct((~t.startswith("#payment_")).alias("a"), (~t.startswith("#upi_")).alias("b"), (~t.startswith("#app_")).alias("c"), F.char_length(t).alias("n"), t.alias("t"))))
-    return F.slice(F.transform(ranked, lambda x: x["t"]), 1, 10)
+    brand = F.when(F.contains(gate, F.lit("PhonePe")), F.array(F.lit("#phonepe"))).when(F.contains(gate, F.lit("Paytm")), F.array(F.lit("#paytm"))).otherwise(none)
+    pay = F.when(gate.isNotNull() | F.contains(category, F.lit("Payment")), F.concat(F.array(F.lit("#payment_issue"), F.lit("#upi_failure")), brand)).otherwise(none)
+    slug = F.when(category != "", F.array(F.concat(F.lit("#"), F.get(F.split(F.btrim(F.regexp_replace(F.lower(category), "[^a-zA-Z0-9]", "_"), F.lit("_")), "_"), F.lit(0))))).otherwise(none)
+    tone = F.when(label != "", F.array(F.concat(F.lit("#"), label))).otherwise(none)
+
+    def ranked(fixed: Column) -> Column:
+        words = F.transform(F.array_except(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b[a-zA-Z]{4,}\b"), 0)), F.array(*map(F.lit, L.STOPWORDS))), lambda w: F.concat(F.lit("#"), w))
+        room = F.greatest(F.lit(0), 8 - F.size(fixed))
+        every = F.concat(fixed, F.slice(F.array_except(words, fixed), F.lit(1), room))
+        order = F.array_sort(F.transform(every, lambda t: F.struct((~t.startswith("#payment_")).alias("a"), (~t.startswith("#upi_")).alias("b"), (~t.startswith("#app_")).alias("c"), F.char_length(t).alias("n"), t.alias("t"))))
+        return F.slice(F.transform(order, lambda x: x["t"]), 1, 10)
+
+    # the rules run once: the list is bound before it is used three times
+    full = let(F.array_distinct(F.concat(pay, own, ruled, slug, tone)), ranked)
+    return F.when(low == "", F.array_sort(F.array_distinct(F.concat(pay, slug, tone)))).otherwise(full)
 
 
 # File extensions of images and videos.
@@ -130,15 +154,35 @@ def pixel_signature(pixels: DataFrame, by: str) -> DataFrame:
     return x.select(by, "brightness", (F.col("brightness") < 80).alias("is_dark_mode"), F.when(F.col("brightness") > 180, "bright / vibrant").when(F.col("brightness") < 60, "dark / moody").otherwise("balanced").alias("tone"), gate.alias("gateway"))
 
 
-def analyze_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path``: text, sentiment, category and tags; a file without text is neutral at 0.50."""
-    from postlake.operators.scoring import score_posts
-
-    docs = files.read_files(spark, path).withColumn("context", F.lit(None).cast("string"))
-    x = categorised(score_posts(docs)).withColumn("media_type", media_type(F.col("path")))
-    empty = F.col("text") == ""
-    x = x.withColumn("label", F.when(empty, "neutral").otherwise(F.col("final_label"))).withColumn("confidence", F.when(empty, 0.50).otherwise(F.col("final_conf"))).withColumn("reason", F.when(empty, "visual_default_no_text").otherwise(F.col("reason")))
-    return x.select("path", "media_type", "format", "success", "error", "label", "confidence", "reason", "category", "subcategory", "category_confidence", tags(F.col("text"), F.col("category"), F.col("label")).alias("tags"))
+def analyze_files(spark: SparkSession, path: str, visual: DataFrame | None = None) -> DataFrame:
+    """Files below ``path``: text, sentiment with aspects and probabilities, category, tags and metadata.
+
+    Images and videos have no text of their own here. ``visual``, rows (path, text, gateway), brings what an OCR,
+    speech or pixel step found for them; its paths are unique and as this function returns them. A file without
+    text is neutral at 0.50 with fixed probabilities. Where the base label stands with low confidence, that label
+    gets the confidence and the others 0.05 each; else probabilities are the base ones."""
+    from postlake.operators.scoring import base_probabilities, score_posts
+
+    docs = files.read_files(spark, path).withColumn("context", F.lit(None).cast("string")).withColumn("media_type", media_type(F.col("path")))
+    docs = docs.withColumn("text", F.when(F.col("media_type") == "document", F.col("text")).otherwise("")).withColumn("gateway", F.lit(None).cast("string"))
+    if visual is not None:
+        docs = docs.drop("gateway").join(visual.select("path", F.col("text").alias("_seen"), "gateway"), "path", "left")
+        docs = docs.withColumn("text", F.when(F.col("media_type") == "document", F.col("text")).otherwise(F.trim(F.coalesce("_seen", F.lit("")))))
+        docs = docs.withColumn("gateway", F.when(F.col("media_type") != "document", F.col("gateway"))).drop("_seen")
+    x = score_posts(docs, use_aspects_in_rules=True)
+    x = categorised(x, gateway=F.col("gateway"), media=F.col("media_type")).withColumn("has_text", F.col("text") != "")
+    empty, low = ~F.col("has_text"), F.col("low_confidence")
+    x = x.withColumn("label", F.when(empty, "neutral").otherwise(F.col("final_label"))).withColumn("confidence", F.when(empty, 0.50).otherwise(F.round("final_conf", 4))).withColumn("reason", F.when(empty, "visual_default_no_text").otherwise(F.col("reason")))
+    base = base_probabilities(x)
+    shares = [F.when(empty, 0.60 if k == "neutral" else 0.20).when(low, F.when(F.col("label") == k, F.col("confidence")).otherwise(0.05)).otherwise(F.round(base[k], 4)).alias(f"p_{k}") for k in L.LABELS]
+    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    more = F.map_concat(F.col("metadata"), F.create_map(F.lit("page_count"), F.col("page_count").cast("string")))
+    return x.select(
+        "path", "media_type", F.when(extension == "", F.col("media_type")).otherwise(extension).alias("file_format"), "format", "success", "error",
+        "label", "confidence", "reason", *shares, *[F.when(~empty, F.col(f"aspect_{a}")).alias(f"aspect_{a}") for a in AS.NAMES],
+        "category", "subcategory", "category_confidence", tags(F.col("text"), F.col("category"), F.col("label"), F.col("gateway")).alias("tags"),
+        "text", "has_text", F.when(F.col("media_type") == "document", more).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
+    )
 
 
 _LIST = lambda xs: "[" + ", ".join(q(x) for x in xs) + "]"

@@ -60,11 +60,15 @@ def post_model(df: DataFrame) -> CL.SoftmaxModel:
     return CL.fit(X.normalised(known, "text", "text"))
 
 
+def base_probabilities(x: DataFrame) -> dict[str, Column]:
+    """The classifier's (base_p columns), or without one what base_conf leaves, in equal parts."""
+    return {k: F.col(f"base_p_{k}") if f"base_p_{k}" in x.columns else F.when(F.col("base_label") == k, F.col("base_conf")).otherwise((1 - F.col("base_conf")) / 2) for k in L.LABELS}
+
+
 def calibrate(x: DataFrame) -> DataFrame:
-    """Probabilities follow the final label only where it differs from the base label; elsewhere they are the
-    classifier's (base_p columns), or without one what base_conf leaves, in equal parts."""
+    """Probabilities follow the final label only where it differs from the base label; elsewhere they are the base ones."""
     c = F.col("final_conf")
-    base = {k: F.col(f"base_p_{k}") if f"base_p_{k}" in x.columns else F.when(F.col("base_label") == k, F.col("base_conf")).otherwise((1 - F.col("base_conf")) / 2) for k in L.LABELS}
+    base = base_probabilities(x)
     changed = F.col("final_label") != F.col("base_label")
     lab = F.col("final_label")
 

@@ -227,3 +227,23 @@ def test_indic(spark):
         ("worth every penny full value for money great ॲप", 2.5), ("plain", 0.0), ("", 0.0), ("not", 0.0),
         ("great wonderful clean garbage trash bloatware rubbish", -0.4),
     ]
+
+
+def test_analysis_of_images_and_videos(spark, tmp_path):
+    for name in ("a.png", "b.mp4", "c.jpg", "d.gif", "e.txt"):
+        (tmp_path / name).write_bytes(b"\x89 failed payment" if name != "e.txt" else b"plain words")
+    seen = [("a.png", "Payment failed, try again", "PhonePe / UPI Theme"), ("c.jpg", None, "Paytm / Banking Gateway"), ("e.txt", "not read", "x")]
+    root = analyze_files(spark, str(tmp_path)).first().path.rsplit("/", 1)[0]
+    plain = {r.path.rsplit("/", 1)[-1]: r for r in analyze_files(spark, str(tmp_path)).collect()}
+    got = {r.path.rsplit("/", 1)[-1]: r for r in analyze_files(spark, str(tmp_path), spark.createDataFrame([(f"{root}/{n}", t, g) for n, t, g in seen], "path string, text string, gateway string")).collect()}
+    assert [plain[n].has_text for n in ("a.png", "b.mp4", "e.txt")] == [False, False, True] and plain["e.txt"].metadata == {"char_count": "11", "page_count": "1"}
+    r = plain["b.mp4"]
+    assert (r.label, r.confidence, r.p_negative, r.p_neutral, r.p_positive, r.category, r.subcategory, r.tags) == ("neutral", 0.5, 0.2, 0.6, 0.2, "Entertainment & Media", "Video Clip", ["#entertainment", "#neutral"])
+    assert plain["d.gif"].subcategory == "Visual Media" and plain["d.gif"].tags == ["#general", "#neutral"] and plain["d.gif"].file_format == "gif"
+    r = got["a.png"]
+    assert (r.has_text, r.category, r.subcategory, r.category_confidence) == (True, "Finance & Payment Issue", "Payment Failure (PhonePe / UPI Theme)", 0.98)
+    assert {"#payment_issue", "#upi_failure", "#phonepe", "#payment_failed"} <= set(r.tags)
+    r = got["c.jpg"]
+    assert (r.has_text, r.subcategory, r.category_confidence, r.tags) == (False, "Payment Application Screen", 0.9, ["#finance", "#neutral", "#payment_issue", "#paytm", "#upi_failure"])
+    r = got["e.txt"]
+    assert r.text == "plain words" and "#payment_issue" not in r.tags and r.reason == "model_inference" and (r.confidence, r.p_neutral, r.p_negative) == (0.55, 0.55, 0.05)
