@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, repeats, sharding, toxicity
+from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, repeats, sharding, toxicity, vectorcodes
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_sharding": sharding.op9_sharding,
         "op10_repeats": repeats.op10_repeats,
+        "op13_vectorcodes": vectorcodes.op13_vectorcodes,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op9_sharding": sharding._sql()}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op9_sharding": sharding._sql(), "op13_vectorcodes": vectorcodes.ORACLE}
