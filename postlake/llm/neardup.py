@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .shingle import doc_sets
 
 BANDS, ROWS = 36, 4
 M = BANDS * ROWS
@@ -77,11 +78,6 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
         return common.mix(k ^ _BAND_KEYS[None, :]).view(np.int64)
 
 
-def doc_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All shingle hashes of a run of documents, and where each document's begin."""
-    return common.shingles(common.Words(data, offsets))
-
-
 def summarise(docs: DataFrame) -> DataFrame:
     """id, n_shingles, digest of the set, sketch; one pass, no shuffle."""
 
@@ -276,7 +272,7 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, set) of the rows whose id is in ``ids``; the sorted full set as bytes."""
-    need = docs.select("id", "text").join(ids, "id", "left_semi")
+    need = docs.select("id", "text").join(common.bounded(ids.select("id"), 8), "id", "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, repeats, sharding, toxicity, vectorcodes
+from . import bpe, chat, decontaminate, fingerprint, jaccard, neardup, pii, quality, repeats, sharding, toxicity, vectorcodes
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_sharding": sharding.op9_sharding,
         "op10_repeats": repeats.op10_repeats,
+        "op12_jaccard": jaccard.op12_jaccard,
         "op13_vectorcodes": vectorcodes.op13_vectorcodes,
     }
 
