@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, fingerprint, jaccard, neardup, pii, quality, repeats, sharding, toxicity, vectorcodes
+from . import bpe, chat, collocations, decontaminate, fingerprint, jaccard, neardup, pii, quality, repeats, sharding, toxicity, vectorcodes
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_sharding": sharding.op9_sharding,
         "op10_repeats": repeats.op10_repeats,
+        "op11_collocations": collocations.op11_collocations,
         "op12_jaccard": jaccard.op12_jaccard,
         "op13_vectorcodes": vectorcodes.op13_vectorcodes,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op9_sharding": sharding._sql(), "op13_vectorcodes": vectorcodes.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op9_sharding": sharding._sql(), "op11_collocations": collocations.ORACLE, "op13_vectorcodes": vectorcodes.ORACLE}

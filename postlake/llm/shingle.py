@@ -37,13 +37,14 @@ class SetWords:
         self.hash = word_hashes(data, starts, np.flatnonzero(ends) + 1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run of bytes with A-Z folded; other seeds give independent ones."""
     folded = np.zeros(len(data) + 8, np.uint8)
     folded[: len(data)] = _FOLD[data]
     eight = np.ndarray(len(data) + 1, "<u8", folded, 0, (1,))
     length = ends - starts
     with np.errstate(over="ignore"):
-        out = common.mix(length.astype(np.uint64) * _ROUND[-1] + np.uint64(1))
+        out = common.mix(length.astype(np.uint64) * _ROUND[-1] + np.uint64(1 + seed))
         live = np.flatnonzero(length <= LONG)
         at, left = starts[live], length[live]
         for key in _ROUND[:-1]:
@@ -54,7 +55,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             more = left > 8
             live, at, left = live[more], at[more] + 8, left[more] - 8
         for i in np.flatnonzero(length > LONG):
-            out[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]].tobytes(), seed=61)
+            out[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]].tobytes(), seed=61 + seed)
     return out
 
 
