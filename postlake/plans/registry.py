@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.operators import classifier, cleaning, media, model, relational, scoring
+from postlake.operators import classifier, cleaning, lru, media, model, relational, scoring
 
-MODULES: list = [cleaning, relational, scoring, model, classifier, media]
+MODULES: list = [cleaning, relational, scoring, model, lru, classifier, media]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
