@@ -48,6 +48,8 @@ LEAST, GRAM = 50, 20
 REACH = LEAST - GRAM  # farthest an anchor stands from the start of its window
 LONGEST = LEAST + REACH
 PACK, BUCKET = 2 << 20, 8 << 20
+#: Grams whose places are counted from one start; a place has 26 bits.
+SEGMENT = 1 << 25
 _HIGH = np.uint64(0xFFFFFFFFFFFFFFFF << 26 & 0xFFFFFFFFFFFFFFFF)
 _POS = np.uint64((1 << 26) - 1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -111,6 +113,27 @@ def maximal_groups(texts: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends
 # anchors and entries of a pack
 
 
+def least_grams(gram: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Place of the least-hashed usable gram (leftmost of equals) of every REACH + 1 neighbours. Places
+    share a word with the hash, so they are counted within segments and texts may have any length."""
+    out = []
+    last = max(1, len(gram) - REACH)
+    for begin in range(0, last, SEGMENT):
+        end = min(begin + SEGMENT, last)
+        v = (gram[begin : end + REACH] & _HIGH) | np.arange(min(end + REACH, len(gram)) - begin, dtype=np.uint64)
+        v[~usable[begin : end + REACH]] = _TOP
+        span, width = 1, REACH + 1
+        m = v
+        while span * 2 <= width:
+            m = np.minimum(m[: len(m) - span], m[span:])
+            span *= 2
+        if span < width:
+            gap = width - span
+            m = np.minimum(m[: len(m) - gap], m[gap:])
+        out.append((m & _POS).astype(np.int64) + begin)
+    return np.concatenate(out)
+
+
 class Entries:
     """Anchors of a pack: parallel arrays doc, anchor, lo, hi (window starts), gram."""
 
@@ -130,18 +153,10 @@ class Entries:
         end_of = np.repeat(offsets[1:], size)
         real = np.repeat(ids != NONE, size)
         at = np.arange(n - GRAM + 1)
-        v = (gram & _HIGH) | at.astype(np.uint64)
-        v[at + GRAM > end_of[: n - GRAM + 1]] = _TOP
-        span, width = 1, REACH + 1
-        m = v
-        while span * 2 <= width:
-            m = np.minimum(m[: len(m) - span], m[span:])
-            span *= 2
-        if span < width:
-            gap = width - span
-            m = np.minimum(m[: len(m) - gap], m[gap:])
+        usable = at + GRAM <= end_of[: n - GRAM + 1]
+        m = least_grams(gram, usable)
         p = np.flatnonzero((np.arange(len(m)) + LEAST <= end_of[: len(m)]) & real[: len(m)])
-        a = (m[p] & _POS).astype(np.int64)
+        a = m[p]
         new = np.ones(len(p), bool)
         new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
         i = np.flatnonzero(new)

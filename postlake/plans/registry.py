@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postlake.operators import classifier, cleaning, lru, media, model, relational, scoring
+from postlake.streaming import threads
 
-MODULES: list = [cleaning, relational, scoring, model, lru, classifier, media]
+MODULES: list = [cleaning, relational, scoring, model, lru, classifier, media, threads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

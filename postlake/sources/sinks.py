@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,23 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 def append_feedback(scored: DataFrame, path: str, resolved: DataFrame | None = None) -> None:
     """Appends the low-confidence rows of ``scored`` and, as entries of their own, all of ``resolved`` (fallback
     answers of some of them) as JSON lines. Both have text, final_label, final_conf and reason."""
+    _feedback(scored, resolved).write.mode("append").json(path)
+
+
+def _feedback(scored: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     entry = lambda x, why: x.select("text", F.col("final_label").alias("label"), F.col("final_conf").alias("confidence"), "reason", F.lit(why).alias("kind"), F.unix_micros(F.current_timestamp()).alias("at"))
     rows = entry(scored.where("fallback_required"), "low_confidence")
-    if resolved is not None:
-        rows = rows.unionByName(entry(resolved, "fallback_resolved"))
-    rows.write.mode("append").json(path)
+    return rows if resolved is None else rows.unionByName(entry(resolved, "fallback_resolved"))
+
+
+def feedback_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the low-confidence rows of each batch in a folder named by its number. A batch that is
+    run again after a failure writes the same folder anew, so no row is appended twice; one checkpoint, one path."""
+
+    def write(scored: DataFrame, batch: int) -> None:
+        _feedback(scored).write.mode("overwrite").json(f"{path}/batch={batch}")
+
+    return write
 
 
 FEEDBACK = "text string, label string, confidence double, reason string, kind string, at bigint"
@@ -31,7 +45,7 @@ FEEDBACK = "text string, label string, confidence double, reason string, kind st
 
 def read_feedback(spark: SparkSession, path: str, last: int = 20) -> DataFrame:
     """The last entries, newest first; lines that are no JSON of an entry are skipped."""
-    raw = spark.read.schema(FEEDBACK + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    raw = spark.read.schema(FEEDBACK + ", _corrupt_record string").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").json(path)
     return raw.where("_corrupt_record is null and at is not null").drop("_corrupt_record").orderBy(F.desc("at"), "kind", "text").limit(last)
 
 
