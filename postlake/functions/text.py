@@ -118,7 +118,7 @@ def split_remaining_hashtags(text: Column) -> Column:
 def emoji_polarity(text: Column) -> Column:
     """Sum of weights over non-overlapping matches, longest first."""
     found = F.regexp_extract_all(text, F.lit("|".join(re.escape(e) for e in L.EMOJI_LONGEST)), 0)
-    table = F.create_map(*[x for e, (w, _) in L.EMOJI.items() for x in (F.lit(e), F.lit(w))])
+    table = F.create_map(*[x for e, (w, *_) in L.EMOJI.items() for x in (F.lit(e), F.lit(w))])
     return F.when(beyond_ascii(text), F.aggregate(found, F.lit(0.0), lambda acc, e: acc + F.element_at(table, e))).otherwise(0.0)
 
 
@@ -131,7 +131,7 @@ def emoji_meaning(text: Column, mode: str = "meaning") -> Column:
     """Every emoji as its meaning, or with mode ``token`` as its name in one word; spaces around."""
     out = text
     for e in L.EMOJI_LONGEST:
-        word = L.EMOJI[e][1] if mode == "meaning" else f"_emoji_{L.EMOJI_NAMES[e]}_"
+        word = L.EMOJI[e][2] if mode == "meaning" else L.EMOJI[e][1]
         out = F.replace(out, F.lit(e), F.lit(f" {word} "))
     return F.when(beyond_ascii(text), out).otherwise(text)
 

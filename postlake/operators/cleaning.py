@@ -83,7 +83,7 @@ add(
     r"SELECT doc_id, trim(regexp_replace(regexp_replace(" + _URL_U.format(t="regexp_replace(text, '<[^>]+>', ' ', 'g')") + rf", '@[\p{{L}}\p{{N}}_]+', ' ', 'g'), '[{_WS}]+', ' ', 'g'), ' ') AS text FROM documents",
 )
 add("indic_detect", _on("documents", "doc_id", "text", "indic", X.indic_detect), "SELECT doc_id, regexp_matches(text, '[ऀ-ॿ]') AS indic FROM documents")
-_emoji_tbl = ", ".join(f"({q(e)}, {w})" for e, (w, _) in L.EMOJI.items())
+_emoji_tbl = ", ".join(f"({q(e)}, {w})" for e, (w, *_) in L.EMOJI.items())
 _emoji_alt = q("|".join(L.EMOJI_LONGEST))
 add(
     "emoji_polarity",
@@ -92,7 +92,7 @@ add(
 )
 _mean = "text"
 for _e in L.EMOJI_LONGEST:
-    _mean = f"replace({_mean}, {q(_e)}, {q(' ' + L.EMOJI[_e][1] + ' ')})"
+    _mean = f"replace({_mean}, {q(_e)}, {q(' ' + L.EMOJI[_e][2] + ' ')})"
 add("emoji_meaning", _post("text", X.emoji_meaning), f"WITH {TPL_CTE}, m AS (SELECT tpl_id, {_mean} AS text FROM tpl) SELECT CAST(event_id AS BIGINT) AS post_id, m.text FROM events JOIN m ON event_id % {N} = m.tpl_id")
 _slang_single = ", ".join(f"({q(t)}, {w})" for t, (w, _) in L.SLANG.items() if " " not in t)
 _slang_phrase = ", ".join(f"({q(t)}, {w})" for t, (w, _) in L.SLANG.items() if " " in t)

@@ -128,7 +128,7 @@ def verified(df: DataFrame) -> DataFrame:
 
 
 _LIST = lambda xs: "[" + ", ".join(q(x) for x in xs) + "]"
-_EM = ", ".join(f"({q(e)}, {w})" for e, (w, _) in L.EMOJI.items())
+_EM = ", ".join(f"({q(e)}, {w})" for e, (w, *_) in L.EMOJI.items())
 VERIFY = rf"""{CTE}, em(e, w) AS (VALUES {_EM}),
 m AS (SELECT post_id, unnest(regexp_extract_all(text, {q("|".join(L.EMOJI_LONGEST))})) AS e FROM posts),
 ep AS (SELECT post_id, sum(CAST(w AS DOUBLE)) AS emo FROM m JOIN em USING (e) GROUP BY 1),

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postlake.operators import classifier, cleaning, lru, media, model, relational, scoring
+from postlake.functions import sql
+from postlake.sources import variants
 from postlake.streaming import threads
 
-MODULES: list = [cleaning, relational, scoring, model, lru, classifier, media, threads]
+MODULES: list = [cleaning, relational, scoring, model, lru, classifier, media, threads, variants, sql]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.ORACLE.items()}
+    return {k: s for m in MODULES for k, s in (m.ORACLE if hasattr(m, "ORACLE") else m.oracles()).items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

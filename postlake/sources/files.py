@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, format string, text string, page_count int, metadata map<string,string>, success boolean, error string"
-ROWS = 500
 FORMATS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "csv": "csv", "json": "json", "txt": "text", "md": "text", "log": "text"}
 
 
@@ -33,16 +32,16 @@ def decode(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
-def read_text(raw: bytes) -> tuple[str, dict]:
+def read_text(raw: bytes, rows: int | None = None) -> tuple[str, dict]:
     t = decode(raw).strip()
     return t, {"char_count": len(t)}
 
 
-def read_csv(raw: bytes) -> tuple[str, dict]:
-    """Cells stripped, empty ones dropped, ' | ' between; the first 500 rows are shown, all counted."""
+def read_csv(raw: bytes, rows: int | None = None) -> tuple[str, dict]:
+    """Cells stripped, empty ones dropped, ' | ' between; all rows, or the first ``rows``, are shown and all counted."""
     lines = [" | ".join(c.strip() for c in row if c.strip()) for row in csv.reader(io.StringIO(decode(raw)))]
     lines = [x for x in lines if x]
-    return "\n".join(lines[:ROWS]), {"row_count": len(lines)}
+    return "\n".join(lines[:rows]), {"row_count": len(lines)}
 
 
 def _strings(x) -> Iterator[str]:
@@ -58,16 +57,16 @@ def _strings(x) -> Iterator[str]:
             todo.extend(reversed(v))
 
 
-def read_json(raw: bytes) -> tuple[str, dict]:
-    """String values longer than three characters, depth first; the first 500 are shown, all counted."""
+def read_json(raw: bytes, rows: int | None = None) -> tuple[str, dict]:
+    """String values longer than three characters, depth first; all, or the first ``rows``, are shown and all counted."""
     found = list(_strings(json.loads(decode(raw))))
-    return "\n".join(found[:ROWS]), {"items_extracted": len(found)}
+    return "\n".join(found[:rows]), {"items_extracted": len(found)}
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def read_docx(raw: bytes) -> tuple[str, dict]:
+def read_docx(raw: bytes, rows: int | None = None) -> tuple[str, dict]:
     """Paragraphs outside tables, then table rows with ' | ' between filled cells."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
@@ -81,7 +80,7 @@ def read_docx(raw: bytes) -> tuple[str, dict]:
     return "\n".join(out).strip(), {"paragraph_count": len(out)}
 
 
-def read_pdf(raw: bytes) -> tuple[str, dict]:
+def read_pdf(raw: bytes, rows: int | None = None) -> tuple[str, dict]:
     try:
         import pypdf
     except ImportError:
@@ -94,33 +93,33 @@ def read_pdf(raw: bytes) -> tuple[str, dict]:
 READERS = {"text": read_text, "csv": read_csv, "json": read_json, "docx": read_docx, "pdf": read_pdf}
 
 
-def extract(path: str, raw: bytes | None) -> tuple:
+def extract(path: str, raw: bytes | None, rows: int | None = None) -> tuple:
     kind = FORMATS.get(os.path.splitext(path)[1].lower().lstrip("."), "text")
     try:
         if raw is None:
             raise ValueError("no content")
-        text, meta = READERS[kind](raw)
+        text, meta = READERS[kind](raw, rows)
         return path, kind, text, int(meta.pop("page_count", 1)), {k: str(v) for k, v in meta.items()}, True, None
     except Exception as e:  # one broken file is one row
         return path, kind, "", 0, {}, False, f"{type(e).__name__}: {e}"[:300]
 
 
-def extract_documents(files: DataFrame) -> DataFrame:
-    """Rows (path, content) to rows of SCHEMA."""
+def extract_documents(files: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows (path, content) to rows of SCHEMA; with ``rows`` only so many CSV rows and JSON strings of a file are shown."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
-            yield pd.DataFrame([extract(p, c) for p, c in zip(b["path"], b["content"], strict=True)], columns=names)
+            yield pd.DataFrame([extract(p, c, rows) for p, c in zip(b["path"], b["content"], strict=True)], columns=names)
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def read_files(spark: SparkSession, path: str, glob: str = "*", rows: int | None = None) -> DataFrame:
     """Every file below ``path`` whose name matches ``glob``, those of zero length too, which the
     scan leaves out: they are the listed files that it gives no row."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     listed = [(re.sub("^file:/+", "file:/", unquote(f)),) for f in found.inputFiles()]
     scanned = found.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
     empty = spark.createDataFrame(listed, "path string").join(scanned, "path", "left_anti")
-    return extract_documents(found.select("path", "content").unionByName(empty.select("path", F.lit(b"").alias("content"))))
+    return extract_documents(found.select("path", "content").unionByName(empty.select("path", F.lit(b"").alias("content"))), rows)
