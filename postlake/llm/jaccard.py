@@ -19,7 +19,7 @@ domain, and again until one makes it rich; two linked sets meet where the first
 of them is rich. The sharing is certain, not likely. Sets for which k is 0 link
 with equal ones alone.
 
-Of the sets under one signature, each is paired with the smallest id. A pair
+Of the sets under one signature, each is paired with the smallest id of the band. A pair
 goes on if its sizes allow the threshold and if a second division into cells
 (one byte each) differs in no more cells than shingles may differ; both tests
 are exact bounds. Full sets then confirm. Signatures whose members are still in
@@ -108,9 +108,9 @@ def divided(h: np.ndarray, begin: np.ndarray, band: np.ndarray, bands: Bands, se
     return np.repeat(whose, 3)[keep.ravel()], sign[keep], enough
 
 
-def signatures(h: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of all sets, given as ascending distinct hashes."""
-    sets, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+def signatures(h: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, guest) of all sets, given as ascending distinct hashes; a guest is in the next band's instance."""
+    sets, signs, guests = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
     size = np.diff(begin)
     own = bands.band(np.maximum(size, 1))
     for step in (0, 1):
@@ -122,9 +122,10 @@ def signatures(h: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarr
             which, sign, enough = divided(h[take], np.concatenate([[0], np.cumsum(size[todo])]), band[todo], bands, seed)
             sets.append(todo[which])
             signs.append(sign)
+            guests.append(np.full(len(sign), bool(step)))
             todo = todo[~enough]
             seed += 1
-    return np.concatenate(sets), np.concatenate(signs)
+    return np.concatenate(sets), np.concatenate(signs), np.concatenate(guests)
 
 
 def cells(h: np.ndarray, begin: np.ndarray, bands: Bands) -> list[bytes]:
@@ -173,7 +174,7 @@ def summarise(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, percent: int) -> DataFrame:
-    """(sign, id) of all signatures of every text."""
+    """(sign, guest, id) of all signatures of every text."""
     bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,39 +183,44 @@ def signed(docs: DataFrame, percent: int) -> DataFrame:
             data, offsets = common.buffers(batch.column(1))
             for i, j in common.chunks(offsets):
                 h, begin = shingle.distinct_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                which, sign = signatures(h, begin, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(ids[i + which])], names=["sign", "id"])
+                which, sign, guest = signatures(h, begin, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(guest), pa.array(ids[i + which])], names=["sign", "guest", "id"])
 
-    return docs.select("id", "text").mapInArrow(common.task(run), "sign bigint, id bigint")
+    return docs.select("id", "text").mapInArrow(common.task(run), "sign bigint, guest boolean, id bigint")
 
 
 def shared(signs: DataFrame, partitions: int) -> DataFrame:
-    """(sign, id, a) of signatures that several sets have; a is the smallest of them. One shuffle; runs of the sorted rows pass by in a stream."""
+    """(sign, guest, id, a) of signatures that several sets have, one of them no guest; a is the smallest that is none.
+    Two guests meet in the instance of their own band. One shuffle; runs of the sorted rows pass by in a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head, alone = None, None, False
+        last, head, alone = None, None, False  # of the run that ends the batch before; head is None where it has guests alone
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            s, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            s, guest, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
             at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             length = np.diff(np.append(at, n))
             first = np.repeat(ids[at], length)
+            hosted = np.repeat(~guest[at], length)
             keep = np.repeat(length > 1, length)
             out = []
-            if last is not None and s[0] == last:  # the run of the batch before goes on
-                first[: length[0]], keep[: length[0]] = head, True
-                if alone:
-                    out = [([last], [head], [head])]
-            out.append((s[keep], ids[keep], first[keep]))
-            alone = not keep[at[-1]]
-            last, head = s[-1], first[-1]
-            for a, b, c in out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], names=["sign", "id", "a"])
-
-    dealt = signs.repartition(partitions, "sign").sortWithinPartitions("sign", "id")
-    return dealt.mapInArrow(common.task(run), "sign bigint, id bigint, a bigint")
+            if last is not None and s[0] == last:  # that run goes on
+                keep[: length[0]], hosted[: length[0]] = True, head is not None
+                if head is not None:
+                    first[: length[0]] = head
+                    if alone:
+                        out = [([last], [False], [head], [head])]
+            end = at[-1]
+            last, head, alone = s[-1], first[-1] if hosted[end] else None, not keep[end]
+            keep &= hosted
+            out.append((s[keep], guest[keep], ids[keep], first[keep]))
+            for a, g, b, c in out:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(g, pa.bool_()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["sign", "guest", "id", "a"])
+
+    dealt = signs.repartition(partitions, "sign").sortWithinPartitions("sign", "guest", "id")
+    return dealt.mapInArrow(common.task(run), "sign bigint, guest boolean, id bigint, a bigint")
 
 
 def possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -254,14 +260,14 @@ def linked_classes(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     links = _confirm(meets.where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, docs, percent)
     roots = common.durable(neardup.components(links))
     # what the smallest ids left open: signatures of more than two members in several components
-    placed = meets.select("sign", "id").join(roots, "id", "left").select("sign", "id", F.coalesce("root", "id").alias("root"))
+    placed = meets.select("sign", "guest", "id").join(roots, "id", "left").select("sign", "guest", "id", F.coalesce("root", "id").alias("root"))
     left = placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("sign", "n")
     inside = common.durable(placed.join(left, "sign"))
     small = inside.where(F.col("n") <= FEW)
     pairs = (
         small.groupBy("sign")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "root"))).alias("m"))
-        .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.root <> x.root), y -> struct(x.id as a, y.id as b))))")).alias("p"))
+        .agg(F.array_sort(F.collect_list(F.struct("guest", "id", "root"))).alias("m"))
+        .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.root <> x.root and not x.guest), y -> struct(x.id as a, y.id as b))))")).alias("p"))
         .select("p.a", "p.b")
         .distinct()
     )

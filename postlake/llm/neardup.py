@@ -47,7 +47,7 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 _SEEDS = common.keys(31, M)
 _BAND_KEYS = common.keys(32, BANDS)
-#: Shingles in a block of a cluster (a row counts 1/800 of it at least), and the set count up to which a value is counted by pairs.
+#: Shingles in a block of a cluster (a row counts 1/1600 of it at least), and the set count up to which a value is counted by pairs.
 BLOCK, LIGHT = 400_000, 16
 
 
@@ -291,7 +291,7 @@ def _blocks(member: DataFrame, percent: int) -> DataFrame:
     shingles, by set size (two sizes that are not neighbours cannot meet the threshold) and by component.
     A large component fills blocks of its own, so that it is never compared with itself; only sums
     by cluster, size and component are shuffled, and no task orders a cluster."""
-    cost = F.col("n_shingles") + BLOCK // 800
+    cost = F.col("n_shingles") + BLOCK // 1600
     heavy = common.bounded(member.groupBy("cluster").agg(F.sum(cost).alias("all")).where(F.col("all") > BLOCK))
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent)))
     sized = member.join(heavy, "cluster", "left").withColumn("band", F.when(F.col("all").isNotNull(), step).otherwise(F.lit(0))).drop("all")

@@ -61,10 +61,11 @@ def test_linked_sets_share_a_signature(percent):
             both = -(-percent * union // 100)
             own = int(r.integers(0, union - both + 1))
             a, b = np.sort(pool[: both + own]), np.sort(np.concatenate([pool[:both], pool[both + own : union]]))
-            which, sign = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
+            which, sign, guest = jaccard.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
             equal = len(a) == len(b) == both
             tried += 1
-            shared += equal or bool(set(sign[which == 0]) & set(sign[which == 1]))
+            met = set(sign[which == 0]) & set(sign[which == 1])
+            shared += equal or bool(met & set(sign[~guest]))
             ca, cb = jaccard.cells(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
             assert jaccard.differing(ca, cb) <= union - both <= (len(a) + len(b)) * (100 - percent) // (100 + percent)
     assert shared == tried
@@ -74,22 +75,23 @@ def test_far_sets_share_hardly_any():
     bands = jaccard.Bands(80)
     r = np.random.default_rng(3)
     h = np.concatenate([np.sort(common.mix(r.integers(0, 1 << 63, 200).astype(np.uint64))) for _ in range(100)])
-    which, sign = jaccard.signatures(h, np.arange(0, 20001, 200), bands)
+    which, sign, _ = jaccard.signatures(h, np.arange(0, 20001, 200), bands)
     assert len(np.unique(sign)) > 0.999 * len(sign) and len(sign) < 1.3 * len(h)
 
 
-def test_runs_over_batches(spark, monkeypatch):
+def test_runs_over_batches(spark):
     r = random.Random(2)
-    pairs = [(r.randint(0, 40), i) for i in range(500)] + [(100 + i, i) for i in range(200)]
+    rows_ = [(r.randint(0, 40), r.random() < 0.6, i) for i in range(500)] + [(100 + i, i % 2 > 0, i) for i in range(200)] + [(900, True, i) for i in range(30)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = jaccard.shared(spark.createDataFrame(pairs, "sign bigint, id bigint"), 3).collect()
+        got = jaccard.shared(spark.createDataFrame(rows_, "sign bigint, guest boolean, id bigint"), 3).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     by = {}
-    for s, i in pairs:
-        by.setdefault(s, []).append(i)
-    assert sorted(map(tuple, got)) == sorted((s, i, min(m)) for s, m in by.items() if len(m) > 1 for i in m)
+    for s, g, i in rows_:
+        by.setdefault(s, []).append((g, i))
+    want = [(s, g, i, min(m)[1]) for s, m in by.items() if len(m) > 1 and not min(m)[0] for g, i in m]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 300
 
 
 def test_join_against_brute_force(spark, docs, none):  # noqa: F811
