@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -479,3 +480,27 @@ def test_intersections_count_common_values():
     sets = [np.unique(r.integers(0, 60, k)) for k in r.integers(0, 50, 40)]
     got = neardup.intersections(np.repeat(np.arange(40), [len(s) for s in sets]), np.concatenate(sets).astype(np.uint64), 40)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)
+
+
+def test_repeat_anchors_do_not_depend_on_segments(monkeypatch):
+    """Places are counted within segments, so texts longer than a place's bits are judged on the right bytes."""
+    r = np.random.default_rng(6)
+    body = np.concatenate([r.integers(97, 100, 3000), np.full(400, 97), r.integers(97, 123, 2500)]).astype(np.uint8)
+    offsets = np.array([0, 40, 2000, 2000, 2049, 5900])
+    ids = np.array([5, 4, 3, 2, 1])
+    whole = repeats.Entries(body, offsets, ids)
+    assert len(whole.lo) > 100 and (whole.anchor >= whole.lo).all() and (whole.anchor - whole.hi <= repeats.REACH).all() and (whole.anchor >= whole.hi).all()
+    for segment in (1, 7, 64, 1000):
+        monkeypatch.setattr(repeats, "SEGMENT", segment)
+        cut = repeats.Entries(body, offsets, ids)
+        for name in ("doc", "anchor", "lo", "hi", "gram"):
+            assert (getattr(cut, name) == getattr(whole, name)).all()
+
+
+def test_repeats_behind_the_bits_of_a_place(spark, monkeypatch):
+    """With segments of 500 grams the removal equals brute force on texts many segments long."""
+    monkeypatch.setattr(repeats, "SEGMENT", 500)
+    shared = words(30, 41)
+    texts = [(1, words(400, 42) + " " + shared), (2, words(500, 43) + " " + shared + " " + words(9, 44)), (3, shared), (4, "ab" * 900), (5, "ab" * 700)]
+    got = sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()))
+    assert got == sorted(map(tuple, brute_repeats([(i, t.encode()) for i, t in texts])))
