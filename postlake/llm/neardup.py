@@ -328,7 +328,8 @@ def _cluster_links(shared: DataFrame, roots: DataFrame, reps: DataFrame, docs: D
     )
     ends = pairs.select(F.col("block").alias("at"), "block", "block2").union(pairs.where("block <> block2").select(F.col("block2").alias("at"), "block", "block2"))
     sets = common.durable(_full_sets(docs, member.select("id")))
-    dealt = member.withColumnRenamed("block", "at").join(ends, "at").join(sets, "id").select("block", "block2", "id", "root", "set")
+    # each set meets its id once, and is dealt to pairs of blocks after that
+    dealt = member.join(sets, "id").withColumnRenamed("block", "at").join(ends, "at").select("block", "block2", "id", "root", "set")
     found = dealt.groupBy("block", "block2").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
     out = common.durable(found)
     common.drop(open_keys, inside, member, met, pairs, sets)
