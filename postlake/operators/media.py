@@ -9,7 +9,7 @@ from postlake.functions import aspects as AS
 from postlake.functions import lexicon as L
 from postlake.functions.text import let
 from postlake.plans.posts import CTE, posts, q
-from postlake.sources import files
+from postlake.sources import files, images
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -143,17 +143,28 @@ def media_type(path: Column, mime: Column | None = None) -> Column:
     return F.when(e.isin(IMAGES) | m.startswith("image/"), "image").when(e.isin(VIDEOS) | m.startswith("video/"), "video").otherwise("document")
 
 
-def pixel_signature(pixels: DataFrame, by: str) -> DataFrame:
-    """tone, dark mode, brightness and payment screen of images given as (image, r, g, b) rows; sums only are shuffled."""
+def pixel_signature(pixels: DataFrame, by: str, times: str | None = None) -> DataFrame:
+    """tone, dark mode, brightness and payment screen of images given as (image, r, g, b) rows, or as colours with
+    their pixel counts in column ``times``; sums only are shuffled."""
     purple = (F.col("b") > 90) & (F.col("r") > 60) & (F.col("g") < 60) & (F.col("b") - F.col("g") > 40)
     blue = ~purple & (F.col("b") > 140) & (F.col("r") < 70) & (F.col("g") > 50)
-    s = pixels.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "rgb"], F.count_if(purple).alias("purple"), F.count_if(blue).alias("blue"))
+    if times is None:
+        s = pixels.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "rgb"], F.count_if(purple).alias("purple"), F.count_if(blue).alias("blue"))
+    else:
+        k = F.col(times)
+        s = pixels.groupBy(by).agg(F.sum(k).alias("n"), *[(F.sum(F.col(c) * k) / F.sum(k)).alias(c) for c in "rgb"], F.sum(F.when(purple, k).otherwise(0)).alias("purple"), F.sum(F.when(blue, k).otherwise(0)).alias("blue"))
     light = F.round(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"), 1)
     x = s.withColumn("brightness", light)
     gate = F.when(F.col("purple") / F.col("n") >= 0.04, "PhonePe / UPI Theme").when(F.col("blue") / F.col("n") >= 0.08, "Paytm / Banking Gateway")
     return x.select(by, "brightness", (F.col("brightness") < 80).alias("is_dark_mode"), F.when(F.col("brightness") > 180, "bright / vibrant").when(F.col("brightness") < 60, "dark / moody").otherwise("balanced").alias("tone"), gate.alias("gateway"))
 
 
+def png_visual(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, gateway) of the PNG files below ``path``, as ``analyze_files`` takes it by ``visual``; text is empty."""
+    seen = images.read_png(spark, path).where("error IS NULL")
+    return pixel_signature(seen, "path", "n").select("path", F.lit("").alias("text"), "gateway")
+
+
 def analyze_files(spark: SparkSession, path: str, visual: DataFrame | None = None) -> DataFrame:
     """Files below ``path``: text, sentiment with aspects and probabilities, category, tags and metadata.
 
