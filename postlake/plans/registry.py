@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlake.operators import classifier, cleaning, dictionary, lru, media, model, relational, scoring, templates
+from postlake.operators import classifier, cleaning, dictionary, lru, media, model, relational, scoring, stages, templates
 from postlake.functions import sql
 from postlake.sources import variants
 from postlake.streaming import threads
 
-MODULES: list = [cleaning, dictionary, relational, scoring, model, lru, classifier, media, templates, threads, variants, sql]
+MODULES: list = [cleaning, dictionary, relational, scoring, model, lru, classifier, stages, media, templates, threads, variants, sql]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
