@@ -203,6 +203,9 @@ add("sample_mixed", lambda s, d: plain(s, d).where("final_label = 'mixed'").orde
 add(
     "thread_rules",
     lambda s, d: RU.decide(base_scores(_threads(s, d))).groupBy("role", "final_label", "reason").agg(F.count("*").alias("n")),
+    f"""WITH thr AS (SELECT c.role, coalesce(c.text, '') AS text, p.text AS context FROM conversations c LEFT JOIN conversations p ON c.conv_id = p.conv_id AND c.turn = p.turn + 1),
+{_BASE[_BASE.index("lead AS"):_BASE.index(",\nposts AS")].replace("FROM tpl", "FROM thr")}
+SELECT role, final_label, reason, count(*) AS n FROM scored GROUP BY ALL""",
 )
 
 
@@ -215,3 +218,33 @@ def _threads(s: SparkSession, d: str) -> DataFrame:
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: all posts through aspects, ladder, calibration and flags, counted by label and reason."""
     return score_posts(posts(spark, sf_dir), use_aspects_in_rules=True).groupBy("final_label", "reason").agg(F.count("*").alias("n"), F.count_if("is_risk_complaint").alias("risks"))
+
+
+def metrics(scored: DataFrame, request: str = "request", latency: str = "latency_ms") -> DataFrame:
+    """One row of service figures from scored rows (fallback_required and final_label, the number of their request and
+    its latency): requests, posts, fallbacks, their percentage, mean latency of a request, posts that wait for a label.
+    Rows are summed up by request before anything else moves; an empty frame gives zeros."""
+    each = scored.groupBy(request).agg(F.count("*").alias("posts"), F.count_if("fallback_required").alias("fallbacks"), F.max(latency).alias("ms"))
+    n, f = F.coalesce(F.sum("posts"), F.lit(0)), F.coalesce(F.sum("fallbacks"), F.lit(0))
+    return each.agg(
+        F.count("*").alias("total_requests"),
+        n.alias("total_posts_analyzed"),
+        f.alias("total_fallbacks_triggered"),
+        F.when(n > 0, F.round(f * 100.0 / n, 2)).otherwise(0.0).alias("fallback_rate_pct"),
+        F.coalesce(F.round(F.avg("ms"), 3), F.lit(0.0)).alias("avg_latency_ms"),
+    )
+
+
+def _metrics(s: SparkSession, d: str) -> DataFrame:
+    """Requests of 25 posts in the order of their numbers; a request lasts as long as its slowest event."""
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("long").alias("post_id"), F.col("value").alias("latency_ms"), F.expr("event_id div 25").alias("request"))
+    return metrics(score_posts(posts(s, d), aspects=False).select("post_id", "fallback_required").join(e, "post_id"))
+
+
+add(
+    "scoring_metrics",
+    _metrics,
+    ORACLE["fallback_flag"].replace("SELECT post_id, low_confidence", ", f AS (SELECT post_id, low_confidence", 1)
+    + """), r AS (SELECT event_id // 25 AS request, count(*) AS posts, count(*) FILTER (fallback_required) AS fallbacks, max(value) AS ms FROM f JOIN events ON event_id = post_id GROUP BY 1)
+SELECT count(*) AS total_requests, CAST(sum(posts) AS BIGINT) AS total_posts_analyzed, CAST(sum(fallbacks) AS BIGINT) AS total_fallbacks_triggered, round(sum(fallbacks) * 100.0 / sum(posts), 2) AS fallback_rate_pct, round(avg(ms), 3) AS avg_latency_ms FROM r""",
+)
