@@ -504,3 +504,35 @@ def test_repeats_behind_the_bits_of_a_place(spark, monkeypatch):
     texts = [(1, words(400, 42) + " " + shared), (2, words(500, 43) + " " + shared + " " + words(9, 44)), (3, shared), (4, "ab" * 900), (5, "ab" * 700)]
     got = sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()))
     assert got == sorted(map(tuple, brute_repeats([(i, t.encode()) for i, t in texts])))
+
+
+def test_fingerprints_of_windows(spark):
+    """Against plain Python: numbered repeats, the majority of each bit whatever the width of the counters, blocks up to one bit apart."""
+    lists = [["a"], ["a", "b", "a"], [f"w{i % 90}" for i in range(200)], [str(i) for i in range(127)], ["x"] * 128]
+    hashed = F.transform(decontaminate.numbered(F.col("s")), lambda f: F.transform(F.sequence(F.lit(0), F.lit(decontaminate.LANES - 1)), lambda k: F.xxhash64(f, k)))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, s array<string>").select("i", decontaminate.numbered(F.col("s")).alias("f"), hashed.alias("h"), decontaminate.fingerprint(F.col("s")).alias("fp"))
+    for r in df.collect():
+        x = lists[r.i]
+        assert [(f.s, f.k) for f in r.f] == [(w, x[:k].count(w)) for k, w in enumerate(x)]
+        for lane in range(decontaminate.LANES):
+            want = sum(1 << j for j in range(64) if 2 * sum(h[lane] >> j & 1 for h in r.h) > len(x))
+            assert r.fp[lane] & (1 << 64) - 1 == want
+    at = lambda fp, b: (fp[b // 3] & (1 << 64) - 1) >> b % 3 * 17 & (1 << 17) - 1
+    got = df.select("fp", decontaminate.blocks(F.col("fp")).alias("b")).first()
+    assert [(b.block, b.value) for b in got.b] == [(b, at(got.fp, b)) for b in range(60)]
+
+
+def test_index_meets_similar_windows_and_few_others(spark):
+    """Pairs of similarity 0.8 and more all meet; of unrelated pairs of one length below 2 %."""
+    r = random.Random(9)
+    items = [[f"{i}_{k}" for k in range(40)] for i in range(40)]
+    wins = []
+    for w in items:
+        for cut in range(5):  # both ends lose words: up to 4 of 36 shingles are others
+            wins.append([f"n{r.random()}" for _ in range(cut)] + w[cut:])
+    shingled = lambda c: decontaminate.fingerprint(decontaminate.shingle_strings(F.split(c, " ")))
+    a = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(wins)], "wid long, t string").select("wid", F.lit(40).alias("n"), shingled("t").alias("wfp"))
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, t string").select("item_id", F.lit(40).alias("n"), shingled("t").alias("ifp"))
+    met = {(x.wid, x.item_id) for x in decontaminate.met(a, b).collect()}
+    like = {(k, k // 5) for k in range(len(wins))}
+    assert like <= met and len(met - like) < 0.02 * (len(wins) * len(items) - len(like))
