@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,30 +86,46 @@ def features_of(words: list[str]) -> list[str]:
 
 
 def scorer(model: SoftmaxModel):
-    """A function from the words of one text to one probability a class, in the model's order; a text without
-    known tokens has those of the bias."""
+    """A function from the words of many texts to one row of probabilities a text, in the model's class order; a
+    text without known tokens has those of the bias. Per call one sparse product over all texts; a word's own
+    features are looked up once a call."""
     at = {t: i for i, t in enumerate(model.tokens)}
-
-    def one(words) -> list[float]:
-        tf = Counter(at[f] for f in features_of(list(words)) if f in at)
-        z = model.bias
-        if tf:
-            i = np.fromiter(tf, dtype=int)
-            v = (1.0 + np.log(np.fromiter(tf.values(), dtype=float))) * model.idf[i]
-            length = np.sqrt(v @ v)
-            z = z + (v / length if length > 0 else v) @ model.weights[i]
-        e = np.exp(np.clip(z - z.max(), -20, 20))
-        return (e / e.sum()).tolist()
-
-    return one
+    n = max(len(model.tokens), 1)
+
+    def many(texts) -> np.ndarray:
+        own: dict[str, list[int]] = {}
+        ids: list[int] = []
+        ends = []
+        for words in texts:
+            for w in words:
+                found = own.get(w)
+                if found is None:
+                    found = own[w] = [at[f] for f in features_of([w]) if f in at]
+                ids += found
+            ids += [at[f] for f in map("_".join, zip(words, words[1:], strict=False)) if f in at]
+            ends.append(len(ids))
+        z = np.tile(np.asarray(model.bias, float), (len(ends), 1))
+        if ids:
+            text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            cell, tf = np.unique(text * n + np.array(ids), return_counts=True)
+            text, token = cell // n, cell % n
+            v = (1.0 + np.log(tf)) * model.idf[token]
+            length = np.sqrt(np.bincount(text, v * v, len(ends)))
+            v = v / np.where(length > 0, length, 1.0)[text]
+            for k in range(z.shape[1]):
+                z[:, k] += np.bincount(text, v * model.weights[token, k], len(ends))
+        e = np.exp(np.clip(z - z.max(axis=1, keepdims=True), -20, 20))
+        return e / e.sum(axis=1, keepdims=True)
+
+    return many
 
 
 def probabilities(text: Column, model: SoftmaxModel) -> Column:
-    one = scorer(model)
+    many = scorer(model)
 
     @F.pandas_udf("array<double>")
     def run(words: pd.Series) -> pd.Series:
-        return words.map(one)
+        return pd.Series(list(many([w.tolist() for w in words])), dtype=object)
 
     return run(X.model_tokens(F.coalesce(text, F.lit(""))))
 
@@ -121,14 +136,15 @@ def with_base(df: DataFrame, text: str, model: SoftmaxModel, labels) -> DataFram
 
     Probabilities are added to whole Arrow batches: the steps before and after stay two plans of moderate
     size, where one expression over both costs the optimizer minutes."""
-    one = scorer(model)
+    many = scorer(model)
     x = df.withColumn("_p", X.model_tokens(F.coalesce(F.col(text), F.lit(""))))
     at = x.columns.index("_p")
     schema = StructType([f if k != at else StructField("_p", ArrayType(DoubleType())) for k, f in enumerate(x.schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = pa.array([one(w) for w in b.column(at).to_pylist()], pa.list_(pa.float64()))
+            made = many(b.column(at).to_pylist())
+            p = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
             yield pa.RecordBatch.from_arrays([p if k == at else c for k, c in enumerate(b.columns)], names=b.schema.names)
 
     x = x.mapInArrow(run, schema)
