@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postlake.functions import aspects as AS
 from postlake.functions import lexicon as L
 from postlake.functions.text import let
+from postlake.operators.classifier import SoftmaxModel
 from postlake.plans.posts import CTE, posts, q
 from postlake.sources import files, images
 
@@ -165,11 +166,12 @@ def png_visual(spark: SparkSession, path: str) -> DataFrame:
     return pixel_signature(seen, "path", "n").select("path", F.lit("").alias("text"), "gateway")
 
 
-def analyze_files(spark: SparkSession, path: str, visual: DataFrame | None = None) -> DataFrame:
+def analyze_files(spark: SparkSession, path: str, visual: DataFrame | None = None, model: SoftmaxModel | None = None) -> DataFrame:
     """Files below ``path``: text, sentiment with aspects and probabilities, category, tags and metadata.
 
     Images and videos have no text of their own here. ``visual``, rows (path, text, gateway), brings what an OCR,
-    speech or pixel step found for them; its paths are unique and as this function returns them. A file without
+    speech or pixel step found for them; its paths are unique and as this function returns them. ``model`` gives
+    the base labels as in ``score_posts``. A file without
     text is neutral at 0.50 with fixed probabilities. Where the base label stands with low confidence, that label
     gets the confidence and the others 0.05 each; else probabilities are the base ones."""
     from postlake.operators.scoring import base_probabilities, score_posts
@@ -180,7 +182,7 @@ def analyze_files(spark: SparkSession, path: str, visual: DataFrame | None = Non
         docs = docs.drop("gateway").join(visual.select("path", F.col("text").alias("_seen"), "gateway"), "path", "left")
         docs = docs.withColumn("text", F.when(F.col("media_type") == "document", F.col("text")).otherwise(F.trim(F.coalesce("_seen", F.lit("")))))
         docs = docs.withColumn("gateway", F.when(F.col("media_type") != "document", F.col("gateway"))).drop("_seen")
-    x = score_posts(docs, use_aspects_in_rules=True)
+    x = score_posts(docs, use_aspects_in_rules=True, model=model)
     x = categorised(x, gateway=F.col("gateway"), media=F.col("media_type")).withColumn("has_text", F.col("text") != "")
     empty, low = ~F.col("has_text"), F.col("low_confidence")
     x = x.withColumn("label", F.when(empty, "neutral").otherwise(F.col("final_label"))).withColumn("confidence", F.when(empty, 0.50).otherwise(F.round("final_conf", 4))).withColumn("reason", F.when(empty, "visual_default_no_text").otherwise(F.col("reason")))

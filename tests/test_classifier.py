@@ -127,3 +127,18 @@ def test_requests(spark):
     df = spark.createDataFrame([(1, [("a", "c")], ["x"]), (2, None, ["x", None]), (3, None, None), (4, [], ["x"])], schema)
     got = sorted(map(tuple, sinks.requests(df).collect()), key=str)
     assert got == [(1, 200, 0, "a", "c"), (2, 200, 0, "x", None), (2, 200, 1, None, None), (3, 400, None, None, None), (4, 200, None, None, None)]
+
+
+def test_files_with_a_model(spark, tmp_path):
+    """The model's label and probabilities reach the files; a file without text keeps its fixed ones."""
+    from postlake.operators.media import analyze_files
+
+    for name, text in (("a.txt", "the ledger window opens at noon"), ("b.txt", "the parcel window opens at noon"), ("c.txt", "")):
+        (tmp_path / name).write_text(text)
+    small = C.SoftmaxModel(("negative", "neutral", "positive"), ("ledger", "parcel"), np.ones(2), np.array([[3.0, 0.0, 0.0], [0.0, 0.0, 3.0]]), np.zeros(3))
+    got = {r.path.rsplit("/", 1)[-1]: r for r in analyze_files(spark, str(tmp_path), model=small).collect()}
+    high = math.exp(3) / (math.exp(3) + 2)
+    for name, label in (("a.txt", "negative"), ("b.txt", "positive")):
+        assert got[name].label == label and got[name].reason == "model_inference"
+        assert got[name][f"p_{label}"] == round(high, 4)
+    assert (got["c.txt"].label, got["c.txt"].confidence, got["c.txt"].has_text) == ("neutral", 0.5, False)
