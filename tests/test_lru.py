@@ -51,6 +51,19 @@ def test_positions_over_cells(spark):
     assert {(r.x, r.y): r.n for r in got} == want
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date"])
+def test_positions_over_cells_of_times(spark, kind):
+    # in a zone with summer time, local times of the skipped and the repeated hour keep their order
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        x = spark.range(400).selectExpr(f"CAST(TIMESTAMP_NTZ'2024-03-10 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(id * 37 % 400 AS INT)) AS {kind}) AS x", "id AS y")
+        want = {r.y: i for i, r in enumerate(x.orderBy("x", "y").collect(), 1)}
+        assert {r.y: r.n for r in lru.numbered(x.repartition(4), ["x", "y"], "n", per=40).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_eviction_order_and_empty_log(spark):
     # capacity 3: A B C, A again, D evicts B
     log = spark.createDataFrame(list(enumerate("ABCADBAC")), "t int, key string")
