@@ -9,6 +9,7 @@ from postlake.functions import aspects as AS
 from postlake.functions import lexicon as L
 from postlake.functions.text import let
 from postlake.operators.classifier import SoftmaxModel
+from postlake.operators.once import once
 from postlake.plans.posts import CTE, posts, q
 from postlake.sources import files, images
 
@@ -206,7 +207,7 @@ _N = len(CATEGORIES)
 _CAT = f"{CTE}, sc AS (SELECT post_id, text, {_SC} FROM posts), best AS (SELECT *, greatest({', '.join(f'c{i}' for i in range(_N))}) AS top FROM sc)"
 add(
     "category_scores",
-    lambda s, d: posts(s, d).select("post_id", F.explode(category_scores(F.col("text"))).alias("c")).where("c.score > 0").select("post_id", "c.category", F.round("c.score", 6).alias("score")),
+    lambda s, d: once(posts(s, d), ["text"], lambda x: x.withColumn("_c", category_scores(F.col("text")))).select("post_id", F.explode("_c").alias("c")).where("c.score > 0").select("post_id", "c.category", F.round("c.score", 6).alias("score")),
     f"WITH {_CAT} " + " UNION ALL ".join(f"SELECT post_id, {q(c)} AS category, round(c{i}, 6) AS score FROM best WHERE c{i} > 0" for i, c in enumerate(CATEGORIES)),
 )
 add(
