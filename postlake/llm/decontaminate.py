@@ -25,7 +25,9 @@ and meets in each block with probability 0.25: all 60 blocks miss it once in
 25 million pairs, more similar ones less. Unrelated pairs meet with 18 in 131072 a
 block, 0.8 % in all. A guarantee by counting alone up to 0.8 would need blocks in
 which nearly all pairs meet. Pairs within ``RADIUS`` of all 1280 bits (six deviations
-beyond the mean of 0.8) are then compared exactly, on the shingle strings.
+beyond the mean of 0.8) are then compared exactly, on the shingle strings. The pairs that
+all this leaves out by chance are found for certain by ``rest``: of two sets of similarity
+0.8 or more, the first fifth of their features (and one) in one order share one.
 
 The benchmark's shingle table and index are broadcast only when their counted
 rows are below ``BROADCAST_ROWS``; beyond that the same joins run shuffled,
@@ -119,6 +121,22 @@ def met(windows: DataFrame, items: DataFrame) -> DataFrame:
     return probe.join(F.broadcast(index) if small else index, ["n", "block", "value"]).select("wid", "item_id").distinct()
 
 
+def _rare(shingles: Column, least: float) -> Column:
+    """The features of ``shingles`` that come first by hash: two sets of similarity ``least`` or more share one of these."""
+    f = F.array_sort(F.transform(numbered(shingles), lambda x: F.xxhash64(x["s"], x["k"])))
+    return F.slice(f, F.lit(1), F.size(f) - F.ceil(F.lit(least) * F.size(f) - 1e-9).cast("int") + 1)
+
+
+def rest(windows: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """(wid, item_id) of the windows (wid, n, win) and items (item_id, n, ish) of one length that may be ``least`` similar,
+    whatever their fingerprints are. What is similar holds ceil(least * size) features of either side at least, so the
+    first features of both in one order meet; equal hashes of different features only add pairs."""
+    a = windows.select("n", "wid", F.explode(let(shingle_strings(F.split("win", " ")), lambda x: _rare(x, least))).alias("f"))
+    b = items.select("n", "item_id", F.explode(let(F.col("ish"), lambda x: _rare(x, least))).alias("f"))
+    small = b.count() <= BROADCAST_ROWS
+    return a.join(F.broadcast(b) if small else b, ["n", "f"]).select("wid", "item_id").distinct()
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Sum of smaller counts over sum of larger counts of two string multisets."""
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
@@ -185,7 +203,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     # fingerprints are the work of this job: rows of a few bytes, spread over all tasks whatever their size in bytes
     apart = found.select("n", "win").distinct().repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "n", "win")
     each = common.durable(apart.withColumn("wid", F.monotonically_increasing_id()).withColumn("wfp", fingerprint(shingle_strings(F.split("win", " ")))))
-    pairs = met(each, items).join(each, "wid").join(items.select("item_id", "n", "ish", "ifp"), ["item_id", "n"]).where(distance(F.col("wfp"), F.col("ifp")) <= RADIUS)
+    near = met(each, items).join(each, "wid").join(items.select("item_id", "n", "ifp"), ["item_id", "n"]).where(distance(F.col("wfp"), F.col("ifp")) <= RADIUS).select("wid", "item_id")
+    # fingerprints leave out a few similar pairs, by chance; the rest comes from shared features, for certain
+    both = near.unionByName(rest(each, items, least)).distinct()
+    pairs = both.join(each, "wid").join(items.select("item_id", "n", "ish"), ["item_id", "n"])
     sure = common.durable(pairs.select("n", "win", "item_id", let(shingle_strings(F.split("win", " ")), lambda a: similarity(a, F.col("ish"))).alias("similarity")).where(F.col("similarity") >= least).distinct())
     best = found.join(sure, ["n", "win"]).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.back")).alias("start_word"))

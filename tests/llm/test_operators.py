@@ -92,6 +92,27 @@ def test_leaks_tolerate_edits_and_shuffled_path(spark, monkeypatch):
     assert {r[0] for r in usual} >= {1}
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_leaks_do_not_hang_on_fingerprints(spark, monkeypatch, least):
+    """Pairs whose fingerprints meet in no block, or lie too far apart, are found by their shared features."""
+    r = random.Random(9)
+    item = words(60, 31).split()
+    again = item[:20] + item[:20] + item[20:30]  # repeated shingles count by number
+    texts = []
+    for k in range(30):
+        w = (again if k % 3 == 0 else item)[:]
+        for _ in range(k % 4):
+            w[r.randrange(len(w))] = f"edit{k}"
+        texts.append((k, " ".join(words(8, k).split() + w + words(8, k + 50).split())))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(again))], "item_id bigint, text string")
+    usual = collected(decontaminate.leaks(docs, bench, least))
+    monkeypatch.setattr(decontaminate, "RADIUS", -1)
+    for rows in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        assert collected(decontaminate.leaks(docs, bench, least)) == usual and len(usual) >= 20
+
+
 def test_leaks_between_diagonals(spark):
     """Every window start is judged: the best one may lie on no diagonal of a shared shingle."""
     item, short, rest = words(100, 21).split(), words(66, 22).split(), [words(40, s).split() for s in range(23, 29)]
