@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions import aspects as AS
 from postlake.functions import lexicon as L
-from postlake.functions.text import let
+from postlake.functions.text import contains_any, guarded, held, let, needed
 from postlake.operators.classifier import SoftmaxModel
 from postlake.operators.once import once
 from postlake.plans.posts import CTE, posts, q
@@ -71,15 +71,19 @@ TAG_RULES = [
 #: Word edges between letters, digits and underscores of any script.
 EDGE = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
 
+#: Words that categories and tag rules look for.
+WORDS = [*(k for _, kws in CATEGORIES.values() for k in kws), *needed(PRAISE), *(w for p, _ in TAG_RULES for w in needed(p[2:-2]))]
+
 
 def category_scores(text: Column) -> Column:
     """Map-free: array of (category, score) in order, score = weight x contained keywords, +3.5 praise for reviews."""
     low = F.lower(F.coalesce(text, F.lit("")))
+    found = held(low, WORDS)
     out = []
     for cat, (w, kws) in CATEGORIES.items():
-        hits = F.size(F.filter(F.array(*map(F.lit, kws)), lambda k: F.contains(low, k))) * F.lit(w)
+        hits = F.size(F.filter(found, lambda k: k.isin(kws))) * F.lit(w)
         if cat == "Product & E-Commerce Review":
-            hits = hits + F.when(low.rlike(PRAISE), 3.5).otherwise(0.0)
+            hits = hits + F.when(guarded(low, found, PRAISE, "-i"), 3.5).otherwise(0.0)
         out.append(F.struct(F.lit(cat).alias("category"), hits.alias("score")))
     return F.array(*out)
 
@@ -94,19 +98,19 @@ def categorised(df: DataFrame, text: str = "text", gateway: Column | None = None
     ``gateway`` is the payment application whose screen an image shows (null: none); with a word of a failed
     payment, or no text at all, it decides. Without text or gateway a video has a category of its own."""
     x = df.withColumn("_s", category_scores(F.col(text))).withColumn("_top", F.array_max(F.transform("_s", lambda c: c["score"]))).withColumn("_best", F.get(F.filter("_s", lambda c: c["score"] == F.col("_top")), F.lit(0)))
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    x, low = x.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit("")))), F.col("_low")
     gate = gateway if gateway is not None else F.lit(None).cast("string")
-    shown = F.exists(F.array(*map(F.lit, PAYMENT_UI)), lambda w: F.contains(low, w))
+    shown = contains_any(low, PAYMENT_UI)
     kind = F.when(gate.isNotNull() & shown, "failure").when((low == "") & gate.isNotNull(), "screen").when((low == "") & (media == "video" if media is not None else F.lit(False)), "video").when(low == "", "visual").otherwise("text")
     x = x.withColumn("_gate", gate).withColumn("_kind", kind)
     k = F.col("_kind")
     sub = F.lit("Conversational Post")
     for cat, (words, yes, no) in SUBCATEGORIES.items():
-        sub = F.when(F.col("category") == cat, F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), yes).otherwise(no)).otherwise(sub)
+        sub = F.when(F.col("category") == cat, F.when(contains_any(low, words), yes).otherwise(no)).otherwise(sub)
     x = x.withColumn("category", F.when(k.isin("failure", "screen"), "Finance & Payment Issue").when(k == "video", "Entertainment & Media").when(F.col("_top") > 0, F.col("_best.category")).otherwise("General Social"))
     x = x.withColumn("subcategory", F.when(k == "failure", F.concat(F.lit("Payment Failure ("), "_gate", F.lit(")"))).when(k == "screen", "Payment Application Screen").when(k == "video", "Video Clip").when(k == "visual", "Visual Media").otherwise(sub))
     conf = F.when(k == "failure", 0.98).when(k == "screen", 0.90).when(k.isin("video", "visual"), 0.50).when(F.col("_top") > 0, F.least(F.lit(0.99), F.round(0.70 + F.col("_top") * 0.06, 2))).otherwise(0.65)
-    return x.withColumn("category_confidence", conf).drop("_s", "_top", "_best", "_gate", "_kind")
+    return x.withColumn("category_confidence", conf).drop("_s", "_top", "_best", "_low", "_gate", "_kind")
 
 
 def tags(text: Column, category: Column, label: Column, gateway: Column | None = None) -> Column:
@@ -115,9 +119,13 @@ def tags(text: Column, category: Column, label: Column, gateway: Column | None =
     none = F.array().cast("array<string>")
     gate = gateway if gateway is not None else F.lit(None).cast("string")
     text = F.coalesce(text, F.lit(""))
-    low = F.lower(text)
+    # bound: lower would run again for every rule
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low"), held(F.lower(text), WORDS).alias("found")), lambda t: _tags(t["text"], t["low"], t["found"], category, label, gate, none))
+
+
+def _tags(text: Column, low: Column, found: Column, category: Column, label: Column, gate: Column, none: Column) -> Column:
     own = F.filter(F.transform(F.regexp_extract_all(text, F.lit("#([a-zA-Z0-9_]+)"), 1), lambda h: F.concat(F.lit("#"), F.lower(h))), lambda h: F.char_length(h) > 2)
-    ruled = F.filter(F.array(*[F.when(low.rlike("(?iu)" + EDGE[0] + p[2:-2] + EDGE[1]), F.lit(t)) for p, t in TAG_RULES]), lambda t: t.isNotNull())
+    ruled = F.filter(F.array(*[F.when(guarded(low, found, p[2:-2], "iu", EDGE), F.lit(t)) for p, t in TAG_RULES]), lambda t: t.isNotNull())
     brand = F.when(F.contains(gate, F.lit("PhonePe")), F.array(F.lit("#phonepe"))).when(F.contains(gate, F.lit("Paytm")), F.array(F.lit("#paytm"))).otherwise(none)
     pay = F.when(gate.isNotNull() | F.contains(category, F.lit("Payment")), F.concat(F.array(F.lit("#payment_issue"), F.lit("#upi_failure")), brand)).otherwise(none)
     slug = F.when(category != "", F.array(F.concat(F.lit("#"), F.get(F.split(F.btrim(F.regexp_replace(F.lower(category), "[^a-zA-Z0-9]", "_"), F.lit("_")), "_"), F.lit(0))))).otherwise(none)
