@@ -100,3 +100,16 @@ def test_files_are_read_whole_unless_asked(spark):
     df = spark.createDataFrame([("x.json", bytearray(json.dumps([f"item {i}" for i in range(600)]).encode()))], "path string, content binary")
     assert files.extract_documents(df).first().text.count("\n") == 599
     assert files.extract_documents(df, 10).first().text.count("\n") == 9
+
+
+def test_files_are_read_a_few_at_a_time_whatever_the_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(files, "ROWS", 3)
+    monkeypatch.setattr(files, "BYTES", 10)
+    b = pa.RecordBatch.from_arrays([pa.array(list("abcdefgh")), pa.array([b"x" * 4, None, b"", b"x", b"x" * 30, b"x" * 6, b"x" * 4, b"x"])], names=["path", "content"])
+    parts = [s.column(0).to_pylist() for s in files._slices(b)]
+    assert parts == [["a", "b", "c"], ["d"], ["e"], ["f", "g"], ["h"]] and not list(files._slices(b.slice(0, 0)))
+    got = files.extract_documents(spark.createDataFrame([("a.txt", b" h\xc3\xa9 "), ("b.json", b"{"), ("c.pdf", None), ("d.csv", b"a,b\n")], "path string, content binary")).collect()
+    assert [(r.path, r.format, r.text, r.success, r.metadata) for r in got[:1]] == [("a.txt", "text", "hé", True, {"char_count": "2"})]
+    assert [r.success for r in got] == [True, False, False, True] and got[3].metadata == {"row_count": "1"} and got[1].page_count == 0
