@@ -39,9 +39,9 @@ ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 #: str.split() also cuts at these, which are not white space by the property.
 CONTROLS = "\x1c\x1d\x1e\x1f"
-#: Pieces remembered by a task in one generation, and words and pair tests as a multiple of it
-#: (about 150 MB). Workers live on between tasks, so a task forgets its pieces at its end.
-MEMORY = 40_000
+#: Pieces remembered by a task in one generation, and words, steps and pair tests as a multiple of it.
+#: Workers live on between tasks, so a task forgets its pieces at its end; steps and pair tests are the file's own and stay.
+MEMORY = 80_000
 
 
 def _byte_symbols() -> list[str]:
@@ -67,25 +67,29 @@ class Vocabulary:
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.symbols = _byte_symbols()
-        self.longest = max(map(len, self.ids))
         reached = {a + b for a, b in merges} | set(self.symbols) | {s + self.end for s in self.symbols}
-        self.tokens = {t for t in self.ids if t in reached}
-        self._joins: dict[tuple[str, str], bool] = {}
-        self.inner, self.final = self._lengths("", self.end), self._lengths(self.end, "")
-
-    def _lengths(self, end: str, other: str) -> dict[str, list[int]]:
-        """Lengths of the tokens that end in given two symbols (or are one), longest first."""
-        found: dict[str, set[int]] = {}
-        for t in self.tokens:
-            if t.endswith(end) and not (other and t.endswith(other) and len(t) > len(other)):
-                body = t[: len(t) - len(end)]
-                if body:
-                    found.setdefault(body[-2:], set()).add(len(body))
-        for a in self.symbols:
-            found.setdefault(a, set()).add(1)
-            for b in self.symbols:
-                found.setdefault(a + b, set()).add(1)
-        return {k: sorted(x, reverse=True) for k, x in found.items()}
+        self.tokens = sorted(t for t in self.ids if t in reached)
+        ends = [bool(self.end) and t.endswith(self.end) and len(t) > len(self.end) for t in self.tokens]
+        #: Numbers of the tokens inside words, and of those at a word's end by their text without the suffix.
+        self.inner = {t: k for k, (t, e) in enumerate(zip(self.tokens, ends, strict=True)) if not e}
+        self.final = {t[: -len(self.end)]: k for k, (t, e) in enumerate(zip(self.tokens, ends, strict=True)) if e} if self.end else self.inner
+        self.prefixes = {t[:n] for found in (self.inner, self.final) for t in found for n in range(len(t) + 1)}
+        #: Each token's id and text as they stand in a result, a space before.
+        self.as_id, self.as_text = [f" {self.ids[t]}" for t in self.tokens], [f" {t}" for t in self.tokens]
+        self._steps: dict[str, tuple[str, tuple, tuple]] = {}
+        self._joins: dict[int, bool] = {}
+
+    def step(self, path: str) -> tuple[str, tuple, tuple]:
+        """The longest end of a path that begins a token, and length and number of the tokens that end the path, longest
+        first: those inside a word and those at its end. A path's next step needs no more of it than that longest end."""
+        known = self._steps.get(path)
+        if known is None:
+            if len(self._steps) > 5 * MEMORY:
+                self._steps.clear()
+            ends = [path[k:] for k in range(len(path))]
+            begun = next((x for x in ends if x in self.prefixes), "")
+            known = self._steps[path] = (begun, *(tuple((len(x), found[x]) for x in ends if x in found) for found in (self.inner, self.final)))
+        return known
 
     def merged(self, parts: list[str]) -> list[str]:
         """Plain BPE of a few symbols: lowest rank first, leftmost first."""
@@ -107,74 +111,69 @@ class Vocabulary:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def stands(self, left: str, right: str) -> bool:
-        """Whether BPE of the two tokens' text gives the two tokens again."""
-        known = self._joins.get((left, right))
+    def stands(self, left: int, right: int) -> bool:
+        """Whether BPE of the two tokens' text gives the two tokens again; with the number of tokens as ``left``, which
+        stands for a word's beginning, whether that of the right one alone does."""
+        key = left * (len(self.tokens) + 1) + right
+        known = self._joins.get(key)
         if known is None:
             if len(self._joins) > 5 * MEMORY:
                 self._joins.clear()
-            known = self._joins[left, right] = self.merged([*left, *self._split(right)]) == [left, right]
+            first, then = self.tokens[left : left + 1], self.tokens[right]
+            known = self._joins[key] = self.merged([*"".join(first), *self._split(then)]) == [*first, then]
         return known
 
     def shown(self, word: str) -> str:
         """A word's bytes in the vocabulary's symbols."""
         return word if word.isascii() and word.isprintable() and " " not in word else "".join([self.symbols[b] for b in word.encode()])
 
-    def whole(self, token: str) -> bool:
-        known = self._joins.get(("", token))
-        if known is None:
-            known = self._joins["", token] = self.merged(self._split(token)) == [token]
-        return known
-
 
-def trie_encode(words: Iterable[str], v: Vocabulary) -> dict[str, list[str]]:
-    """Tokens of each distinct word (in byte symbols), shared prefixes encoded once.
+def trie_encode(words: Iterable[str], v: Vocabulary) -> dict[str, tuple[str, str]]:
+    """Ids and tokens, a space before each, of every distinct word (in byte symbols), shared prefixes encoded once.
 
     The trie is laid out as the sorted words, whose order is its depth-first
-    order: last[i] and start[i] are the state of the path's node at depth i, and
+    order: last[i], start[i] and begun[i] are the state of the path's node at depth i, and
     the next word keeps the states of the prefix it shares with the one before.
     """
-    out: dict[str, list[str]] = {}
-    last, start = [""], [0]
+    out: dict[str, tuple[str, str]] = {}
+    base = len(v.tokens) + 1
+    last, start, begun = [base - 1], [0], [""]
     before = ""
-    stands, known, whole = v.stands, v._joins.get, v.whole
-    inner, final = v.inner, v.final
-    tokens, end = v.tokens, v.end
+    stands, step, stepped, known = v.stands, v.step, v._steps.get, v._joins.get
+    as_id, as_text = v.as_id, v.as_text
     for w in sorted(set(words)):
         n = len(w)
         shared, most = 0, min(n, len(before)) - 1
         while shared < most and w[shared] == before[shared]:
             shared += 1
-        del last[shared + 1 :], start[shared + 1 :]
+        del last[shared + 1 :], start[shared + 1 :], begun[shared + 1 :]
+        path = begun[shared]
         for i in range(shared + 1, n):
-            for size in inner[w[max(0, i - 2) : i]]:
-                if size > i:
-                    continue
-                t = w[i - size : i]
-                if t in tokens:
-                    if size == i:
-                        ok = whole(t)
-                    else:
-                        left = last[i - size]
-                        ok = known((left, t))
-                        if ok is None:
-                            ok = stands(left, t)
-                    if ok:
-                        last.append(t)
-                        start.append(i - size)
-                        break
+            path += w[i - 1]
+            path, inner, _ = stepped(path) or step(path)
+            for size, t in inner:
+                left = last[i - size]
+                ok = known(left * base + t)
+                if ok is None:
+                    ok = stands(left, t)
+                if ok:
+                    last.append(t)
+                    start.append(i - size)
+                    begun.append(path)
+                    break
             else:
                 raise ValueError(f"no encoding of {w!r}")
-        for size in final[w[max(0, n - 2) :]]:
-            if size > n:
-                continue
-            t = w[n - size :] + end
-            if t in tokens and (whole(t) if size == n else stands(last[n - size], t)):
-                found, at = [t], n - size
+        path += w[n - 1]
+        for size, t in (stepped(path) or step(path))[2]:
+            ok = known(last[n - size] * base + t)
+            if ok is None:
+                ok = stands(last[n - size], t)
+            if ok:
+                ids, text, at = as_id[t], as_text[t], n - size
                 while at:
-                    found.append(last[at])
-                    at = start[at]
-                out[w] = found[::-1]
+                    t = last[at]
+                    ids, text, at = as_id[t] + ids, as_text[t] + text, start[at]
+                out[w] = ids, text
                 break
         else:
             raise ValueError(f"no encoding of {w!r}")
@@ -198,51 +197,49 @@ class Codec:
         self.old_pieces: tuple[dict[str, str], dict[str, str]] = ({}, {})
         self.words: dict[str, tuple[str, str]] = {}
         self.old_words: dict[str, tuple[str, str]] = {}
-        self._shown: dict[str, tuple[str, str]] = {}
-        self.v._joins.clear()
 
-    def _pretokens(self, piece: str) -> list[str]:
-        piece = unicodedata.normalize("NFC", piece)
-        piece = piece.lower() if piece.isascii() or "Σ" not in piece else "".join(c.lower() for c in piece)
-        return (ANY if BEYOND_LATIN.search(piece) else LATIN).findall(piece)
+    def _pretokens(self, pieces: list[str]) -> list[list[str]]:
+        """The pre-tokens of each piece. Pieces are normalised as lines of one text: nothing joins or moves across a line
+        feed, and none comes or goes."""
+        text = unicodedata.normalize("NFC", "\n".join(pieces))
+        text = text.lower() if text.isascii() or "Σ" not in text else "".join([c.lower() for c in text])
+        if not BEYOND_LATIN.search(text):
+            cut = LATIN.findall
+            return [[p] if p.isalpha() else cut(p) for p in text.split("\n")]
+        return [(ANY if BEYOND_LATIN.search(p) else LATIN).findall(p) for p in text.split("\n")]
 
     def learn(self, pieces: set[str]) -> None:
         """Encode what was not met before in one trie. Memories have two generations:
-        a full one becomes the old one, from which entries in use move over."""
-        if len(self.ids_of) + len(pieces) > MEMORY:
-            self.old_pieces, self.ids_of, self.text_of = (self.ids_of, self.text_of), {}, {}
-        if len(self.words) > 5 * MEMORY // 2:
-            self.old_words, self.words = self.words, {}
-        new, (old_ids, old_text) = [], self.old_pieces
-        for p in pieces:
-            if p not in self.ids_of:
-                if p in old_ids:
-                    self.ids_of[p], self.text_of[p] = old_ids[p], old_text[p]
-                else:
-                    new.append(p)
+        a full one becomes the old one, from which entries in use move over; those in use now stay at once."""
+        ids_of, text_of, (old_ids, old_text) = self.ids_of, self.text_of, self.old_pieces
+        new = pieces.difference(ids_of)
+        for p in new.intersection(old_ids):
+            ids_of[p], text_of[p] = old_ids[p], old_text[p]
+        new = list(new.difference(old_ids))
+        if len(ids_of) + len(new) > MEMORY:
+            self.old_pieces = ids_of, text_of
+            used = pieces.intersection(ids_of)
+            ids_of = self.ids_of = {p: ids_of[p] for p in used}
+            text_of = self.text_of = {p: text_of[p] for p in used}
         if not new:
             return
-        cut = {p: self._pretokens(p) for p in new}
-        seen, old, unmet = self.words, self.old_words, set()
-        for ws in cut.values():
-            for w in ws:
-                if w not in seen:
-                    if w in old:
-                        seen[w] = old[w]
-                    else:
-                        unmet.add(w)
-        ids, show = self.v.ids, self.v.shown
-        for w, tokens in trie_encode(map(show, unmet), self.v).items():
-            self._shown[w] = (" " + " ".join([str(ids[t]) for t in tokens]), " " + " ".join(tokens))
-        for w in unmet:
-            seen[w] = self._shown[show(w)]
-        self._shown.clear()
-        for p, ws in cut.items():
+        cut = self._pretokens(new)
+        seen, old, show = self.words, self.old_words, self.v.shown
+        unmet = {w for ws in cut for w in ws}.difference(seen)
+        for w in unmet.intersection(old):
+            seen[w] = old[w]
+        shown = {w: show(w) for w in unmet.difference(old)}
+        made = trie_encode(shown.values(), self.v)
+        for w, x in shown.items():
+            seen[w] = made[x]
+        for p, ws in zip(new, cut, strict=True):
             if len(ws) == 1:
-                self.ids_of[p], self.text_of[p] = seen[ws[0]]
+                ids_of[p], text_of[p] = seen[ws[0]]
             else:
-                self.ids_of[p] = "".join([seen[w][0] for w in ws])
-                self.text_of[p] = "".join([seen[w][1] for w in ws])
+                ids_of[p] = "".join([seen[w][0] for w in ws])
+                text_of[p] = "".join([seen[w][1] for w in ws])
+        if len(seen) > 5 * MEMORY // 2:
+            self.old_words, self.words = seen, {}
 
     def _segments(self, text: str) -> list:
         """Lists of space-free pieces, and special tokens as strings between them."""
@@ -288,7 +285,7 @@ def codec(text_of_file: str) -> Codec:
     return _CODEC[key]
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 500_000) -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text. The
     tokenizer file (about 2 MB, fixed) is broadcast; no shuffle."""
     spark = docs.sparkSession

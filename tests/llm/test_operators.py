@@ -180,6 +180,23 @@ def test_bpe_memory_turns_over(monkeypatch):
     assert [small.digest_batch([t])[0] for t in many] == bpe.codec(text).digest_batch(many)
 
 
+def test_bpe_encodes_nothing_twice_that_is_in_use(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 100)
+    c = bpe.Codec(bpe.Vocabulary(open(bpe.default_tokenizer(), encoding="utf-8").read()))
+    made, encode = [], bpe.trie_encode
+    monkeypatch.setattr(bpe, "trie_encode", lambda words, v: encode(made.extend(words := list(words)) or words, v))
+    one, other = (" ".join(f"{k}{x}{y}" for x in "abcdefgh" for y in "ijklmno") for k in "uv")
+    first = c.digest_batch([one, other, one])
+    again = [c.digest_batch([t])[0] for t in (one, other, one, other, one)]
+    assert first[0] == first[2] == again[0] == again[4] and first[1] == again[1]
+    assert len(made) == len(set(made)) == 112
+    tests = dict(c.v._joins)
+    c.forget()
+    assert tests and c.v._joins == tests and not c.ids_of  # the file's own pair tests stay between tasks
+    # marks at a piece's beginning stay with it when pieces are normalised together
+    assert c.encode("e \u0301a \u0327\u0301 \u0301\u0327") == [i for p in ("e", "\u0301a", "\u0327\u0301", "\u0301\u0327") for i in c.encode(p)]
+
+
 # ---- op 3
 def brute_components(texts, percent):
     fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
