@@ -5,12 +5,16 @@ Every stage keeps the rows and columns it gets, and saves and loads alone or wit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizerModel, IndexToString, Normalizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from postlake.functions import rules as RU
 from postlake.functions import text as X
 from postlake.operators import classifier as CL
+from postlake.operators import vectors as V
+from postlake.plans.cut import cut
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -156,7 +162,7 @@ class ClassWeights(Estimator, HasLabelCol, HasOutputCol, DefaultParamsReadable,
 
 class BigramClassifier(Estimator, _ClassifierParams, DefaultParamsReadable, DefaultParamsWritable):
     """The other classifier: words and word pairs, 1 + log of their counts by idf, every class with the same weight,
-    multinomial logistic regression. Built of Spark's own stages alone, so the vocabulary stays in the JVM.
+    multinomial logistic regression. Built of Spark's own stages; ``frequent_terms`` finds the vocabulary.
 
     Rows without a label are left out of the fit."""
 
@@ -178,20 +184,69 @@ class BigramClassifier(Estimator, _ClassifierParams, DefaultParamsReadable, Defa
             raise ValueError("no row has a label")
         index = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(rows)
         weights = ClassWeights(labelCol="_label", outputCol="_weight").fit(rows)
-        words = SQLTransformer(statement=r"SELECT *, regexp_extract_all(lower(coalesce(_text, '')), '[\\p{L}\\p{N}_]+', 0) AS _words FROM __THIS__")
+        words = SQLTransformer(statement=r"SELECT *, array_remove(split(lower(coalesce(_text, '')), '[^\\p{L}\\p{N}_]+'), '') AS _words FROM __THIS__")
+        pairs = SQLTransformer(statement="SELECT *, zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)), slice(_words, 2, size(_words)), (a, b) -> concat(a, ' ', b)) AS _pairs FROM __THIS__")
         both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
-        count = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=g("maxFeatures"), minDF=g("minDF"))
+        terms = PipelineModel(stages=[words, pairs, both])
+        count = CountVectorizerModel.from_vocabulary(frequent_terms(words.transform(rows).select("_words"), g("maxFeatures"), g("minDF") if g("minDF") >= 1 else g("minDF") * n), inputCol="_terms", outputCol="_counts")
+        # all that follows reads these counts, not the texts
+        counted = cut(weights.transform(index.transform(count.transform(terms.transform(rows)))).select("_index", "_weight", "_counts"))
         dampen = LogCounts(inputCol="_counts", outputCol="_logs")
-        idf = IDF(inputCol="_logs", outputCol="_tfidf")
+        idf = IDF(inputCol="_counts", outputCol="_tfidf").fit(counted).setInputCol("_logs")  # a count is above 0 where its logs are
         unit = Normalizer(inputCol="_tfidf", outputCol="_features")
         lr = LogisticRegression(family="multinomial", featuresCol="_features", labelCol="_index", weightCol="_weight", regParam=1.0 / (g("inverseReg") * n), maxIter=200, standardization=False, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_told")
         back = IndexToString(inputCol="_told", outputCol="_class", labels=index.labels)
-        vectors = Pipeline(stages=[words, NGram(n=2, inputCol="_words", outputCol="_pairs"), both, count, dampen, idf, unit]).fit(rows)
-        fitted = lr.fit(weights.transform(index.transform(vectors.transform(rows))))
-        made = BigramClassifierModel(PipelineModel(stages=[*vectors.stages, fitted, back]))
+        vectors = [dampen, idf, unit]
+        fitted = lr.fit(PipelineModel(stages=vectors).transform(counted).select("_index", "_weight", "_features"))
+        made = BigramClassifierModel(PipelineModel(stages=[words, pairs, both, count, *vectors, fitted, back]))
         return self._copyValues(made)
 
 
+def frequent_terms(rows: DataFrame, most: int, least: float) -> list[str]:
+    """The ``most`` most frequent words and word pairs of ``rows`` (one array of words each) that ``least`` rows hold;
+    of equally frequent ones words come first, then the order of names.
+
+    A pair is not more frequent than its words, nor in more rows. So a pair that comes before the last of ``most`` words
+    consists of words before that last one: only such pairs are counted, by the numbers of their words."""
+
+    def tally(text: np.ndarray, code: np.ndarray, n: int) -> list[pa.Array]:
+        held = np.unique(text * max(n, 1) + code) % max(n, 1)
+        return [pa.array(np.bincount(x, minlength=n).astype(np.int64)) for x in (code, held)]
+
+    def placed(words: pa.ListArray) -> np.ndarray:
+        return np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in V.chunks(b):
+                coded = c.column(0).flatten().dictionary_encode()
+                code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([coded.dictionary, *tally(placed(c.column(0)), code, len(coded.dictionary))], names=["term", "n", "df"])
+
+    def top(counts: DataFrame) -> DataFrame:
+        x = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).where(F.col("df") >= least)
+        return x.orderBy(F.desc("n"), "term").limit(most).select("term", "n")
+
+    words = {r.term: r.n for r in top(rows.mapInArrow(single, "term string, n bigint, df bigint")).collect()}  # at most maxFeatures rows
+    names = sorted(words)
+    if not names:
+        raise ValueError("no term is in enough rows")
+    at = pa.array(names, pa.string())
+
+    def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in V.chunks(b):
+                text = placed(c.column(0))
+                code = pc.index_in(c.column(0).flatten(), value_set=at).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                beside = np.flatnonzero((text[:-1] == text[1:]) & (code[:-1] >= 0) & (code[1:] >= 0))
+                pair, which = np.unique(code[beside] * len(names) + code[beside + 1], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), *tally(text[beside], which, len(pair))], names=["term", "n", "df"])
+
+    pairs = top(rows.mapInArrow(double, "term bigint, n bigint, df bigint")).collect()  # at most maxFeatures rows
+    found = [(-n, 0, (w,)) for w, n in words.items()] + [(-r.n, 1, (names[r.term // len(names)], names[r.term % len(names)])) for r in pairs]
+    return [" ".join(term) for *_, term in sorted(found)[:most]]
+
+
 class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """1 + ln of every count of a sparse vector."""
 

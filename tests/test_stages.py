@@ -84,6 +84,39 @@ def test_bigram_features_and_weights(docs):
     assert max(r.w for r in w) - min(r.w for r in w) < 1e-6
 
 
+@pytest.mark.parametrize(("most", "least"), [(3, 1), (7, 2), (25, 2), (40, 3), (1000, 2), (1000, 1)])
+def test_frequent_terms_are_all_counted(spark, monkeypatch, most, least):
+    monkeypatch.setattr(stages.V, "TEXTS", 7)
+    rng = random.Random(most)
+    texts = [rng.choices("abcdefghij", weights=range(10, 0, -1), k=rng.randint(0, 9)) for _ in range(60)] + [[], ["k", "k", "k", "k"] * 5, None]
+    n, df = {}, {}
+    for ws in texts:
+        terms = [(w,) for w in ws or ()] + list(zip(ws or (), (ws or ())[1:], strict=False))
+        for t in terms:
+            n[t] = n.get(t, 0) + 1
+        for t in set(terms):
+            df[t] = df.get(t, 0) + 1
+    want = sorted((t for t in n if df[t] >= least), key=lambda t: (-n[t], len(t), t))[:most]
+    df_of = spark.createDataFrame([(ws,) for ws in texts], "words array<string>").repartition(3)
+    assert stages.frequent_terms(df_of, most, least) == [" ".join(t) for t in want]
+
+
+def test_bigram_vocabulary_has_one_order(spark):
+    rows = [(f"{a} {b}", k) for k, (a, b) in enumerate(zip("hgfedcba" * 2, "ponmlkji" * 2, strict=True))]
+    df = spark.createDataFrame([(t, "xy"[k % 2]) for t, k in rows], "text string, label string")
+    for parts in (1, 5):
+        model = stages.BigramClassifier(maxFeatures=5).fit(df.repartition(parts))
+        assert model.stages.stages[3].vocabulary == list("abcde")
+
+
+def test_bigram_words_of_odd_texts(spark):
+    texts = ["", None, " ", "...a", "a...", "a_b-C9 É\u0301x ß\u00b2 \u0939\u093f\u0928 中文！𝔘𝔫 \x00z\nq", "İSTANBUL ΣΑΣ"]
+    df = spark.createDataFrame([(t, "xy"[i % 2]) for i, t in enumerate(texts * 2)], "text string, label string")
+    model = stages.BigramClassifier().fit(df)
+    got = model.stages.stages[0].transform(df.withColumn("_text", F.col("text"))).select("_words", F.expr(r"regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+', 0)").alias("want")).collect()
+    assert all(r._words == r.want for r in got) and max(len(r.want) for r in got) > 5
+
+
 def test_class_weights_of_odd_names(spark):
     df = spark.createDataFrame([("it's",), ("a\\b",), ("a\\b",), (None,)], "label string")
     assert sorted((r.label or "", r.weight) for r in stages.ClassWeights().fit(df).transform(df).collect()) == [("", 0.0), ("a\\b", 0.75), ("a\\b", 0.75), ("it's", 1.5)]
