@@ -8,8 +8,9 @@ iff t merges with nothing before it, which is a property of the pair (last
 token before, t) alone; so one pair test per candidate suffix token finds the
 state, a shared prefix is encoded once, and a pre-token's ids are read by
 walking back from its end state. White space separates pre-tokens and nothing
-joins across it, so whole space-free pieces are kept in a bounded memory of
-the worker with their ids and decoded form.
+joins across it, so a group of texts is normalised, cut at spaces and its
+distinct pieces numbered by Arrow; only these are looked up in a bounded memory
+of the worker or encoded, and ids and decoded texts are gathered by number.
 
 Null text counts as empty: 0 tokens, digests of the empty string. Very long
 texts are encoded whole. Repeated rows give repeated results, an empty table
@@ -20,11 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import marshal
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +36,14 @@ from . import common
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: White space by the Unicode property, as the tokenizer's patterns take it (fixed values).
+ASCII_SPACES = "\t\n\x0b\x0c\r"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
-PIECES = re.compile(f"[^{SPACES}]+")
 LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|[^a-zA-ZªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+")
 ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
-#: str.split() also cuts at these, which are not white space by the property.
-CONTROLS = "\x1c\x1d\x1e\x1f"
-#: Pieces remembered by a task in one generation, and words, steps and pair tests as a multiple of it.
-#: Workers live on between tasks, so a task forgets its pieces at its end; steps and pair tests are the file's own and stay.
-MEMORY = 80_000
+#: Words remembered by a task in one generation; states and pair tests as a multiple of it.
+#: Workers live on between tasks, so a task forgets all but the pair tests, the file's own, at its end.
+MEMORY = 100_000
 
 
 def _byte_symbols() -> list[str]:
@@ -74,23 +76,46 @@ class Vocabulary:
         self.inner = {t: k for k, (t, e) in enumerate(zip(self.tokens, ends, strict=True)) if not e}
         self.final = {t[: -len(self.end)]: k for k, (t, e) in enumerate(zip(self.tokens, ends, strict=True)) if e} if self.end else self.inner
         self.prefixes = {t[:n] for found in (self.inner, self.final) for t in found for n in range(len(t) + 1)}
-        #: Each token's id and text as they stand in a result, a space before.
-        self.as_id, self.as_text = [f" {self.ids[t]}" for t in self.tokens], [f" {t}" for t in self.tokens]
-        self._steps: dict[str, tuple[str, tuple, tuple]] = {}
+        #: What a number stands for: tokens, a word's beginning, special tokens; each id and text as they stand in a result, a space before.
+        self.names = [*self.tokens, "", *self.special]
+        self.as_id = pa.array([f" {self.ids[t]}" for t in self.tokens] + [""] + [f" {i}" for i in self.special.values()], pa.large_string())
+        self.as_text = pa.array([f" {t}" if t else "" for t in self.names], pa.large_string())
+        self.codes = [k.to_bytes(4, "little") for k in range(len(self.names))]
+        self._states: dict[str, tuple[str, dict, tuple, tuple]] = {}
         self._joins: dict[int, bool] = {}
+        self._packed = b""
 
-    def step(self, path: str) -> tuple[str, tuple, tuple]:
-        """The longest end of a path that begins a token, and length and number of the tokens that end the path, longest
-        first: those inside a word and those at its end. A path's next step needs no more of it than that longest end."""
-        known = self._steps.get(path)
+    def state(self, begun: str) -> tuple[str, dict, tuple, tuple]:
+        """What a path's next step needs: the longest end of it that begins a token, the states that follow by symbol, and
+        length and number of the tokens that end the path, longest first: those inside a word and those at its end."""
+        known = self._states.get(begun)
         if known is None:
-            if len(self._steps) > 5 * MEMORY:
-                self._steps.clear()
-            ends = [path[k:] for k in range(len(path))]
-            begun = next((x for x in ends if x in self.prefixes), "")
-            known = self._steps[path] = (begun, *(tuple((len(x), found[x]) for x in ends if x in found) for found in (self.inner, self.final)))
+            ends = [begun[k:] for k in range(len(begun))]
+            known = self._states[begun] = (begun, {}, *(tuple((len(x), found[x]) for x in ends if x in found) for found in (self.inner, self.final)))
         return known
 
+    def step(self, state: tuple[str, dict, tuple, tuple], symbol: str) -> tuple[str, dict, tuple, tuple]:
+        path = state[0] + symbol
+        after = state[1][symbol] = self.state(next((path[k:] for k in range(len(path)) if path[k:] in self.prefixes), ""))
+        return after
+
+    def forget(self) -> None:
+        """Empty the states, which point at each other."""
+        for x in self._states.values():
+            x[1].clear()
+        self._states.clear()
+
+    def pack(self) -> None:
+        """Keep the pair tests as one string until ``unpack``: the small objects lie between those of the pieces
+        and would keep all that memory from going back."""
+        self._packed = marshal.dumps(self._joins)
+        self._joins = {}
+
+    def unpack(self) -> None:
+        if self._packed:
+            self._joins = marshal.loads(self._packed)
+            self._packed = b""
+
     def merged(self, parts: list[str]) -> list[str]:
         """Plain BPE of a few symbols: lowest rank first, leftmost first."""
         parts = list(parts)
@@ -128,30 +153,32 @@ class Vocabulary:
         return word if word.isascii() and word.isprintable() and " " not in word else "".join([self.symbols[b] for b in word.encode()])
 
 
-def trie_encode(words: Iterable[str], v: Vocabulary) -> dict[str, tuple[str, str]]:
-    """Ids and tokens, a space before each, of every distinct word (in byte symbols), shared prefixes encoded once.
+def trie_encode(words: Iterable[str], v: Vocabulary) -> dict[str, bytes]:
+    """Token numbers (four bytes each) of every distinct word (in byte symbols), shared prefixes encoded once.
 
     The trie is laid out as the sorted words, whose order is its depth-first
-    order: last[i], start[i] and begun[i] are the state of the path's node at depth i, and
+    order: last[i], start[i] and states[i] are those of the path's node at depth i, and
     the next word keeps the states of the prefix it shares with the one before.
     """
-    out: dict[str, tuple[str, str]] = {}
+    out: dict[str, bytes] = {}
+    if len(v._states) > 5 * MEMORY:
+        v.forget()
     base = len(v.tokens) + 1
-    last, start, begun = [base - 1], [0], [""]
+    last, start, states = [base - 1], [0], [v.state("")]
     before = ""
-    stands, step, stepped, known = v.stands, v.step, v._steps.get, v._joins.get
-    as_id, as_text = v.as_id, v.as_text
+    stands, step, known, codes = v.stands, v.step, v._joins.get, v.codes
     for w in sorted(set(words)):
         n = len(w)
         shared, most = 0, min(n, len(before)) - 1
         while shared < most and w[shared] == before[shared]:
             shared += 1
-        del last[shared + 1 :], start[shared + 1 :], begun[shared + 1 :]
-        path = begun[shared]
-        for i in range(shared + 1, n):
-            path += w[i - 1]
-            path, inner, _ = stepped(path) or step(path)
-            for size, t in inner:
+        del last[shared + 1 :], start[shared + 1 :], states[shared + 1 :]
+        state = states[shared]
+        i = shared
+        for symbol in w[shared : n - 1]:
+            i += 1
+            state = state[1].get(symbol) or step(state, symbol)
+            for size, t in state[2]:
                 left = last[i - size]
                 ok = known(left * base + t)
                 if ok is None:
@@ -159,21 +186,20 @@ def trie_encode(words: Iterable[str], v: Vocabulary) -> dict[str, tuple[str, str
                 if ok:
                     last.append(t)
                     start.append(i - size)
-                    begun.append(path)
+                    states.append(state)
                     break
             else:
                 raise ValueError(f"no encoding of {w!r}")
-        path += w[n - 1]
-        for size, t in (stepped(path) or step(path))[2]:
+        symbol = w[n - 1]
+        for size, t in (state[1].get(symbol) or step(state, symbol))[3]:
             ok = known(last[n - size] * base + t)
             if ok is None:
                 ok = stands(last[n - size], t)
             if ok:
-                ids, text, at = as_id[t], as_text[t], n - size
+                code, at = codes[t], n - size
                 while at:
-                    t = last[at]
-                    ids, text, at = as_id[t] + ids, as_text[t] + text, start[at]
-                out[w] = ids, text
+                    code, at = codes[last[at]] + code, start[at]
+                out[w] = code
                 break
         else:
             raise ValueError(f"no encoding of {w!r}")
@@ -182,90 +208,99 @@ def trie_encode(words: Iterable[str], v: Vocabulary) -> dict[str, tuple[str, str
 
 
 class Codec:
-    """Encoder and decoder with a bounded memory of space-free pieces."""
+    """Encoder and decoder with a bounded memory of words."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
         self.forget()
         marks = "|".join(re.escape(t) for t in sorted(v.special, key=len, reverse=True))
         self.special = re.compile(f"({marks})") if marks else None
+        #: Pieces that are not words: none, and special tokens behind a tab, which no piece of text has.
+        self.fixed = {"": b""} | {f"\t{t}": v.codes[len(v.tokens) + 1 + k] for k, t in enumerate(v.special)}
 
     def forget(self) -> None:
-        """Empty the memories of pieces and words."""
-        self.ids_of: dict[str, str] = {}
-        self.text_of: dict[str, str] = {}
-        self.old_pieces: tuple[dict[str, str], dict[str, str]] = ({}, {})
-        self.words: dict[str, tuple[str, str]] = {}
-        self.old_words: dict[str, tuple[str, str]] = {}
-
-    def _pretokens(self, pieces: list[str]) -> list[list[str]]:
-        """The pre-tokens of each piece. Pieces are normalised as lines of one text: nothing joins or moves across a line
-        feed, and none comes or goes."""
-        text = unicodedata.normalize("NFC", "\n".join(pieces))
-        text = text.lower() if text.isascii() or "Σ" not in text else "".join([c.lower() for c in text])
-        if not BEYOND_LATIN.search(text):
+        """Empty the memory of words."""
+        self.ids_of: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
+
+    def _spaced(self, text: str) -> str:
+        """The normalised text with plain spaces for all white space. Nothing joins or moves across white space, and
+        none comes or goes."""
+        if self.special and "<|" in text and len(cut := self.special.split(text)) > 1:
+            return " ".join([f"\t{s}" if i % 2 else self._spaced(s) for i, s in enumerate(cut)])
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
+        for c in SPACES if not text.isascii() else ASCII_SPACES:
+            if c in text:
+                text = text.replace(c, " ")
+        return text
+
+    @staticmethod
+    def _pretokens(pieces: list[str]) -> list[list[str]]:
+        """The pre-tokens of each normalised piece."""
+        if not BEYOND_LATIN.search("".join(pieces)):
             cut = LATIN.findall
-            return [[p] if p.isalpha() else cut(p) for p in text.split("\n")]
-        return [(ANY if BEYOND_LATIN.search(p) else LATIN).findall(p) for p in text.split("\n")]
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode what was not met before in one trie. Memories have two generations:
-        a full one becomes the old one, from which entries in use move over; those in use now stay at once."""
-        ids_of, text_of, (old_ids, old_text) = self.ids_of, self.text_of, self.old_pieces
-        new = pieces.difference(ids_of)
-        for p in new.intersection(old_ids):
-            ids_of[p], text_of[p] = old_ids[p], old_text[p]
-        new = list(new.difference(old_ids))
-        if len(ids_of) + len(new) > MEMORY:
-            self.old_pieces = ids_of, text_of
-            used = pieces.intersection(ids_of)
-            ids_of = self.ids_of = {p: ids_of[p] for p in used}
-            text_of = self.text_of = {p: text_of[p] for p in used}
-        if not new:
-            return
-        cut = self._pretokens(new)
-        seen, old, show = self.words, self.old_words, self.v.shown
-        unmet = {w for ws in cut for w in ws}.difference(seen)
-        for w in unmet.intersection(old):
-            seen[w] = old[w]
-        shown = {w: show(w) for w in unmet.difference(old)}
-        made = trie_encode(shown.values(), self.v)
-        for w, x in shown.items():
-            seen[w] = made[x]
-        for p, ws in zip(new, cut, strict=True):
-            if len(ws) == 1:
-                ids_of[p], text_of[p] = seen[ws[0]]
-            else:
-                ids_of[p] = "".join([seen[w][0] for w in ws])
-                text_of[p] = "".join([seen[w][1] for w in ws])
-        if len(seen) > 5 * MEMORY // 2:
-            self.old_words, self.words = seen, {}
+            return [[p] if p.isalpha() else cut(p) for p in pieces]
+        return [(ANY if BEYOND_LATIN.search(p) else LATIN).findall(p) for p in pieces]
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Token numbers of distinct pieces; words not met before are encoded in one trie. The memory of words has two
+        generations: a full one becomes the old one, from which entries in use move over. Pieces of several words are
+        put together anew, as few of them come again."""
+        known, old = self.ids_of, self.old_ids
+        out = list(map(known.get, pieces))
+        unmet = []
+        for k, code in enumerate(out):
+            if code is None:
+                p = pieces[k]
+                code = old.get(p)
+                if code is not None:
+                    out[k] = known[p] = code
+                elif p in self.fixed:
+                    out[k] = self.fixed[p]
+                else:
+                    unmet.append(k)
+        if unmet:
+            cut = self._pretokens([pieces[k] for k in unmet])
+            words = {w for ws in cut for w in ws}.difference(known)
+            for w in words.intersection(old):
+                known[w] = old[w]
+            shown = {w: self.v.shown(w) for w in words.difference(known)}
+            made = trie_encode(shown.values(), self.v)
+            for w, x in shown.items():
+                known[w] = made[x]
+            for k, ws in zip(unmet, cut, strict=True):
+                out[k] = b"".join([known[w] for w in ws])
+        if len(known) > MEMORY:
+            self.old_ids, self.ids_of = known, {}
+        return out
 
-    def _segments(self, text: str) -> list:
-        """Lists of space-free pieces, and special tokens as strings between them."""
-        segments = self.special.split(text) if self.special and "<|" in text else [text]
-        plain = not any(c in text for c in CONTROLS)
-        return [s if i % 2 else (s.split() if plain else PIECES.findall(s)) for i, s in enumerate(segments)]
+    def _pieces(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces of all texts one after another, and where each text's begin and the last one's end."""
+        cut = pc.split_pattern(pa.array([self._spaced(t) for t in texts], pa.large_string()), " ")
+        return cut.values.dictionary_encode(), cut.offsets.to_numpy()
 
     def digest_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        cut = [self._segments(t) for t in texts]
-        self.learn(set().union(*(seg for c in cut for seg in c if isinstance(seg, list))))
-        out, ids_of, text_of, special = [], self.ids_of.__getitem__, self.text_of.__getitem__, self.v.special
-        for segments in cut:
-            ids = "".join([f" {special[s]}" if isinstance(s, str) else "".join(map(ids_of, s)) for s in segments])
-            dec = "".join([" " + s if isinstance(s, str) else "".join(map(text_of, s)) for s in segments])
-            out.append((ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(dec[1:].encode()).hexdigest()))
-        return out
+        pieces, first = self._pieces(texts)
+        codes = self.learn(pieces.dictionary.to_pylist())
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)) // 4)])
+        tokens = np.concatenate([[0], np.cumsum(np.diff(ends)[pieces.indices.to_numpy()])])
+        numbers = pa.array(np.frombuffer(b"".join(codes), "<u4"))
+        cols: list[list] = [np.diff(tokens[first]).tolist()]
+        for names in (self.v.as_id, self.v.as_text):
+            _, at, shown = names.take(numbers).buffers()
+            each = pa.LargeStringArray.from_buffers(len(codes), pa.py_buffer(np.frombuffer(at, np.int64)[ends]), shown)
+            _, at, shown = each.take(pieces.indices).buffers()
+            data, at = memoryview(shown or b""), np.frombuffer(at, np.int64)[first].tolist()
+            cols.append([hashlib.sha256(data[a + 1 : b]).hexdigest() for a, b in zip(at, at[1:])])
+        return list(zip(*cols, strict=True))
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for seg in self._segments(text or ""):
-            if isinstance(seg, str):
-                out.append(self.v.special[seg])
-            else:
-                self.learn(set(seg))
-                out += [int(x) for p in seg for x in self.ids_of[p].split()]
-        return out
+        pieces, _ = self._pieces([text or ""])
+        codes = self.learn(pieces.dictionary.to_pylist())
+        numbers = np.frombuffer(b"".join([codes[k] for k in pieces.indices.to_pylist()]), "<u4")
+        return [int(x) for x in self.v.as_id.take(pa.array(numbers)).to_pylist()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, as the file names no decoder."""
@@ -285,7 +320,7 @@ def codec(text_of_file: str) -> Codec:
     return _CODEC[key]
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 1_000_000) -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text. The
     tokenizer file (about 2 MB, fixed) is broadcast; no shuffle."""
     spark = docs.sparkSession
@@ -294,10 +329,13 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, batch_chars: int = 1_00
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
+        c.v.unpack()
         try:
             yield from encoded(c, batches)
         finally:
             c.forget()
+            c.v.forget()
+            c.v.pack()
 
     def encoded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
