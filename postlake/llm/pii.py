@@ -25,7 +25,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +48,8 @@ AFTER = re.compile(r"\S{0,3}\s*(\S{1,24})")
 #: Least length of a random-looking string and least number of its letters and of its digits.
 SECRET, MIXED = 32, 8
 MIN_SEEDS = 3
+#: Rows whose occurrences a worker holds as Python objects at once.
+SLICE = 1000
 CONFIDENCE = 0.7
 ROUNDS = 2
 
@@ -156,7 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base spans and occurrences of every whole text; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, len(b), SLICE)):
             rows: dict[str, list] = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base", "occ")}
             for t in batch.column(1):
                 spans, occ = occurrences(t.as_py() or "")
@@ -215,12 +216,14 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find(rows.select(F.col(key).alias("doc_id"), "text")).where((F.col("base") != "") | F.col("extra").isNotNull())
     spans = common.bounded(found.select(F.col("doc_id").alias(key), _all_spans().alias(name)), F.octet_length(name) + 32)
 
-    @F.pandas_udf("string")
-    def masked(text, spans):
-        return pd.Series([_mask(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def masked(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array((_mask(t.as_py(), s.as_py()) for t, s in zip(text, spans, strict=True)), pa.string())
 
+    # Python gets only the texts that change: it is called for every row, whatever stands around it
     hit = rows.join(spans, key, "left")
-    return hit.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(masked("text", name))).select(*docs.columns)
+    text = masked(F.when(F.col(name).isNotNull(), F.col("text")), F.col(name))
+    return hit.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
 def _all_spans() -> Column:

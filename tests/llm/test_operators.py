@@ -5,6 +5,8 @@ whose names clash with the operators' own."""
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -197,6 +199,35 @@ def test_bpe_encodes_nothing_twice_that_is_in_use(monkeypatch):
     assert c.encode("e \u0301a \u0327\u0301 \u0301\u0327") == [i for p in ("e", "\u0301a", "\u0327\u0301", "\u0301\u0327") for i in c.encode(p)]
 
 
+def test_bpe_worker_gives_its_memory_back():
+    # in a process of its own, as a worker's; texts with 150,000 different words, as in a task of a large table
+    code = """if True:
+        import gc, random, re
+        from postlake.llm import bpe, common
+        held = lambda: int(re.search(r"Private_Dirty: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+        c = bpe.codec(open(bpe.default_tokenizer(), encoding="utf-8").read())
+        common.give_back()
+        r, parts, before = random.Random(3), "an en in tion es on er ti th he re qué ñez lich".split(), held()
+        for _ in range(5):
+            c.digest_batch([" ".join("".join(r.choices(parts, k=5)) for _ in range(300)) for _ in range(100)])
+        most = held() - before
+        c.forget()
+        getattr(c.v, "forget", int)(), getattr(c.v, "pack", int)()
+        gc.collect()
+        common.give_back()
+        print(most, held() - before)
+    """
+    most, left = map(float, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=120).stdout.split()[-2:])
+    assert left < 12 and most < 100, (most, left)
+
+
+def test_redact_sends_python_only_what_changes(spark):
+    docs = spark.createDataFrame([(i, f"mail a{i}@b.cc now" if i % 10 == 0 else f"text {i}") for i in range(50)], "doc_id long, text string")
+    red = pii.redact(docs)
+    assert "masked(CASE WHEN isnotnull(_spans" in red._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.text for r in red.orderBy("doc_id").collect()] == ["mail <email> now" if i % 10 == 0 else f"text {i}" for i in range(50)]
+
+
 # ---- op 3
 def brute_components(texts, percent):
     fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
