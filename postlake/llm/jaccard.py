@@ -36,11 +36,12 @@ gives no rows. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, neardup, shingle
@@ -48,6 +49,9 @@ from . import common, neardup, shingle
 PERCENT = 80
 #: Members of a signature up to which its open pairs are listed, and signatures in a partition of their shuffle.
 FEW, SHARE = 32, 2_000_000
+#: Buckets of signatures for each of these partitions, signatures that are packed at a time, and those of a bucket that a task compares at once.
+DEAL, PACK, HELD = 8, 1 << 20, 1 << 22
+_HEAD = struct.Struct("<qi")
 _SEEDS = common.keys(71, 256) | np.uint64(1)
 _SUM, _SIGN, _CELL = common.keys(72, 3)
 
@@ -173,20 +177,110 @@ def summarise(docs: DataFrame, percent: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(common.task(run), "id bigint, n_shingles bigint, digest binary, cells binary")
 
 
-def signed(docs: DataFrame, percent: int) -> DataFrame:
-    """(sign, guest, id) of all signatures of every text."""
+def pack(sign: np.ndarray, guest: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Signatures by bucket, and those of a bucket as bytes: smallest id, number, 31 bits and the guest's bit of each, and the
+    gaps between the ids, which ascend, byte by byte (the high ones are nearly all 0). Bucket and bits stand for the signature;
+    the rare two that differ and have them in common are one more pair for the bounds."""
+    order = np.argsort(ids, kind="stable")
+    bucket = (sign >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    order = order[np.argsort(bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")]
+    bucket, ids = bucket[order], ids[order].astype("<i8")
+    value = (sign[order].astype(np.uint32) & ~np.uint32(1) | guest[order]).astype("<u4")
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    gap = np.append(ids[:1], ids[1:] - ids[:-1]).view("<u8")
+    gap[at] = 0
+    out = []
+    for i, j, most in zip(at.tolist(), np.append(at[1:], len(ids)).tolist(), np.maximum.reduceat(gap, at).tolist(), strict=True):
+        planes = gap[i:j].view(np.uint8).reshape(-1, 8)[:, : (most.bit_length() + 7) // 8].T
+        out.append(_HEAD.pack(ids[i], j - i) + value[i:j].tobytes() + planes.tobytes())
+    return bucket[at].astype(np.int32), out
+
+
+def unpack(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """Values (bits and guest) and ids of what ``pack`` made."""
+    first, n = _HEAD.unpack_from(data)
+    value = np.frombuffer(data, "<u4", n, _HEAD.size)
+    planes = np.frombuffer(data, np.uint8, offset=_HEAD.size + 4 * n).reshape(-1, n)
+    gap = np.zeros((n, 8), np.uint8)
+    gap[:, : len(planes)] = planes.T
+    return value, np.cumsum(gap.view("<u8").ravel()).view(np.int64) + first
+
+
+def packs(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, data) of signatures that come as (sign, guest, id)."""
+
+    def packed() -> pa.RecordBatch:
+        bucket, data = pack(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[0])
+        if n >= PACK:
+            yield packed()
+            held, n = [], 0
+    if n:
+        yield packed()
+
+
+def signed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(bucket, data) of all signatures of every text, packed."""
     bands = Bands(percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = common.buffers(batch.column(1))
             for i, j in common.chunks(offsets):
                 h, begin = shingle.distinct_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 which, sign, guest = signatures(h, begin, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(guest), pa.array(ids[i + which])], names=["sign", "guest", "id"])
+                yield sign, guest, ids[i + which]
+
+    return docs.select("id", "text").mapInArrow(common.task(lambda batches: packs(found(batches), buckets)), "bucket int, data binary")
+
+
+def meeting(packed: DataFrame, partitions: int) -> DataFrame:
+    """What ``shared`` gives, for packed signatures, with the number n of rows that have the signature; those of a bucket of
+    more than ``HELD`` come all, without ``a`` and n. Buckets pass by one after the other, and a task holds one."""
 
-    return docs.select("id", "text").mapInArrow(common.task(run), "sign bigint, guest boolean, id bigint")
+    def rows(bucket: int, value: np.ndarray, ids: np.ndarray, a: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
+        sign = np.int64(bucket) << 31 | (value >> np.uint32(1)).astype(np.int64)
+        known = [pa.nulls(len(ids), pa.int64()) if x is None else pa.array(x) for x in (a, n)]
+        return pa.RecordBatch.from_arrays([pa.array(sign), pa.array((value & np.uint32(1)).astype(bool)), pa.array(ids), *known], names=["sign", "guest", "id", "a", "n"])
+
+    def met(bucket: int, held: list) -> pa.RecordBatch:
+        value, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        bits = np.sort(value >> np.uint32(1))
+        often = np.unique(bits[1:][bits[1:] == bits[:-1]])
+        own = np.isin(value >> np.uint32(1), often)
+        value, ids = value[own], ids[own]
+        order = np.lexsort((ids, value))  # hosts before guests
+        value, ids = value[order], ids[order]
+        first = np.searchsorted(value >> np.uint32(1), value >> np.uint32(1))
+        hosted = value[first] & np.uint32(1) == 0
+        n = np.bincount(first, minlength=len(ids))[first]
+        return rows(bucket, value[hosted], ids[hosted], ids[first[hosted]], n[hosted])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, n = None, [], 0
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != at:
+                    if held:
+                        yield met(at, held)
+                    at, held, n = bucket, [], 0
+                held.append(unpack(data.as_buffer()))
+                n += len(held[-1][0])
+                if n > HELD:
+                    for value, ids in held:
+                        yield rows(bucket, value, ids)
+                    held = []
+        if held:
+            yield met(at, held)
+
+    dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(common.task(run), "sign bigint, guest boolean, id bigint, a bigint, n bigint")
 
 
 def shared(signs: DataFrame, partitions: int) -> DataFrame:
@@ -251,35 +345,92 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -
     return links
 
 
-def linked_classes(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(id, root) of the classes that are linked with another. reps: written (id, n_shingles, cells); docs: their (id, text)."""
-    spark = docs.sparkSession
-    rows = reps.agg(F.sum("n_shingles")).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows // SHARE) + 1)
-    meets = common.durable(shared(signed(docs, percent), partitions))
-    links = _confirm(meets.where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, docs, percent)
-    roots = common.durable(neardup.components(links))
-    # what the smallest ids left open: signatures of more than two members in several components
-    placed = meets.select("sign", "guest", "id").join(roots, "id", "left").select("sign", "guest", "id", F.coalesce("root", "id").alias("root"))
-    left = placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("sign", "n")
-    inside = common.durable(placed.join(left, "sign"))
-    small = inside.where(F.col("n") <= FEW)
-    pairs = (
-        small.groupBy("sign")
+def _met(packed: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
+    """Written rows (sign, guest, id, a, n) of the packed signatures that several have, and the table to drop after use."""
+    made = common.durable(meeting(packed, partitions))
+    loose = made.where("a is null").select("sign", "guest", "id")
+    if loose.isEmpty():
+        return made, made
+    more = common.durable(shared(loose, partitions))
+    more = more.join(more.groupBy("sign").agg(F.count("*").alias("n")), "sign").select(*made.columns)
+    return made.where("a is not null").unionByName(more), made
+
+
+def _open(groups: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """Written (sign, guest, id, root, n) of the groups of ``least`` members or more that are in several components."""
+    placed = groups.select("sign", "guest", "id").join(roots, "id", "left").select("sign", "guest", "id", F.coalesce("root", "id").alias("root"))
+    left = placed.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where(f"lo < hi and n >= {least}").select("sign", "n")
+    return common.durable(placed.join(left, "sign"))
+
+
+def _listed(inside: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one small group that are in different components, not both guests."""
+    return (
+        inside.where(F.col("n") <= FEW)
+        .groupBy("sign")
         .agg(F.array_sort(F.collect_list(F.struct("guest", "id", "root"))).alias("m"))
         .select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.root <> x.root and not x.guest), y -> struct(x.id as a, y.id as b))))")).alias("p"))
         .select("p.a", "p.b")
         .distinct()
     )
-    more = _confirm(pairs, reps, docs, percent)
-    links = common.durable(links.unionByName(more))
+
+
+def narrowed(ids: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Written (sign, guest, id): groups of the classes ``ids`` (id) by shingles, such that any two of them that link share a group.
+
+    Linked sets of n shingles miss at most n - ceil(n * percent / 100) of each other's, so in any order that holds for all sets,
+    the first shingle that both have is among the first so many and one of either. The order is by the number of sets in ``ids``
+    that hold a shingle: first come those of one set alone, which join nothing. A passage in many texts that are otherwise
+    different thus brings no two of them together; rows grow with shingles."""
+    own = common.durable(reps.select("id", "n_shingles").join(ids, "id", "left_semi"))
+    sets = common.durable(neardup._full_sets(docs, own))
+    partitions = _partitions(own)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                yield h, np.zeros(len(h), bool), np.full(len(h), i, np.int64)
+
+    packed = sets.select("id", "set").mapInArrow(common.task(lambda batches: packs(found(batches), DEAL * partitions)), "bucket int, data binary")
+    often, made = _met(packed, partitions)
+    each = Window.partitionBy("id")
+    ranked = often.select("sign", "guest", "id", F.row_number().over(each.orderBy("n", "sign")).alias("r"), F.count("*").over(each).alias("held")).join(own, "id")
+    # the n_shingles - held shingles of this set alone come before
+    out = common.durable(ranked.where(f"r + n_shingles - held <= n_shingles - (n_shingles * {percent} + 99) div 100 + 1").select("sign", "guest", "id"))
+    common.drop(own, sets, made)
+    return out
+
+
+def _partitions(sized: DataFrame) -> int:
+    """Partitions for the signatures or shingles of sets of n_shingles."""
+    rows = sized.agg(F.sum("n_shingles")).first()[0] or 0
+    return max(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(rows // SHARE) + 1)
+
+
+def linked_classes(reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(id, root) of the classes that are linked with another. reps: written (id, n_shingles, cells); docs: their (id, text)."""
+    partitions = _partitions(reps)
+    groups, made = _met(signed(docs, percent, DEAL * partitions), partitions)
+    links = _confirm(groups.where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, docs, percent)
     roots = common.durable(neardup.components(links))
-    large = inside.where(F.col("n") > FEW).select(F.col("sign").alias("key"), "id")
+    # what the smallest ids left open: signatures of more than two members in several components, and of the many
+    # members of large ones again what their rarest shingles bring together, of which no pair is tested yet
+    for again in (False, True):
+        inside = _open(groups, roots, 2 if again else 3)
+        links = common.durable(links.unionByName(_confirm(_listed(inside), reps, docs, percent)))
+        roots = common.durable(neardup.components(links))
+        large = inside.where(F.col("n") > FEW)
+        common.drop(made)
+        if again or large.isEmpty():
+            break
+        groups = made = narrowed(_open(large, roots, 3).select("id").distinct(), reps, docs, percent)
+        common.drop(inside)
     if not large.isEmpty():
-        rest = neardup._cluster_links(large, roots, reps, docs, percent)
+        rest = neardup._cluster_links(large.select(F.col("sign").alias("key"), "id"), roots, reps, docs, percent)
         if rest is not None:
             roots = neardup.components(links.unionByName(rest))
-    common.drop(meets, inside)
+    common.drop(inside)
     return roots
 
 

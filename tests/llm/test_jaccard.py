@@ -132,3 +132,96 @@ def test_chains_passages_and_copies(spark, monkeypatch, few, block):
     numbered = list(enumerate(texts))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(numbered, "doc_id bigint, text string")).collect()}
     assert got == brute_components(numbered, 80)
+
+
+@pytest.mark.parametrize(("n", "span", "buckets"), [(1, 5, 32), (5000, 300, 32), (5000, 1 << 62, 7), (20000, 4000, 70000)])
+def test_packed_signatures(n, span, buckets):
+    r = np.random.default_rng(n + buckets)
+    sign = r.integers(0, 1 << 64, n, dtype=np.uint64)
+    guest, ids = r.random(n) < 0.5, r.integers(-span, span, n)
+    got = []
+    for b, data in zip(*jaccard.pack(sign, guest, ids, buckets), strict=True):
+        got += [(int(b), int(v), int(i)) for v, i in zip(*jaccard.unpack(data), strict=True)]
+    assert sorted(got) == sorted(((int(s) >> 32) * buckets >> 32, int(s) & 0xFFFFFFFE | int(g), int(i)) for s, g, i in zip(sign, guest, ids, strict=True))
+
+
+def test_signatures_take_few_bytes(spark):
+    """What is shuffled: before, some 13 bytes a signature once compressed, nearly four times the input."""
+    texts = [(i, words(200, i)) for i in range(400)]
+    bands = jaccard.Bands(80)
+    h = [shingle.distinct_sets(*hashed([t])) for _, t in texts]
+    n = sum(len(jaccard.signatures(x, begin, bands)[0]) for x, begin in h)
+    packs = jaccard.signed(spark.createDataFrame(texts, "id bigint, text string").coalesce(1), 80, 32).collect()
+    assert sum(len(jaccard.unpack(p.data)[0]) for p in packs) == n > 60_000
+    assert sum(len(p.data) for p in packs) < 6 * n
+
+
+@pytest.mark.parametrize("held", [1 << 22, 40])
+def test_meeting_signatures(spark, monkeypatch, held):
+    """Packed signatures meet as plain ones do; where a bucket holds too many, all of it is left to ``shared``."""
+    monkeypatch.setattr(jaccard, "HELD", held)
+    r = np.random.default_rng(5)
+    known = r.integers(0, 1 << 64, 900, dtype=np.uint64)
+    packs, plain = [], []
+    for _ in range(5):
+        sign, guest, ids = r.choice(known, 400), r.random(400) < 0.6, r.integers(0, 1000, 400)
+        for b, data in zip(*jaccard.pack(sign, guest, ids, 16), strict=True):
+            packs.append((int(b), bytearray(data)))
+        plain += [(((int(s) >> 32) * 16 >> 32) << 31 | (int(s) & 0xFFFFFFFF) >> 1, bool(g), int(i)) for s, g, i in zip(sign, guest, ids, strict=True)]
+    got = jaccard.meeting(spark.createDataFrame(packs, "bucket int, data binary"), 3)
+    loose = got.where("a is null").select("sign", "guest", "id")
+    assert [r.n for r in got.where("(n is null) <> (a is null)").collect()] == []
+    assert loose.isEmpty() == (held > 40)
+    rows_ = got.where("a is not null").drop("n").union(jaccard.shared(loose, 3)).collect()
+    by = {}
+    for s, g, i in plain:
+        by.setdefault(s, []).append((g, i))
+    want = [(s, g, i, min(m)[1]) for s, m in by.items() if len(m) > 1 and not min(m)[0] for g, i in m]
+    assert sorted(map(tuple, rows_)) == sorted(want) and len(want) > 500
+    assert all(r.n == len(by[r.sign]) for r in got.where("a is not null").collect())
+
+
+def test_buckets_too_large_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", 30)
+    numbered = list(enumerate(family(4, 60, 30, 2) + [words(30, i) for i in range(30)] + family(5, 14, 20, 1)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(numbered, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(numbered, 80)
+
+
+def test_passages_bring_no_sets_together(spark, monkeypatch):
+    """Texts around one passage that are otherwise different: before, all sets of the group went to every pair of its blocks, with
+    the square of their number. Now few of them are left to blocks, and what links still does."""
+    passage = words(60, 5)
+    texts = [passage + " " + words(40 + i % 3, 700 + i) for i in range(150)] + family(6, 100, 30, 2)
+    numbered = list(enumerate(texts))
+    left = []
+    real = neardup._cluster_links
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(neardup, "_cluster_links", lambda large, *rest: left.extend(r.id for r in large.select("id").distinct().collect()) or real(large, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(numbered, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(numbered, 80)
+    assert not [i for i in left if i < 150]
+
+
+def test_narrowed_groups_hold_all_links(spark):
+    texts = family(7, 60, 40, 1) + family(8, 25, 30, 1) + [words(50, 9) + " " + words(12 + i, 300 + i) for i in range(20)]
+    numbered = list(enumerate(texts))
+    df = spark.createDataFrame(numbered, "id bigint, text string")
+    reps = jaccard.summarise(df, 80)
+    groups = {}
+    for r in jaccard.narrowed(df.select("id"), reps, df, 80).collect():
+        groups.setdefault(r.sign, set()).add(r.id)
+    met = {(a, b) for m in groups.values() for a in m for b in m if a < b}
+    sets = [set(shingle.distinct_sets(*hashed([t]))[0].tolist()) for t in texts]
+    linked = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert linked <= met and len(linked) > 40
+
+
+def test_open_groups(spark):
+    """Two members are tested already where they met by signature, not where they meet by shingles."""
+    groups = spark.createDataFrame([(s, False, i) for s, m in ((1, (5, 6)), (2, (5, 6, 7)), (3, (7, 8, 9))) for i in m], "sign bigint, guest boolean, id bigint")
+    roots = spark.createDataFrame([(7, 7), (8, 7), (9, 7)], "id bigint, root bigint")
+    assert {r.sign for r in jaccard._open(groups, roots, 3).collect()} == {2}
+    two = jaccard._open(groups, roots, 2)
+    assert {r.sign for r in two.collect()} == {1, 2}
+    assert sorted(map(tuple, jaccard._listed(two).collect())) == [(5, 6), (5, 7), (6, 7)]
