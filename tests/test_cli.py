@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import OrderedDict
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,36 @@ def test_metrics_of_nothing(spark):
     assert tuple(scoring.metrics(none).first()) == (0, 0, 0, 0.0, 0.0)
     two = spark.createDataFrame([(1, 4.0, True), (1, 4.0, False), (2, 8.0, None)], "request long, latency_ms double, fallback_required boolean")
     assert tuple(scoring.metrics(two).first()) == (2, 3, 1, 33.33, 6.0)
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 5, 100])
+def test_metrics_with_a_cache(spark, capacity):
+    """Cache figures and posts that wait for a label, against a replay request by request; before, they were left out."""
+    r = random.Random(3)
+    rows = [(q, float(q), f"k{min(r.randint(0, 9), r.randint(0, 9))}", r.random() < 0.4) for q in range(60) for _ in range(r.randint(1, 4))]
+    got = scoring.metrics(spark.createDataFrame(rows, "request long, latency_ms double, key string, fallback_required boolean"), key="key", capacity=capacity).first()
+    cache, hits, queued = OrderedDict(), 0, 0
+    for q in range(60):
+        own = [x for x in rows if x[0] == q]
+        for k in sorted({x[2] for x in own}):
+            held = k in cache
+            hits += held * sum(x[2] == k for x in own)
+            queued += (not held) * sum(x[2] == k and x[3] for x in own)
+            cache[k] = 1
+            cache.move_to_end(k)
+            if len(cache) > capacity:
+                cache.popitem(last=False)
+    n, f = len(rows), sum(x[3] for x in rows)
+    assert got.asDict() == {
+        "total_requests": 60, "total_posts_analyzed": n, "total_fallbacks_triggered": f, "fallback_rate_pct": round(f * 100 / n, 2), "avg_latency_ms": 29.5,
+        "cache_entries": len(cache), "cache_max_size": capacity, "cache_hits": hits, "cache_misses": n - hits, "cache_hit_rate_pct": round(hits * 100 / n, 2), "active_learning_queued": queued,
+    }
+    none = spark.createDataFrame([], "request long, latency_ms double, key string, fallback_required boolean")
+    assert tuple(scoring.metrics(none, key="key", capacity=capacity).first()) == (0, 0, 0, 0.0, 0.0, 0, capacity, 0, 0, 0.0, 0)
+
+
+def test_posts_of_one_request_fare_alike(spark):
+    """Both posts of request 1 miss, and both wait; in request 2 the cache answers."""
+    rows = [(1, 4.0, "a", True), (1, 4.0, "a", True), (2, 8.0, "a", True), (2, 8.0, None, False)]
+    got = scoring.metrics(spark.createDataFrame(rows, "request long, latency_ms double, key string, fallback_required boolean"), key="key").first()
+    assert (got.total_fallbacks_triggered, got.cache_hits, got.cache_misses, got.active_learning_queued, got.cache_entries) == (3, 1, 3, 2, 2)
